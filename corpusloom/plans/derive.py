@@ -18,19 +18,28 @@ WORDS = ["therea", "erblees", "ingand", "euxle", "schen", "cionla", "thand"]
 TOPICS = ["图谱", "检索", "笔记", "摘要", "标签", "向量"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A text table stored in fewer splits than there are cores (one row
-    group at the small scales) is spread over them; at scale the scan has enough."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def derived(spark: SparkSession, sf_dir: str, name: str, *exprs: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Expressions over a given table. A table read in fewer splits than there are cores
+    (one row group at the small scales) is spread over them after the expressions; at
+    scale the scan has enough splits and nothing is moved."""
+    raw = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+    few = raw.rdd.getNumPartitions() < cores
+    out = raw.selectExpr(*exprs) if exprs else raw
+    if more:
+        out = out.selectExpr("*", *more)
+    return out.repartition(cores, out.columns[0]) if few else out
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the text tables are spread where they are too small to be split."""
+    if name in ("documents", "pages", "conversations"):
+        return derived(spark, sf_dir, name)
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _pick(values: list[str], d: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"(CASE ({d}) % {len(values)} {whens} END)"
+    return f"split_part('{','.join(values)}', ',', CAST(({d}) % {len(values)} AS INT) + 1)"
 
 
 def _s(d: str) -> str:
@@ -93,9 +102,9 @@ MTIME = f"(1700000000000 + {HALF} * 60000)"
 
 NOTES_COLS = [
     "doc_id", f"{path_sql('doc_id')} AS path", f"{CONTENT} AS content", f"{MTIME} AS mtime",
-    f"md5({CONTENT}) AS hash", f"{MTIME} + 1 AS cached_at",
+    f"{MTIME} + 1 AS cached_at",
 ]
-NOTES_SQL = f"SELECT {', '.join(NOTES_COLS)} FROM documents"
+NOTES_SQL = f"SELECT *, md5(content) AS hash FROM (SELECT {', '.join(NOTES_COLS)} FROM documents)"
 
 MANIFEST_COLS = [
     "path", "CAST(octet_length(encode(content, 'UTF-8')) AS BIGINT) AS size",
@@ -111,7 +120,7 @@ MANIFEST_SQL = (
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 with a `doc_id` column kept for joins to other given tables."""
-    return table(spark, sf_dir, "documents").selectExpr(*NOTES_COLS)
+    return derived(spark, sf_dir, "documents", *NOTES_COLS, more=("md5(content) AS hash",))
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ C = F.col
 
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as one chunk each, headed by their source."""
-    return D.table(spark, d, "documents").selectExpr(
-        f"{D.path_sql('doc_id')} AS path", "CAST(0 AS INT) AS idx", "source AS heading", "text AS content", "doc_id AS mtime"
+    return D.derived(
+        spark, d, "documents", f"{D.path_sql('doc_id')} AS path", "CAST(0 AS INT) AS idx", "source AS heading", "text AS content", "doc_id AS mtime"
     )
 
 
@@ -301,13 +301,13 @@ def _(spark, d):
 @query(
     "rerank_scored", "OP-047",
     f"WITH {_BM25}, {_RESULT}, top AS ({_budget_sql('res', 30000, 20)}), "
-    "sc2 AS (SELECT top.*, (quality * 0.7 + toxic * 0.1 + (mtime % 10) / 20.0) AS rel FROM top JOIN labels ON doc_id = mtime), "
+    "sc2 AS (SELECT top.*, CAST(quality * 14 + toxic * 2 + mtime % 10 AS DOUBLE) AS rel FROM top JOIN labels ON doc_id = mtime), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS r2 FROM sc2), c AS (SELECT * FROM o WHERE r2 <= 5) "
     "SELECT query_id, r2 AS rank, path, round(rel / greatest(max(rel) OVER (PARTITION BY query_id), 0.0001), 6) AS score FROM c",
 )
 def _(spark, d):
     res = R.bm25(bench_queries(spark, d), doc_chunks(spark, d), k=20)
-    lab = D.table(spark, d, "labels").selectExpr("doc_id AS mtime", "CAST(quality * 0.7D + toxic * 0.1D + (doc_id % 10) / 20.0D AS DOUBLE) AS relevance")
+    lab = D.table(spark, d, "labels").selectExpr("doc_id AS mtime", "CAST(quality * 14 + toxic * 2 + doc_id % 10 AS DOUBLE) AS relevance")
     scores = res.join(lab, "mtime").select("query_id", "path", "idx", "relevance")
     return RR.rerank_scored(res, scores, 5).select("query_id", C("rank").cast("bigint").alias("rank"), "path", F.round("score", 6).alias("score"))
 
