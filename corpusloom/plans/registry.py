@@ -32,6 +32,7 @@ def query(name: str, covers: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from corpusloom.plans import (  # noqa: F401
+        q_books,
         q_links,
         q_retrieval,
         q_sync,
