@@ -33,6 +33,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from corpusloom.plans import (  # noqa: F401
         q_books,
+        q_chat,
         q_links,
         q_retrieval,
         q_sync,
