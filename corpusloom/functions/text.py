@@ -178,7 +178,7 @@ def cut(c: Column, n: int) -> Column:
 
 def highlight_pattern(query: Column) -> Column:
     words = F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda t: F.length(t) >= 2)
-    return F.when(F.size(words) > 0, F.concat(F.lit("(?i)("), F.array_join(F.transform(words, quote_regex), "|"), F.lit(")")))
+    return F.when(F.size(words) > 0, F.concat(F.lit("(?iu)("), F.array_join(F.transform(words, quote_regex), "|"), F.lit(")")))
 
 
 def highlight(text: Column, query: Column) -> Column:

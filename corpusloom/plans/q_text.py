@@ -126,6 +126,20 @@ def _(spark, d):
     return g.groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum(X.gram_hash(C("g"))).alias("hash_sum"))
 
 
+_WORDS3 = "regexp_extract(text, '^\\S*\\s+\\S*\\s+\\S*', 0)"
+
+
+@query(
+    "highlight", "OP-020",
+    f"WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower({_WORDS3}), '\\s+'), lambda t: length(t) >= 2) AS ws FROM conversations) "
+    "SELECT conv_id, turn, CASE WHEN length(ws) = 0 THEN text ELSE regexp_replace(text, '(?i)(' || array_to_string(list_transform(ws, "
+    "lambda x: regexp_replace(x, '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g')), '|') || ')', '<mark>\\1</mark>', 'g') END AS text FROM w",
+)
+def _(spark, d):
+    t = D.table(spark, d, "conversations")
+    return t.select("conv_id", "turn", X.highlight(C("text"), F.regexp_extract("text", r"^\S*\s+\S*\s+\S*", 0)).alias("text"))
+
+
 # --- paths -------------------------------------------------------------------
 @query("folder_rollup", "OP-011", _N + f"SELECT folder, count(*) AS notes FROM (SELECT unnest({Q.FOLDERS}) AS folder FROM notes) GROUP BY folder")
 def _(spark, d):
