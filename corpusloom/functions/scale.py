@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -47,14 +49,28 @@ def lookup(left: DataFrame, index: DataFrame, key: str, hot_rows: int = HOT_ROWS
     them, so their index rows have a proven bound and are broadcast. Everything else
     takes the shuffled join. Rows without a match survive with nulls.
     """
-    hot = left.groupBy(key).count().where(F.col("count") > hot_rows).select(key).where(F.col(key).isNotNull())
-    hot_index = index.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
+    hot = left.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key)
+    if hot.isEmpty():
+        return left.join(index, key, "left")
+    hot_index = index.join(F.broadcast(hot), key, "left_semi")
     marked = left.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), key, "left")
     cold = marked.where(F.col("_is_hot").isNull()).drop("_is_hot").join(index, key, "left")
-    warm = marked.where(F.col("_is_hot")).drop("_is_hot").join(F.broadcast(hot_index), key, "left").drop("_hot")
+    warm = marked.where(F.col("_is_hot")).drop("_is_hot").join(F.broadcast(hot_index), key, "left")
     return cold.unionByName(warm)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a narrow table once and read it back, where several branches need it. It is
+    written below the checkpoint folder, so lost executors cost nothing, and the files
+    tell the later joins how small it is."""
+    from corpusloom.session import checkpoint_dir
+
+    spark = df.sparkSession
+    target = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 BROADCAST_ROWS = 200_000
 
 

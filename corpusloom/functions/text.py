@@ -30,6 +30,12 @@ def nonempty(c: Column) -> Column:
     return F.filter(c, lambda x: F.length(x) > 0)
 
 
+def ngrams(c: Column, n: int) -> Column:
+    """Every run of n characters, overlapping. One regex pass with a look-ahead: taking
+    substrings by position would cost the square of the length on long texts."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
+
+
 def quote_regex(c: Column) -> Column:
     """Escape a string for use as a literal inside a pattern."""
     return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")

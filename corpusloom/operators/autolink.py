@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import BROADCAST_ROWS, is_small, top_per_key
+from corpusloom.functions.scale import BROADCAST_ROWS, is_small, materialize, top_per_key
 
 LINK = r"\[\[([^\]|]+?)(?:\|[^\]]*)?\]\]"
 _LINK = re.compile(LINK)
@@ -32,7 +32,7 @@ def outside_links(content: Column, keyword: Column) -> Column:
 
 
 # --- keyword hits ------------------------------------------------------------------
-_HITS = "path string, keyword string, offset int, usable boolean"
+_HITS = "path string, keyword string, offset int, usable boolean, preview string"
 
 
 def _positions(text: str, words, automaton):
@@ -69,14 +69,16 @@ def _scan(notes: DataFrame, words: list[str] | None) -> DataFrame:
                 dashes = content.find("---")
                 for word, at in _positions(low, mine, automaton).items():
                     front = at < K.FRONT_ZONE and 0 <= dashes <= at - 3
-                    rows.append((path, word, at, not front))
-            yield pd.DataFrame(rows, columns=["path", "keyword", "offset", "usable"])
+                    near = content[max(0, at - K.PREVIEW_RADIUS) : at + len(word) + K.PREVIEW_RADIUS]
+                    rows.append((path, word, at, not front, near))
+            yield pd.DataFrame(rows, columns=["path", "keyword", "offset", "usable", "preview"])
 
     return notes.mapInPandas(job, _HITS)
 
 
 def keyword_hits(notes: DataFrame, keywords: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """(path, keyword, offset, usable) of the first mention of every keyword outside links.
+    """(path, keyword, offset, usable, preview) of the first mention of every keyword outside
+    links; the preview is the text around it.
 
     A dictionary counted within `limit` goes to the tasks, and each text is scanned once
     for all of it. A larger one is joined on rare pieces of three characters, so neither
@@ -85,13 +87,12 @@ def keyword_hits(notes: DataFrame, keywords: DataFrame, limit: int = BROADCAST_R
     texts = notes.select("path", "content")
     if is_small(distinct, limit):
         words = sorted(r["keyword"] for r in distinct.collect())  # counted just above
-        return _scan(texts, words) if words else texts.limit(0).selectExpr("path", "'' AS keyword", "0 AS offset", "true AS usable")
-    n = F.least(F.lit(3), F.length("keyword"))
-    pieces = distinct.select("keyword", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("keyword") - n + 1), lambda i: F.substring("keyword", i, n))).alias("piece")).distinct()
+        return _scan(texts, words) if words else texts.limit(0).selectExpr("path", "'' AS keyword", "0 AS offset", "true AS usable", "'' AS preview")
+    # a keyword of two characters is its own piece
+    own = F.when(F.length("keyword") >= 3, X.ngrams(F.col("keyword"), 3)).otherwise(F.array("keyword"))
+    pieces = distinct.select("keyword", F.explode_outer(own).alias("piece")).distinct()
     low = F.lower("content")
-    grams = lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))).otherwise(X.no_strings())
-    held = texts.select("path", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("piece")).join(
+    held = texts.select("path", F.explode_outer(F.array_distinct(F.concat(X.ngrams(low, 2), X.ngrams(low, 3)))).alias("piece")).join(
         pieces.select("piece").distinct(), "piece", "left_semi"
     )
     counts = held.groupBy("piece").agg(F.count("*").alias("n"))
@@ -129,24 +130,24 @@ def link_candidates(
     so only those leading holders of each keyword are joined, and the result is whole."""
     targets = _targets(notes, min_title)
     sources = notes.where(~X.starts_with_any(F.col("path"), K.LOCAL_MARKS) & (F.length(X.title_of(F.col("path"))) >= min_title))
-    words = targets.select("target", F.posexplode("kws").alias("kpos", "keyword"))
-    hits = keyword_hits(sources, words, dictionary_limit).where("usable").withColumnRenamed("path", "source")
-    excluded = already_linked(sources, targets)
+    words = materialize(targets.select("target", F.posexplode("kws").alias("kpos", "keyword")))
+    hits = materialize(keyword_hits(sources, words, dictionary_limit).where("usable").withColumnRenamed("path", "source"))
+    excluded = materialize(already_linked(sources, targets))
     most = excluded.groupBy("source").count().agg(F.max("count").alias("m")).first()["m"] or 0  # one number
     heads = top_per_key(words, ["keyword"], [F.col("target")], max_per_note + most + 1, "_r")
+    # position of the keyword and offset in one number, so that the minimum is a hash aggregate
+    place = F.shiftleft(F.col("kpos").cast("bigint"), 32) + F.col("offset")
     found = (
         hits.join(heads, "keyword").where(F.col("source") != F.col("target"))
         .join(excluded, ["source", "target"], "left_anti")
-        .groupBy("source", "target")
-        .agg(F.min(F.struct("kpos", "keyword", "offset")).alias("k"))
+        .groupBy("source", "target").agg(F.min(place).alias("place"))
     )
-    top = top_per_key(found, ["source"], [F.col("target")], max_per_note)
-    texts = notes.select(F.col("path").alias("source"), "content")
-    at, word = F.col("k.offset"), F.col("k.keyword")
-    start = F.greatest(F.lit(0), at - K.PREVIEW_RADIUS)
-    stop = F.least(F.length("content"), at + F.length(word) + K.PREVIEW_RADIUS)
-    return top.join(texts, "source").select(
-        "source", "target", word.alias("keyword"), at.alias("offset"), F.substring("content", start + 1, stop - start).alias("preview")
+    top = top_per_key(found, ["source"], [F.col("target")], max_per_note).select(
+        "source", "target", F.shiftright("place", 32).cast("int").alias("kpos"), F.expr("CAST(place & 4294967295 AS INT)").alias("offset")
+    )
+    named = top.join(words, ["target", "kpos"])
+    return named.join(hits.select("source", "keyword", "preview"), ["source", "keyword"]).select(
+        "source", "target", "keyword", "offset", "preview"
     )
 
 

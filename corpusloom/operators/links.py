@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import HOT_ROWS, lookup, small_side, top_per_key
-from corpusloom.operators.paths import parent_folder, top_folder
+from corpusloom.functions.scale import HOT_ROWS, lookup, materialize, top_per_key
+from corpusloom.operators.paths import top_folder
 
 
 # --- name resolution -----------------------------------------------------------
@@ -25,9 +25,9 @@ def resolve_names(targets: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     t = targets.select("target").distinct()
     t = t.withColumn("_t", F.lower(X.uni_trim(F.col("target"))))
-    t = t.withColumn("_tn", X.drop_md(F.col("_t"))).withColumn("_ts", _no_space(F.col("_tn")))
+    t = materialize(t.withColumn("_tn", X.drop_md(F.col("_t"))).withColumn("_ts", _no_space(F.col("_tn"))))
     m = manifest.select("path").distinct()
-    m = m.withColumn("_n", F.lower(X.title_of(F.col("path")))).withColumn("_ns", _no_space(F.col("_n")))
+    m = materialize(m.withColumn("_n", F.lower(X.title_of(F.col("path")))).withColumn("_ns", _no_space(F.col("_n"))))
     hit = lambda df, score: df.select("target", "path", F.lit(score).alias("score"))
     full = t.select("target", F.explode(F.array(F.concat("_t", F.lit(".md")), F.col("_t"))).alias("_p"))
     equal = (
@@ -42,14 +42,12 @@ def resolve_names(targets: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _grams(c: Column, n: int = 3) -> Column:
-    return F.when(
-        F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-    ).otherwise(X.no_strings())
+    return F.array_distinct(X.ngrams(c, n))
 
 
 def _rarest(df: DataFrame, text: str, holders: DataFrame) -> DataFrame:
     """Per distinct text its piece that the fewest names hold; none where a piece is unknown."""
-    g = df.select(text).distinct().select(text, F.explode(_grams(F.col(text))).alias("g"))
+    g = df.select(text).distinct().select(text, F.explode_outer(_grams(F.col(text))).alias("g")).where("g IS NOT NULL")
     j = g.join(holders, "g", "left")
     return j.groupBy(text).agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").select(text, "g")
 
@@ -58,8 +56,8 @@ def _containing(t: DataFrame, m: DataFrame, score: int) -> DataFrame:
     """Pairs where one text contains the other. A contained text of three characters or
     more is looked up by its rarest piece among the pieces of the containing texts."""
     ta, mb = t.select("a").distinct(), m.select("b").distinct()
-    t_pieces = ta.select("a", F.explode(_grams(F.col("a"))).alias("g"))
-    m_pieces = mb.select("b", F.explode(_grams(F.col("b"))).alias("g"))
+    t_pieces = ta.select("a", F.explode_outer(_grams(F.col("a"))).alias("g")).where("g IS NOT NULL")
+    m_pieces = mb.select("b", F.explode_outer(_grams(F.col("b"))).alias("g")).where("g IS NOT NULL")
     count = lambda p: p.groupBy("g").agg(F.count("*").alias("n"))
     a_in_b = _rarest(ta, "a", count(m_pieces)).join(m_pieces, "g").where(F.contains("b", F.col("a"))).select("a", "b")
     b_in_a = _rarest(mb, "b", count(t_pieces)).join(t_pieces, "g").where(F.contains("a", F.col("b"))).select("a", "b")
@@ -86,7 +84,10 @@ def graph_edges(notes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     are dropped. Occurrences are counted before anything is joined, and a name that many
     notes link to is looked up by broadcast (see `lookup`)."""
     found = notes.select("path", F.explode_outer(X.links_graph(F.col("content"))).alias("t")).where(F.col("t").isNotNull())
-    found = found.select(F.col("path").alias("source"), F.lower("t").alias("t")).groupBy("source", "t").agg(F.count("*").alias("times"))
+    # texts are read once; the counted links are a narrow table
+    found = materialize(
+        found.select(F.col("path").alias("source"), F.lower("t").alias("t")).groupBy("source", "t").agg(F.count("*").alias("times"))
+    )
     low = notes.select("path", F.lower("path").alias("_low"))
     by_path = low.groupBy(F.col("_low").alias("t")).agg(F.max("path").alias("_by_path"))
     by_base = low.groupBy(X.base_name(F.col("_low")).alias("_base")).agg(F.min("path").alias("_by_base"))
@@ -130,9 +131,10 @@ def graph_prune(edges: DataFrame, nodes: DataFrame, max_edges: int = K.MAX_EDGES
 def relations(nodes: DataFrame, edges: DataFrame, min_in: int = 0, shown: int = 12) -> DataFrame:
     """(path, label, folder, n_in, n_out, hub, first_in, first_out): neighbour counts and
     the first neighbours of every node. Neighbours beyond `shown` are in the edge table."""
+    edges = materialize(edges.select("source", "target").distinct())
 
     def side(here: str, there: str, n: str, first: str) -> DataFrame:
-        d = edges.select(F.col(here).alias("path"), F.col(there).alias("other")).distinct()
+        d = edges.select(F.col(here).alias("path"), F.col(there).alias("other"))
         counts = d.groupBy("path").agg(F.count("*").alias(n))
         heads = top_per_key(d, ["path"], [F.col("other")], shown).groupBy("path").agg(
             F.array_join(F.array_sort(F.collect_list("other")), "|").alias(first)
@@ -181,7 +183,8 @@ def backlinks(targets: DataFrame, notes: DataFrame) -> DataFrame:
     pairs = _wiki_links(notes).join(_names(targets), "link").select("target", "source").distinct()
     return (
         pairs.join(notes.select(F.col("path").alias("source"), "content", "mtime"), "source")
-        .withColumn("context", link_context(F.col("content"), F.col("target")))
+        # a generated column, so that the filter on it does not compute the context twice
+        .select("target", "source", "mtime", F.explode_outer(F.array(link_context(F.col("content"), F.col("target")))).alias("context"))
         .where(F.col("context").isNotNull())
         .select("target", "source", X.title_of(F.col("source")).alias("title"), "context", "mtime")
     )

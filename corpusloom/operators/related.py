@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import lookup, top_per_key
+from corpusloom.functions.scale import lookup, materialize, top_per_key
 from corpusloom.operators.paths import parent_folder
 
 MAX_SUBSET_ITEMS = 6
@@ -44,7 +44,7 @@ def shared_counts(items: DataFrame, max_items: int = MAX_SUBSET_ITEMS) -> DataFr
     Notes with up to `max_items` items count each other by inclusion and exclusion:
     every note yields its item subsets once, so the work is linear in the notes. Notes
     with more items are compared with the holders of their items one by one."""
-    held = items.groupBy("path").agg(F.array_sort(F.collect_set("item")).alias("s"))
+    held = materialize(items.groupBy("path").agg(F.array_sort(F.collect_set("item")).alias("s")))
     light = held.where(F.size("s") <= max_items)
     masks = F.expr("sequence(1, shiftleft(1, size(s)) - 1)")
 
@@ -73,11 +73,16 @@ def note_moc(notes: DataFrame, tags: Column | None = None, limit: int = K.MOC_LI
     path, `same-tag` with the first shared tag, `parent` for notes of the same folder,
     `co_link` for notes linking to something this note links to, `mutual` for notes that
     link to each other."""
-    base = notes.select("path", F.lower(X.drop_md(F.lower("path"))).alias("name"), body_links(F.col("content")).alias("links"),
-                        (list_tags(F.col("content")) if tags is None else tags).alias("tags"))
+    # the texts are read once; what follows works on names, links and tags alone
+    base = materialize(notes.select(
+        "path", X.drop_md(F.lower("path")).alias("name"), body_links(F.col("content")).alias("links"),
+        (list_tags(F.col("content")) if tags is None else tags).alias("tags"),
+    ))
     links = base.select("path", F.explode("links").alias("item"))
     names = base.select(F.col("path").alias("target"), F.col("name").alias("item"))
-    edges = links.join(names, "item").where(F.col("path") != F.col("target")).select(F.col("path").alias("other"), F.col("target").alias("path")).distinct()
+    edges = materialize(
+        links.join(names, "item").where(F.col("path") != F.col("target")).select(F.col("path").alias("other"), F.col("target").alias("path")).distinct()
+    )
     back_edges = edges.select(F.col("path").alias("other"), F.col("other").alias("path"))
     mutual = edges.join(back_edges, ["path", "other"], "left_semi")
 

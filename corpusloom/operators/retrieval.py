@@ -140,7 +140,7 @@ def with_snippets(top: DataFrame, queries: DataFrame, chunks: DataFrame) -> Data
 
 
 # --- vectors -----------------------------------------------------------------
-def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, max_queries: int = 100_000) -> DataFrame:
+def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """(query_id, rank, path, idx, score): exact top-k by dot product.
 
     Query vectors are sent to the tasks as one matrix, which is checked to be small;

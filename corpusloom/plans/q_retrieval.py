@@ -204,7 +204,7 @@ def _embed_sql(src: str, key: str, out: str) -> str:
 )
 def _(spark, d):
     e = embedding.embed_chunks(doc_chunks(spark, d).withColumn("hash", F.md5("content")))
-    ids = e.select(C("mtime").alias("doc_id"), F.posexplode("vec").alias("bucket", "v")).where("v <> 0")
+    ids = e.select(C("mtime").alias("doc_id"), F.posexplode_outer("vec").alias("bucket", "v")).where("v <> 0")
     return ids.select("doc_id", C("bucket").cast("bigint").alias("bucket"), F.round(C("v").cast("double"), 6).alias("value"))
 
 
