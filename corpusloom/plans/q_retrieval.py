@@ -174,13 +174,19 @@ def _(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", text_hash("text").alias("hash"))
 
 
-@query("reindex", "OP-037")
+_EDITED = (
+    f"WITH RECURSIVE notes0 AS ({D.NOTES_SQL}), notes AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN content || chr(10) || '## Added' || chr(10) || 'new text' ELSE content END AS content FROM notes0), "
+)
+_REINDEX_SQL = _EDITED + _HEADING_SQL[_HEADING_SQL.index("ln AS (") :]
+
+
+@query("reindex", "OP-037", _REINDEX_SQL)
 def _(spark, d):
     """Every seventh note has a new text; its chunks are replaced, the others stay."""
     n = D.notes(spark, d)
     old = chunking.chunk_by_heading(n)
     edited = n.where("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit("\n## Added\nnew text"))).withColumn("mtime", C("mtime") + 1)
-    return chunking.reindex(edited, old)
+    return chunking.reindex(edited, old).select("path", C("idx").cast("bigint").alias("idx"), "heading", "content")
 
 
 # --- embedding -------------------------------------------------------------------

@@ -99,7 +99,22 @@ def _(spark, d):
     return S.upsert(n.select("path", "mtime", "hash"), up, ["path"], "mtime")
 
 
-@query("put_notes", "OP-054")
+_BYTES = "CAST(hex(encode(text)) AS STRING)"
+_DIGIT = "(position(substr(x, {p}, 1) in '0123456789ABCDEF') - 1)"
+_DJB = (
+    "list_reduce(list_concat([CAST(5381 AS BIGINT)], list_transform(range(0, length(x) // 2), lambda i: CAST("
+    + _DIGIT.format(p="2 * i + 1") + " * 16 + " + _DIGIT.format(p="2 * i + 2") + " AS BIGINT))), lambda a, c: (a * 33 + c) % 4294967296)"
+)
+_BASE36 = "ltrim(" + " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // {36 ** p}) % 36 AS BIGINT) + 1, 1)" for p in range(6, -1, -1)) + ", '0')"
+
+
+@query(
+    "put_notes", "OP-054",
+    _NM + ", e AS (SELECT path, mtime + 99 AS mtime, content || ' edited' AS text FROM notes WHERE doc_id % 3 = 0), "
+    f"x AS (SELECT path, mtime, {_BYTES} AS x, octet_length(encode(text)) AS size FROM e), hh AS (SELECT path, mtime, size, {_DJB} AS h FROM x) "
+    f"SELECT n.path, coalesce(hh.mtime, n.mtime) AS mtime, CASE WHEN hh.path IS NOT NULL THEN {_BASE36} ELSE n.hash END AS hash, CAST(coalesce(hh.size, m.size) AS BIGINT) AS size "
+    "FROM notes n LEFT JOIN hh ON hh.path = n.path LEFT JOIN manifest m ON m.path = n.path",
+)
 def _(spark, d):
     n, m = D.notes(spark, d), D.manifest(spark, d)
     edits = n.where("doc_id % 3 = 0").select("path", F.concat("content", F.lit(" edited")).alias("content"), (C("mtime") + 99).alias("ts"))
