@@ -3,7 +3,7 @@
 Each kind gives the first notes in path order and the full count. Pairs of notes that
 share a tag are never all listed: the first n notes sharing any of a note's items are
 among the first n + 1 holders of each item, and the count of all of them follows from
-inclusion and exclusion over the note's few items.
+inclusion and exclusion over the note's few much-used items.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from corpusloom.functions import text as X
 from corpusloom.functions.scale import lookup, materialize, top_per_key
 from corpusloom.operators.paths import parent_folder
 
-MAX_SUBSET_ITEMS = 6
+MAX_SUBSET_ITEMS = 10
+COLD_HOLDERS = 50
 
 
 def body_links(content: Column) -> Column:
@@ -38,34 +39,49 @@ def _first(items: DataFrame, n: int) -> DataFrame:
     return top_per_key(pairs, ["path"], [F.col("other")], n).select("path", "other", "rank")
 
 
-def shared_counts(items: DataFrame, max_items: int = MAX_SUBSET_ITEMS) -> DataFrame:
+def shared_counts(items: DataFrame, max_items: int = MAX_SUBSET_ITEMS, cold_holders: int = COLD_HOLDERS) -> DataFrame:
     """(path, n): how many other notes share at least one item with each note.
 
-    Notes with up to `max_items` items count each other by inclusion and exclusion:
-    every note yields its item subsets once, so the work is linear in the notes. Notes
-    with more items are compared with the holders of their items one by one."""
-    held = materialize(items.groupBy("path").agg(F.array_sort(F.collect_set("item")).alias("s")))
+    An item with more than `cold_holders` holders is hot. Sharing a hot item is counted by
+    inclusion and exclusion: every note yields the subsets of its few hot items once, so
+    the work is linear in the notes. Notes sharing only cold items are listed, which is at
+    most `cold_holders` rows per note and item. A note with more than `max_items` hot items
+    (more than that many hubs) is compared with the holders of its items one by one."""
+    items = materialize(items.select("path", "item").distinct())
+    hot_items = items.groupBy("item").count().where(F.col("count") > cold_holders).select("item")
+    hot = items.join(hot_items, "item", "left_semi")
+    cold = items.join(hot_items, "item", "left_anti")
+    held = materialize(hot.groupBy("path").agg(F.array_sort(F.collect_set("item")).alias("s")))
     light = held.where(F.size("s") <= max_items)
     masks = F.expr("sequence(1, shiftleft(1, size(s)) - 1)")
 
     def subset(mask):
         return F.filter("s", lambda x, i: F.call_function("shiftrightunsigned", mask, i).bitwiseAND(F.lit(1)) == 1)
 
-    subs = light.select("path", F.explode(F.transform(masks, lambda m: F.struct(
+    subs = light.select("path", F.explode_outer(F.transform(masks, lambda m: F.struct(
         F.array_join(subset(m), "\u0001").alias("key"), (F.pmod(F.bit_count(m), F.lit(2)) * 2 - 1).alias("sign")
     ))).alias("x")).select("path", "x.key", "x.sign")
     holders = subs.groupBy("key").agg(F.count("*").alias("n"))
     among_light = lookup(subs, holders, "key").groupBy("path").agg((F.sum(F.col("sign") * F.col("n")) - 1).alias("n"))
 
-    heavy = items.join(held.where(F.size("s") > max_items).select("path"), "path", "left_semi")
+    heavy = hot.join(held.where(F.size("s") > max_items).select("path"), "path", "left_semi")
     pairs = (
-        heavy.join(items.select("item", F.col("path").alias("other")), "item")
+        heavy.join(hot.select("item", F.col("path").alias("other")), "item")
         .where(F.col("path") != F.col("other")).select("path", "other").distinct()
     )
     of_heavy = pairs.groupBy("path").agg(F.count("*").alias("n"))
     light_side = pairs.join(light.select(F.col("path").alias("other")), "other", "left_semi")
     with_heavy = light_side.groupBy(F.col("other").alias("path")).agg(F.count("*").alias("n"))
-    return among_light.unionByName(with_heavy).unionByName(of_heavy).groupBy("path").agg(F.sum("n").alias("n"))
+
+    near = (
+        cold.join(cold.select("item", F.col("path").alias("other")), "item")
+        .where(F.col("path") != F.col("other")).select("path", "other").distinct()
+        .join(held, "path", "left").join(held.select(F.col("path").alias("other"), F.col("s").alias("s2")), "other", "left")
+        .where(~F.coalesce(F.arrays_overlap("s", "s2"), F.lit(False)))
+    )
+    only_cold = near.groupBy("path").agg(F.count("*").alias("n"))
+    parts = among_light.unionByName(with_heavy).unionByName(of_heavy).unionByName(only_cold)
+    return parts.groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def note_moc(notes: DataFrame, tags: Column | None = None, limit: int = K.MOC_LIMIT) -> DataFrame:

@@ -116,8 +116,8 @@ def test_shared_counts_light_and_heavy(spark):
     sets = {f"n{i}": set(rng.sample("abcdefghijk", rng.randint(1, 9))) | ({"hot"} if i % 3 == 0 else set()) for i in range(40)}
     items = spark.createDataFrame([(p, x) for p, s in sets.items() for x in s], "path string, item string")
     want = {p: sum(bool(s & o) for q, o in sets.items() if q != p) for p, s in sets.items()}
-    for limit in (2, 5, 12):
-        got = {r["path"]: r["n"] for r in RL.shared_counts(items, limit).collect()}
+    for limit, cold in ((2, 0), (12, 0), (3, 8), (12, 14), (1, 1000)):
+        got = {r["path"]: r["n"] for r in RL.shared_counts(items, limit, cold).collect()}
         assert {p: got.get(p, 0) for p in want} == want
 
 
