@@ -31,7 +31,8 @@ _LISTED = f"WITH lst AS (SELECT doc_id, text, n_chars, {_KEY} AS key, {_MS} AS m
 
 
 def lines(spark, d):
-    return D.derived(spark, d, "documents", f"{LINE} AS value")
+    # generated, so that filters on the line are not pushed into its long expression
+    return D.derived(spark, d, "documents", f"explode_outer(array({LINE})) AS value")
 
 
 def listing(spark, d):
