@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import top_per_key
 
 NOTE_HEAD = 4000
 

@@ -45,7 +45,6 @@ def vault_stats(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row of totals. Sizes are given in characters and in bytes."""
     links = X.links_wiki(F.col("content"))
     per = notes.select("path", F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), F.size(links).alias("n_links"))
-    biggest = F.max_by(F.struct("path", "n_chars"), F.struct("n_chars", F.lit(0)))
     totals = per.agg(
         F.count("*").alias("notes"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"),
         F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("links"),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.functions import text as X
 from corpusloom.functions.hashing import text_hash
 from corpusloom.functions.scale import top_per_key
 from corpusloom.operators import paths as P

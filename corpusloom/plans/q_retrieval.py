@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom import constants as K
-from corpusloom.functions import text as X
-from corpusloom.operators import chunking, context, embedding, paths as P, rerank as RR, retrieval as R
+from corpusloom.operators import chunking, context, embedding, rerank as RR, retrieval as R
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
 
@@ -401,7 +400,6 @@ def _(spark, d):
     return result_out(res.where("rank <= 5").withColumn("snippet", F.substring("snippet", 1, 300)))
 
 
-_IDX = "SELECT path, md5(content) AS hash FROM notes"
 
 
 @query(

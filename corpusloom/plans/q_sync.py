@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sync as S
-from corpusloom.plans import derive as D, sqltext as Q
+from corpusloom.plans import derive as D
 from corpusloom.plans.registry import query
 from corpusloom.sources import listing as L
 
