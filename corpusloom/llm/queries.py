@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import decontaminate as op1
+from corpusloom.llm import rules as op7
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         op1.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.quality_rules(table(spark, sf_dir, "documents"))
