@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import decontaminate as op1
+from corpusloom.llm import lines as op8
 from corpusloom.llm import rules as op7
+from corpusloom.llm import simhash as op2
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +57,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.quality_rules(table(spark, sf_dir, "documents"))
+
+
+_KEY = rf"regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+OP8_SQL = rf"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+keyed AS (SELECT doc_id, line, pos, {_KEY} AS k FROM lines),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, line, pos, keeper IS NOT NULL AND doc_id < keeper AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op8_line_dedup", OP8_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op8.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op2.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
