@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import decontaminate as op1
 from corpusloom.llm import lines as op8
+from corpusloom.llm import packing as op3
 from corpusloom.llm import rules as op7
 from corpusloom.llm import simhash as op2
 from corpusloom.llm.common import table
@@ -81,3 +82,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op2.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file; the folder is a parameter of the environment."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
