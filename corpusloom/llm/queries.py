@@ -11,6 +11,7 @@ from corpusloom.llm import lines as op8
 from corpusloom.llm import packing as op3
 from corpusloom.llm import rules as op7
 from corpusloom.llm import simhash as op2
+from corpusloom.llm import tokens as op9
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,8 @@ def tokenizer(name: str) -> str:
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
