@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm import classifier as op10
 from corpusloom.llm import decontaminate as op1
+from corpusloom.llm import langid as op6
 from corpusloom.llm import lines as op8
 from corpusloom.llm import packing as op3
 from corpusloom.llm import rules as op7
@@ -100,3 +102,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op10.train(docs, table(spark, sf_dir, "labels"))
+    out = op10.scores(docs, model)
+    return out.select(
+        "doc_id", op10.held_out(F.col("doc_id")).alias("held_out"), "score", op10.accepted(F.col("score")).cast("int").alias("predicted")
+    )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = op6.predict(docs, op6.train(docs))
+    return out.select("doc_id", op10.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
