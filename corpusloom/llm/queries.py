@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm import chat as op4
 from corpusloom.llm import classifier as op10
 from corpusloom.llm import decontaminate as op1
 from corpusloom.llm import langid as op6
 from corpusloom.llm import lines as op8
 from corpusloom.llm import packing as op3
+from corpusloom.llm import pii as op5
 from corpusloom.llm import rules as op7
 from corpusloom.llm import simhash as op2
 from corpusloom.llm import tokens as op9
@@ -119,3 +121,31 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = op6.predict(docs, op6.train(docs))
     return out.select("doc_id", op10.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op5.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", *[n(kind) for kind in op5.KINDS],
+        F.sha2(op5.spans_text("base"), 256).alias("base_sha256"), op5.spans_text("spans").alias("spans"),
+    )
+
+
+OP4_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+p AS (SELECT *, list(role || chr(0) || text) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM n),
+ends AS (SELECT min(conv_id) AS conv_id, upto FROM p WHERE pos = n_turns GROUP BY upto),
+kept AS (SELECT conv_id FROM ends WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n_turns AND p.upto = ends.upto))
+SELECT conv_id, CAST(pos AS BIGINT) AS pos, CAST(n_turns AS BIGINT) AS n_turns, role,
+  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, role = 'assistant' AS is_target
+FROM n JOIN kept USING (conv_id)"""
+
+
+@query("op4_chat_format", OP4_SQL)
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.format_chats(table(spark, sf_dir, "conversations"))
