@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows of every key. Spark cuts to n per task before the shuffle
-    (window group limit), so a hot key never sends more than n rows per task."""
+WINDOW_LIMIT = 1000  # up to this n Spark cuts a ranking window in each task
+RANK_SALTS = 32
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """First n rows of every key, all of them where n is None.
+
+    Up to WINDOW_LIMIT, Spark cuts to n per task before the shuffle (window group limit),
+    so a hot key never sends more than n rows per task. For a larger n the rows of a key
+    are first cut in RANK_SALTS parts, each of which is a task of its own."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    if n is None:
+        return df.withColumn(rank, F.row_number().over(w))
+    if n > WINDOW_LIMIT:
+        plain = [c for c, kind in df.dtypes if "map" not in kind and "variant" not in kind]
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(RANK_SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_in", F.row_number().over(part)).where(F.col("_in") <= n).drop("_salt", "_in")
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
@@ -60,15 +73,9 @@ def lookup(left: DataFrame, index: DataFrame, key: str, hot_rows: int = HOT_ROWS
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a narrow table once and read it back, where several branches need it. It is
-    written below the checkpoint folder, so lost executors cost nothing, and the files
-    tell the later joins how small it is."""
-    from corpusloom.session import checkpoint_dir
-
-    spark = df.sparkSession
-    target = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    """A narrow table that several branches need: computed when first used and kept in
+    memory or, where that is short, on the executors' disks; a lost part is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 BROADCAST_ROWS = 200_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,10 +36,13 @@ def outside_links(content: Column, keyword: Column) -> Column:
 _HITS = "path string, keyword string, offset int, usable boolean, preview string"
 
 
-def _positions(text: str, words, automaton):
-    """First offset of every keyword in a masked, lower-cased text."""
-    if automaton is None:
-        return {w: at for w in words if (at := text.find(w)) >= 0}
+def _first_places(text: str, words) -> dict[str, int]:
+    """First offset of every keyword of a list in a masked, lower-cased text."""
+    return {w: at for w in words if (at := text.find(w)) >= 0}
+
+
+def _first_matches(text: str, automaton) -> dict[str, int]:
+    """The same for all keywords of an automaton, in one pass."""
     first: dict[str, int] = {}
     for end, word in automaton.iter(text):
         first.setdefault(word, end - len(word) + 1)
@@ -52,22 +56,17 @@ def _scan(notes: DataFrame, words: list[str] | None) -> DataFrame:
     def job(batches):
         automaton = None
         if words:
-            try:
-                import ahocorasick
-
-                automaton = ahocorasick.Automaton()
-                for w in words:
-                    automaton.add_word(w, w)
-                automaton.make_automaton()
-            except ImportError:
-                automaton = None
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
         for pdf in batches:
             rows = []
             own = pdf["words"] if words is None else [words] * len(pdf)
             for path, content, mine in zip(pdf["path"], pdf["content"], own):
                 low = _LINK.sub(lambda m: "\0" * len(m.group()), content).lower()
                 dashes = content.find("---")
-                for word, at in _positions(low, mine, automaton).items():
+                for word, at in (_first_matches(low, automaton) if automaton else _first_places(low, mine)).items():
                     front = at < K.FRONT_ZONE and 0 <= dashes <= at - 3
                     near = content[max(0, at - K.PREVIEW_RADIUS) : at + len(word) + K.PREVIEW_RADIUS]
                     rows.append((path, word, at, not front, near))

@@ -1,7 +1,8 @@
 """Book text, the table of local books, and recovery of their texts.
 
-A book of very many chapters is assembled in parts of a fixed number of chapters, so no
-row and no task grows with the longest book; a usual book is one part.
+The text of a book is given as ordered pieces, one per chapter or chunk whatever the book's
+length; put together without anything between them they are the text. No row and no task
+grows with the longest book; a writer puts the pieces in order (as the exports do).
 """
 
 from __future__ import annotations
@@ -12,26 +13,24 @@ from corpusloom import constants as K
 from corpusloom.functions import text as X
 from corpusloom.functions.scale import running_sum, top_per_key
 
-PART_CHAPTERS = 256
-
-
-def _parts(rows: DataFrame, keys: list[str], order: str, piece: Column, per_part: int = PART_CHAPTERS) -> DataFrame:
-    """(keys…, part, text, chars): ordered pieces joined by blank lines. Positions are
-    counted over the rows kept, with a running count that splits long keys."""
+def _pieces(rows: DataFrame, keys: list[str], order: str, piece: Column, trim: bool = False) -> DataFrame:
+    """(keys…, pos, text): ordered pieces with a blank line before all but the first; with
+    `trim` the last one is trimmed at its end. Positions come from a running count that splits long keys."""
     numbered = running_sum(rows.withColumn("_piece", piece), keys, F.floor(F.col(order) / 1024), [order], F.lit(1), "_n")
-    return (
-        numbered.withColumn("part", F.floor((F.col("_n") - 1) / per_part).cast("int"))
-        .groupBy(*keys, "part")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_piece"))), lambda s: s["_piece"]), "\n\n").alias("text"))
+    text = F.concat(F.when(F.col("_n") > 1, "\n\n").otherwise(""), "_piece")
+    if not trim:
+        return numbered.select(*keys, F.col("_n").cast("bigint").alias("pos"), text.alias("text"))
+    last = rows.groupBy(*keys).agg(F.max(order).alias(order)).withColumn("_last", F.lit(True))
+    return numbered.join(last, [*keys, order], "left").select(
+        *keys, F.col("_n").cast("bigint").alias("pos"), F.when(F.col("_last"), F.regexp_replace(text, r"(?U)\s+$", "")).otherwise(text).alias("text")
     )
 
 
-def assemble_book(chapters: DataFrame, per_part: int = PART_CHAPTERS) -> DataFrame:
-    """(book, part, text) of chapters (book, ord, title, text): `## title`, a blank line and
+def assemble_book(chapters: DataFrame) -> DataFrame:
+    """(book, pos, text) of chapters (book, ord, title, text): `## title`, a blank line and
     the text, chapters with no text left out."""
     full = chapters.where(F.length(X.uni_trim(F.col("text"))) > 0)
-    parts = _parts(full, ["book"], "ord", F.concat(F.lit("## "), "title", F.lit("\n\n"), "text"), per_part)
-    return parts.withColumn("text", X.uni_trim(F.col("text")))
+    return _pieces(full, ["book"], "ord", F.concat(F.lit("## "), "title", F.lit("\n\n"), "text"), trim=True)
 
 
 def page_chapters(pages: DataFrame) -> DataFrame:
@@ -89,7 +88,7 @@ def dedupe_books(summary: DataFrame) -> DataFrame:
 
 
 def recover_text(books: DataFrame, notes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(path, part, source, text): the text of each book from its note, else from a note
+    """(path, pos, source, text): the text of each book, in pieces, from its note, else from a note
     with the same base name, else from its chunks; at least fifty characters are needed."""
     enough = F.length("content") >= K.BOOK_MIN_CHARS
     own = books.select("path", F.concat("path", F.lit(".md")).alias("_note"))
@@ -99,12 +98,12 @@ def recover_text(books: DataFrame, notes: DataFrame, chunks: DataFrame) -> DataF
     both = named.join(notes.select(F.col("path").alias("_p2"), F.col("content").alias("_c2")), "_p2", "left")
     text = F.when(F.col("_has1"), F.col("_c1")).otherwise(F.col("_c2"))
     chosen = both.select("path", text.alias("content"), F.when(F.col("_has1"), "note").otherwise("same name").alias("source"))
-    good = chosen.where(enough).select("path", F.lit(0).alias("part"), "source", body_of_book_note(F.col("content")).alias("text"))
+    good = chosen.where(enough).select("path", F.lit(1).cast("bigint").alias("pos"), "source", body_of_book_note(F.col("content")).alias("text"))
     rest = books.select("path").join(good.select("path"), "path", "left_anti")
     mine = chunks.join(rest, "path", "left_semi")
     sizes = mine.groupBy("path").agg((F.sum(F.length("content")) + 2 * (F.count("*") - 1)).alias("n")).where(F.col("n") >= K.BOOK_MIN_CHARS)
-    rebuilt = _parts(mine.join(sizes.select("path"), "path", "left_semi"), ["path"], "idx", F.col("content"))
-    return good.unionByName(rebuilt.select("path", "part", F.lit("chunks").alias("source"), "text"))
+    rebuilt = _pieces(mine.join(sizes.select("path"), "path", "left_semi"), ["path"], "idx", F.col("content"))
+    return good.unionByName(rebuilt.select("path", "pos", F.lit("chunks").alias("source"), "text"))
 
 
 def book_note(books: DataFrame) -> DataFrame:

@@ -16,9 +16,8 @@ def _joined(df: DataFrame, block, out: str) -> DataFrame:
 
 def rag_context(queries: DataFrame, kb: DataFrame, web: DataFrame | None = None) -> DataFrame:
     """(query_id, n_kb, n_web, context): numbered note and web blocks per query; a query
-    with neither gets the fixed "nothing found" text. Lists are limited to the search
-    result limit, so one row stays small."""
-    kb = kb.where(F.col("rank") <= K.DEFAULT_K)
+    with neither gets the fixed "nothing found" text. Every row handed in is formatted: how
+    many there are per query is set where the lists are made."""
     kb_block = F.concat(
         F.lit("[KB#"), F.col("rank").cast("string"), F.lit("] 笔记: "), "title", F.lit("\n路径: "), "path",
         F.lit("\n小节: "), "heading", F.lit("\n内容: "), X.cut(F.col("snippet"), K.CONTEXT_SNIPPET),
@@ -26,7 +25,6 @@ def rag_context(queries: DataFrame, kb: DataFrame, web: DataFrame | None = None)
     out = queries.select("query_id").join(_joined(kb, kb_block, "_kb"), "query_id", "left")
     out = out.join(kb.groupBy("query_id").agg(F.count("*").alias("n_kb")), "query_id", "left")
     if web is not None:
-        web = web.where(F.col("rank") <= K.DEFAULT_K)
         web_block = F.concat(
             F.lit("[Web#"), F.col("rank").cast("string"), F.lit("] 标题: "), "title", F.lit("\nURL: "), "url",
             F.lit("\n摘要: "), X.cut(F.col("content"), K.CONTEXT_SNIPPET),

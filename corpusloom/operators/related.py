@@ -14,6 +14,7 @@ from corpusloom import constants as K
 from corpusloom.functions import text as X
 from corpusloom.functions.scale import lookup, materialize, top_per_key
 from corpusloom.operators.paths import parent_folder
+from corpusloom.sources.notes import list_tags
 
 MAX_SUBSET_ITEMS = 10
 COLD_HOLDERS = 50
@@ -25,13 +26,6 @@ def body_links(content: Column) -> Column:
     return F.array_distinct(F.transform(X.links_render(body), lambda t: X.drop_md(F.lower(t))))
 
 
-def list_tags(content: Column) -> Column:
-    """Tags of the front matter list only."""
-    block = F.regexp_extract(content, X.FRONT_BLOCK, 1)
-    listed = F.split(F.regexp_extract(block, r"(?m)^tags:\s*\[([^\]]*)\]", 1), ",")
-    return F.array_distinct(X.nonempty(F.transform(listed, X._clean_tag)))
-
-
 def _first(items: DataFrame, n: int) -> DataFrame:
     """(path, other): the first n other notes, by path, sharing an item with each note."""
     heads = top_per_key(items, ["item"], [F.col("path")], n + 1).select("item", F.col("path").alias("other"))
@@ -92,7 +86,7 @@ def note_moc(notes: DataFrame, tags: Column | None = None, limit: int = K.MOC_LI
     # the texts are read once; what follows works on names, links and tags alone
     base = materialize(notes.select(
         "path", X.drop_md(F.lower("path")).alias("name"), body_links(F.col("content")).alias("links"),
-        (list_tags(F.col("content")) if tags is None else tags).alias("tags"),
+        F.array_distinct(list_tags(F.col("content")) if tags is None else tags).alias("tags"),
     ))
     links = base.select("path", F.explode("links").alias("item"))
     names = base.select(F.col("path").alias("target"), F.col("name").alias("item"))

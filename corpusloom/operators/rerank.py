@@ -41,8 +41,7 @@ def rerank_lexical(queries: DataFrame, results: DataFrame, top_n: int | None = N
         ),
     )
     order = [F.col("_new").desc(), F.col("rank")]
-    n = top_n if top_n is not None else K.DEFAULT_K
-    ranked = top_per_key(scored, ["query_id"], order, n, "_rank").where(~F.col("_blank"))
+    ranked = top_per_key(scored, ["query_id"], order, top_n, "_rank").where(~F.col("_blank"))
     same = scored.where("_blank").withColumn("_rank", F.col("rank"))
     return (
         ranked.unionByName(same)
@@ -56,8 +55,7 @@ def rerank_scored(results: DataFrame, scores: DataFrame, top_n: int | None = Non
     """Order by relevance computed elsewhere; `scores` is (query_id, path, idx, relevance).
     Results without a score are dropped, as a model returns only what it scored."""
     joined = results.join(scores, ["query_id", "path", "idx"])
-    n = top_n if top_n is not None else K.DEFAULT_K
-    ranked = top_per_key(joined, ["query_id"], [F.col("relevance").desc(), F.col("rank")], n, "_rank")
+    ranked = top_per_key(joined, ["query_id"], [F.col("relevance").desc(), F.col("rank")], top_n, "_rank")
     best = F.greatest(F.max("relevance").over(Window.partitionBy("query_id")), F.lit(1e-4))
     value = F.col("relevance") / best if normalize else F.col("relevance")
     return ranked.withColumn("score", value).withColumn("rank", F.col("_rank")).select(*results.columns)

@@ -8,7 +8,7 @@ from corpusloom import constants as K
 from corpusloom.functions import text as X
 from corpusloom.functions.scale import top_per_key
 from corpusloom.operators import paths as P
-from corpusloom.operators.related import list_tags
+from corpusloom.sources.notes import list_tags
 
 
 def note_tag_rows(notes: DataFrame) -> DataFrame:
@@ -72,7 +72,8 @@ def concepts(notes: DataFrame, limit: int = K.MAX_CONCEPTS, tags: Column | None
     """(rank, term, weight, paths): a front matter tag counts 2, a title term counts 1.
     Weights are relative to the best; paths are the first notes, tags before titles."""
     tag_list = list_tags(F.col("content")) if tags is None else tags
-    by_tag = notes.select("path", F.explode(F.filter(tag_list, lambda t: F.length(t) >= 2)).alias("term"), F.lit(2.0).alias("w"), F.lit(0).alias("src"))
+    tagged = notes.select("path", tag_list.alias("t"))
+    by_tag = tagged.select("path", F.explode(F.filter("t", lambda t: F.length(t) >= 2)).alias("term"), F.lit(2.0).alias("w"), F.lit(0).alias("src"))
     by_title = notes.select("path", F.explode(X.title_tokens(X.title_of(F.col("path")))).alias("term"), F.lit(1.0).alias("w"), F.lit(1).alias("src"))
     terms = by_tag.unionByName(by_title)
     weights = terms.groupBy("term").agg(F.sum("w").alias("raw"), F.min(F.struct("src", "path", "term")).alias("_seen"))

@@ -30,10 +30,10 @@ def stale(cached: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], recency: str) -> DataFrame:
     """Put by key: an update beats the stored row, the latest update beats the others."""
-    both = target.withColumn("_src", F.lit(0)).unionByName(updates.select(*target.columns).withColumn("_src", F.lit(1)))
+    # only the updates are ranked; stored rows, which are unique by key, just give way to them
     rest = [F.col(c).desc() for c in target.columns if c not in keys and c != recency]
-    last = top_per_key(both, keys, [F.col("_src").desc(), F.col(recency).desc(), *rest], 1, "_rn")
-    return last.select(*target.columns)
+    last = top_per_key(updates.select(*target.columns), keys, [F.col(recency).desc(), *rest], 1, "_rn").drop("_rn")
+    return target.join(last.select(*keys), keys, "left_anti").select(*target.columns).unionByName(last)
 
 
 def apply_sync(manifest: DataFrame, notes: DataFrame, fetched: DataFrame, prune: bool = False) -> DataFrame:
@@ -154,7 +154,7 @@ def corpus_census(listing: DataFrame, manifest: DataFrame, prefix: str) -> DataF
     is_md = F.lower("key").endswith(".md")
     row = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.alias("name"), n.cast("bigint").alias("n"))
     one = F.lit(1)
-    rel = F.substring("key", len(prefix) + 2, 1_000_000)
+    rel = F.substring("key", F.lit(len(prefix) + 2), F.length("key"))
     tagged = listing.select(
         F.array(
             row("extension", F.when(ext != "", ext).otherwise("(none)"), F.when(inside, one)),

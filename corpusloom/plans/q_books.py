@@ -124,15 +124,15 @@ def _(spark, d):
 
 # --- web results ------------------------------------------------------------------------
 _SERP = (
-    "'<div><a rel=\"x\" class=\"result__a\" href=\"' || url || '\"><b>' || split_part(url, '/', 3) || '</b> one</a><td class=\"result__snippet\"> ' || substr(html, 1, 3000) || '</td>' || "
+    "'<div><a rel=\"x\" class=\"result__a\" href=\"' || url || '\"><b>' || split_part(url, '/', 3) || '</b> one</a><td class=\"result__snippet\"> ' || html || '</td>' || "
     "'<a class=\"result__a\" href=\"/two\"> second <i>' || CAST(page_id AS STRING) || '</i></a>' || CASE WHEN page_id % 2 = 0 THEN '<td class=\"result__snippet\">plain</td>' ELSE '' END || '</div>'"
 )
-_STRIP_HTML = "trim(regexp_replace(substr(html, 1, 3000), '<[^>]*>', '', 'g'), e' \\t\\n')"
+_STRIP_HTML = "trim(regexp_replace(html, '<[^>]*>', '', 'g'), e' \\t\\n')"
 
 
 @query(
     "parse_serp", "OP-009",
-    "WITH p AS (SELECT page_id, url, regexp_extract(substr(html, 1, 3000), '(?s)^(.*?)(</td>|$)', 1) AS html FROM pages) "
+    "WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)^(.*?)(</td>|$)', 1) AS html FROM pages) "
     f"SELECT page_id, CAST(0 AS BIGINT) AS pos, split_part(url, '/', 3) || ' one' AS title, url, substr({_STRIP_HTML}, 1, 800) AS content FROM p "
     "UNION ALL SELECT page_id, 1, 'second ' || CAST(page_id AS STRING), '/two', CASE WHEN page_id % 2 = 0 THEN 'plain' ELSE '' END FROM p",
 )
@@ -143,11 +143,11 @@ def _(spark, d):
 
 @query(
     "normalize_web_json", "OP-010",
-    "SELECT page_id, CAST(0 AS BIGINT) AS pos, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'p' || CAST(page_id AS STRING) END AS title, url, repeat(CAST(page_id AS STRING) || ' ', 400)[1:800] AS content FROM pages "
+    "SELECT page_id, CAST(0 AS BIGINT) AS pos, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'p' || CAST(page_id AS STRING) END AS title, url, substr(html, 1, 800) AS content FROM pages "
     "UNION ALL SELECT page_id, 1, 'second', '', '' FROM pages",
 )
 def _(spark, d):
-    body = "repeat(CAST(page_id AS STRING) || ' ', 400)"
+    body = "html"
     name = "'p' || CAST(page_id AS STRING)"
     j = D.table(spark, d, "pages").selectExpr(
         "page_id",
@@ -190,11 +190,12 @@ def chapters(spark, d):
 
 @query(
     "assemble_book", "OP-008",
-    f"WITH c AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ord) AS n FROM ({_CHAPS}) WHERE trim(text) <> '') "
-    "SELECT book, CAST((n - 1) // 256 AS BIGINT) AS part, md5(trim(string_agg('## ' || title || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY ord), e' \\n')) AS digest FROM c GROUP BY 1, 2",
+    f"WITH c AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ord) AS pos, count(*) OVER (PARTITION BY book) AS n FROM ({_CHAPS}) WHERE trim(text) <> ''), "
+    "p AS (SELECT book, pos, n, CASE WHEN pos > 1 THEN chr(10) || chr(10) ELSE '' END || '## ' || title || chr(10) || chr(10) || text AS x FROM c) "
+    "SELECT book, pos, md5(CASE WHEN pos = n THEN rtrim(x, e' \\n') ELSE x END) AS digest FROM p",
 )
 def _(spark, d):
-    return B.assemble_book(chapters(spark, d)).select("book", *big("part"), F.md5("text").alias("digest"))
+    return B.assemble_book(chapters(spark, d)).select("book", "pos", F.md5("text").alias("digest"))
 
 
 @query(
@@ -291,15 +292,17 @@ _BN = "CASE WHEN doc_id % 3 = 0 THEN path || '.md' WHEN doc_id % 3 = 1 THEN 'old
     "bn AS (SELECT " + _BN.replace("doc_id", "length(path)") + " AS path, path || repeat(' text', length(path) % 13) AS content FROM bk), "
     "ch AS (SELECT bk.path, coalesce(n1.content, n2.content) AS content, CASE WHEN n1.path IS NULL THEN 'same name' ELSE 'note' END AS source FROM bk LEFT JOIN bn n1 ON n1.path = bk.path || '.md' "
     "LEFT JOIN (SELECT lower(regexp_extract(path, '([^/]*)$', 1)) AS base, arg_min(content, path) AS content FROM bn GROUP BY 1) n2 ON n2.base = lower(bk.path) || '.md'), "
-    "ok AS (SELECT path, CAST(0 AS BIGINT) AS part, source, content AS text FROM ch WHERE length(content) >= 50), "
-    "rb AS (SELECT path, CAST(0 AS BIGINT) AS part, 'chunks' AS source, string_agg(content, chr(10) || chr(10) ORDER BY idx) AS text FROM bc WHERE path IN (SELECT path FROM bk) AND path NOT IN (SELECT path FROM ok) GROUP BY path) "
-    "SELECT path, part, source, md5(text) AS digest FROM (SELECT * FROM ok UNION ALL SELECT * FROM rb WHERE length(text) >= 50)",
+    "ok AS (SELECT path, CAST(1 AS BIGINT) AS pos, source, content AS text FROM ch WHERE length(content) >= 50), "
+    "rs AS (SELECT path FROM bc WHERE path IN (SELECT path FROM bk) AND path NOT IN (SELECT path FROM ok) GROUP BY path HAVING length(string_agg(content, chr(10) || chr(10))) >= 50), "
+    "rn AS (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY idx) AS pos FROM bc WHERE path IN (SELECT path FROM rs)), "
+    "rb AS (SELECT path, pos, 'chunks' AS source, CASE WHEN pos > 1 THEN chr(10) || chr(10) ELSE '' END || content AS text FROM rn) "
+    "SELECT path, pos, source, md5(text) AS digest FROM (SELECT * FROM ok UNION ALL SELECT * FROM rb)",
 )
 def _(spark, d):
     ch = book_chunks(spark, d)
     bk = ch.where(X.starts_with_any(C("path"), K.LOCAL_MARKS)).select("path").distinct()
     notes = bk.selectExpr(_BN.replace("doc_id", "length(path)") + " AS path", "path || repeat(' text', length(path) % 13) AS content")
-    return B.recover_text(bk, notes, ch).select("path", *big("part"), "source", F.md5("text").alias("digest"))
+    return B.recover_text(bk, notes, ch).select("path", "pos", "source", F.md5("text").alias("digest"))
 
 
 @query(

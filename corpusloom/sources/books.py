@@ -53,6 +53,14 @@ class _Page(HTMLParser):
             self.body.append(data)
 
 
+def own_title(html: str) -> str:
+    """The text of `<title>`, empty without one."""
+    p = _Page()
+    p.feed(html)
+    p.close()
+    return (p.title or "").strip()
+
+
 def page_text(html: str, name: str) -> tuple[str, str]:
     """(title, text): `<title>`, else the first heading, else the file name."""
     p = _Page()
@@ -126,7 +134,9 @@ def epub_chapters(data: bytes):
             low = part.lower()
             if not re.search(r"\.x?html?$", low) or "nav" in low or "toc" in low or low in used:
                 continue
-            title, text = page_text(read(part), part)
+            html = read(part)
+            text = page_text(html, part)[1]
+            title = own_title(html) or part
             if len(text) >= K.FALLBACK_MIN_CHARS:
                 yield order, part, f"{title} (fallback)", text, len(spine), len(names)
                 order += 1

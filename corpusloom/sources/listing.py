@@ -59,7 +59,7 @@ def content_hash(etag: Column, size: Column, mtime: Column) -> Column:
 
 def _hashed(listing: DataFrame, name: str, prefix: str) -> DataFrame:
     return listing.select(
-        F.substring("key", len(prefix) + 2, 1_000_000).alias(name), "size", "mtime",
+        F.substring("key", F.lit(len(prefix) + 2), F.length("key")).alias(name), "size", "mtime",
         content_hash(F.col("etag"), F.col("size"), F.col("mtime")).alias("hash"),
     ).where(F.length(name) > 0)
 

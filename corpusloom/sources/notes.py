@@ -6,7 +6,8 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import yaml
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FRONT = re.compile(r"^﻿?---\r?\n(.*?)\r?\n---\r?\n?", re.S)
 _KEY = re.compile(r"^([^:\n\s][^:\n]{0,39}):\s*(.*)$")
@@ -37,11 +38,7 @@ def front_matter(content: str) -> tuple[dict, str]:
         return {}, content
     block, body = m.group(1), content[m.end():]
     try:
-        import yaml
-
         data = yaml.safe_load(block)
-    except ImportError:
-        return _salvage(block), body
     except Exception:  # noqa: BLE001 - any malformed block is salvaged line by line
         return _salvage(block), body
     return (data if isinstance(data, dict) else {}), body
@@ -70,3 +67,24 @@ def parse_front_matter(notes: DataFrame) -> DataFrame:
     return notes.select("path", "content").mapInPandas(
         job, "path string, fm map<string,string>, fm_tags array<string>, fm_tag string, fm_tags_text string, body string"
     )
+
+
+def _as_text(value) -> str:
+    """A tag as the text it is shown by."""
+    if value is None or isinstance(value, bool):
+        return {None: "null", True: "true", False: "false"}[value]
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+
+
+def list_tags(content: Column) -> Column:
+    """The front matter's `tags` where YAML gives a list, without one leading `#`, repeats
+    kept; an empty list for anything else, a broken header included."""
+
+    def job(texts: pd.Series) -> pd.Series:
+        def one(text):
+            tags = front_matter(text)[0].get("tags") if text and FRONT.match(text) else None
+            return [_as_text(t).removeprefix("#") for t in tags] if isinstance(tags, list) else []
+
+        return texts.map(one)
+
+    return F.pandas_udf(job, "array<string>")(content)

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import scale
 from corpusloom.functions.scale import lookup, running_sum
 from corpusloom.operators import agent, autolink as AL, books as B, chat as CH, links as LK, monitor as MO, related as RL, stats as ST, sync as S
+from corpusloom.sources.notes import list_tags
 
 NOTE = "path string, content string, mtime bigint, hash string, cached_at bigint"
 
@@ -197,16 +199,38 @@ def test_apply_and_revert(spark):
 
 
 # --- books ---------------------------------------------------------------------------
-def test_assemble_in_parts(spark):
-    ch = spark.createDataFrame([("b", i, f"T{i}", " " if i == 2 else f"x{i}") for i in range(7)] + [("e", 0, "T", "")], "book string, ord int, title string, text string")
-    parts = [r["text"] for r in B.assemble_book(ch, per_part=2).orderBy("part").collect()]
-    whole = B.assemble_book(ch).collect()
-    assert len(whole) == 1 and "\n\n".join(parts) == whole[0]["text"]
-    assert whole[0]["text"].startswith("## T0\n\nx0\n\n## T1\n\nx1\n\n## T3")
+def test_assembled_pieces_put_together(spark):
+    ch = spark.createDataFrame([("b", i, f"T{i}", " " if i == 2 else f"x{i}\n") for i in range(7)] + [("e", 0, "T", "")], "book string, ord int, title string, text string")
+    rows = B.assemble_book(ch).orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert "".join(r["text"] for r in rows) == "\n\n".join(f"## T{i}\n\nx{i}\n" for i in (0, 1, 3, 4, 5, 6)).strip()
     rep = {r["book"]: r["scanned"] for r in B.book_report(ch).collect()}
     assert rep == {"b": False, "e": True}
 
 
+def test_list_tags_come_from_yaml(spark):
+    n = notes_of(spark, **{
+        "one.md": "---\ntags:\n  - red\n  - '#blue'\n---\nx", "two.md": "---\ntags: [red, red, 7]\n---\nx",
+        "bad.md": "---\ntags: [red]\nx: [open\n---\nx", "text.md": "---\ntags: red, blue\n---\nx", "none.md": "x",
+    })
+    got = {r["path"]: r["t"] for r in n.select("path", list_tags(F.col("content")).alias("t")).collect()}
+    assert got == {"one.md": ["red", "blue"], "two.md": ["red", "red", "7"], "bad.md": [], "text.md": [], "none.md": []}
+    best = {r["term"]: (r["weight"], r["paths"]) for r in ST.concepts(n).collect()}
+    assert best["red"] == (1.0, ["one.md", "two.md"]) and best["blue"] == (2 / 6, ["one.md"]) and "7" not in best
+    moc = {(r["path"], r["other"], r["tag"]) for r in RL.note_moc(n).where("kind = 'same-tag'").collect()}
+    assert moc == {("one.md", "two.md", "red"), ("two.md", "one.md", "red")}
+
+
+def test_top_per_key_in_two_stages(spark, monkeypatch):
+    rows = [("hot", i % 50, i) for i in range(400)] + [("cold", 1, 1), ("cold", 2, 2)]
+    df = spark.createDataFrame(rows, "k string, a int, b int")
+    order = [F.col("a"), F.col("b").desc()]
+    want = {tuple(r) for r in scale.top_per_key(df, ["k"], order, 120).collect()}
+    monkeypatch.setattr(scale, "WINDOW_LIMIT", 10)
+    assert {tuple(r) for r in scale.top_per_key(df, ["k"], order, 120).collect()} == want
+    assert scale.top_per_key(df, ["k"], order, None).count() == len(rows)
+
+
 def test_book_note_header_is_taken_off(spark):
     b = spark.createDataFrame([("pdf", "n.pdf", 3, "body text")], "kind string, name string, chunks int, text string")
     note = B.book_note(b)
