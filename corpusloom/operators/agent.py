@@ -49,6 +49,8 @@ def parse_tool_calls(replies: DataFrame, column: str = "text") -> DataFrame:
         *keep, X.uni_trim(F.regexp_extract(column, _CALL, 1)).alias("thought"),
         F.trim(F.concat(F.regexp_extract(column, _CALL, 2), F.regexp_extract(column, _CALL, 3))).alias("_j"),
     )
+    # a JSON text with anything after it is no JSON: put into brackets it must be one element
+    raw = raw.where(F.json_array_length(F.concat(F.lit("["), "_j", F.lit("]"))) == 1)
     get = lambda *keys: F.coalesce(*[F.nullif(F.get_json_object("_j", f"$.{k}"), F.lit("")) for k in keys])
     return raw.select(
         *keep, "thought", get("name", "tool", "function").alias("tool"), F.coalesce(get("args", "input", "parameters"), F.lit("{}")).alias("args")

@@ -65,7 +65,9 @@ def iso_time(millis: Column) -> Column:
 
 
 def export_jsonld(notes: DataFrame, prefix: str = "", base: str = "vault:///") -> DataFrame:
-    """(path, text): one graph node per note as JSON."""
+    """(part, path, text): the pieces of a JSON-LD document. Part 0 opens it with the context,
+    part 1 has a graph node per note in path order, part 2 closes it; put together in the
+    order of part and path, they are the document."""
     inside = P.scope_filter(notes, [prefix]) if prefix else notes
     uri = lambda c: F.concat(F.lit(base), c)
     refs = F.transform(F.array_distinct(X.links_graph(F.col("content"))), uri)
@@ -73,7 +75,15 @@ def export_jsonld(notes: DataFrame, prefix: str = "", base: str = "vault:///") -
         uri(F.col("path")).alias("@id"), F.lit("schema:Article").alias("@type"), uri(F.col("path")).alias("path"),
         X.title_of(F.col("path")).alias("title"), iso_time(F.col("mtime")).alias("mtime"), refs.alias("references"), F.length("content").alias("size"),
     )
-    return inside.select("path", F.to_json(node).alias("text"))
+    spark = notes.sparkSession
+    edge = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("path"), F.lit(text).alias("text"))
+    first = inside.agg(F.min("path").alias("_first"))  # one row
+    nodes = inside.select("path", F.to_json(node).alias("text")).join(F.broadcast(first), F.lit(True))
+    comma = F.when(F.col("path") == F.col("_first"), F.col("text")).otherwise(F.concat(F.lit(",\n"), F.col("text")))
+    return (
+        edge(0, f'{{"@context": {JSONLD_CONTEXT}, "@graph": [\n')
+        .unionByName(nodes.select(F.lit(1).alias("part"), "path", comma.alias("text"))).unionByName(edge(2, "\n]}"))
+    )
 
 
 JSONLD_CONTEXT = (

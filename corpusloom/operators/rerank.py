@@ -40,7 +40,7 @@ def rerank_lexical(queries: DataFrame, results: DataFrame, top_n: int | None = N
             lexical_score(F.col("_tok"), F.col("title"), F.col("heading"), F.col("snippet"))
         ),
     )
-    order = [F.col("_new").desc(), F.col("rank")]
+    order = [F.round("_new", 9).desc(), F.col("rank")]
     ranked = top_per_key(scored, ["query_id"], order, top_n, "_rank").where(~F.col("_blank"))
     same = scored.where("_blank").withColumn("_rank", F.col("rank"))
     return (

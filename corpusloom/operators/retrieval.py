@@ -140,53 +140,48 @@ def with_snippets(top: DataFrame, queries: DataFrame, chunks: DataFrame) -> Data
 
 
 # --- vectors -----------------------------------------------------------------
-def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
+QUERY_BLOCK, VECTOR_ROWS, BLOCK_RESULTS = 1024, 4096, 2_000_000
+
+
+def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, path, idx, score): exact top-k by dot product.
 
-    Query vectors are sent to the tasks as one matrix, which is checked to be small;
-    a larger batch is answered by a join per group of queries instead. Every task
-    multiplies its block of vectors and keeps its own best k, so only k rows per
-    query and task are shuffled to the final ranking.
-    """
-    n = query_vectors.limit(max_queries + 1).count()
-    if n > max_queries:
-        groups = -(-query_vectors.count() // max_queries)
-        part = F.pmod(F.xxhash64("query_id"), F.lit(groups))
-        out = None
-        for g in range(groups):
-            one = vector_top(query_vectors.where(part == g), vectors, k, max_queries * 2)
-            out = one if out is None else out.unionByName(one)
-        return out
-    rows = query_vectors.select("query_id", "vec").toPandas()
-    ids = rows["query_id"].tolist()
-    id_type = query_vectors.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, path string, idx int, score double"
-    matrix = np.asarray(rows["vec"].tolist(), dtype=np.float64) if ids else np.zeros((0, 0))
-
-    def best(batches):
-        kept: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            scores = np.asarray(pdf["vec"].tolist(), dtype=np.float64) @ matrix.T
-            path, idx = pdf["path"].to_numpy(), pdf["idx"].to_numpy()
-            parts = []
-            for j, qid in enumerate(ids):
-                s = scores[:, j]
-                # ties at the cut are all kept; the final ranking resolves them
-                rows_ = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0] if len(s) > k else np.arange(len(s))
-                parts.append(pd.DataFrame({"query_id": qid, "path": path[rows_], "idx": idx[rows_], "score": s[rows_]}))
-            kept.append(pd.concat(parts))
-            if sum(map(len, kept)) > 4 * k * len(ids) + 100_000:
-                kept = [_cut(pd.concat(kept), k)]
-        if kept:
-            yield _cut(pd.concat(kept), k)
-
-    def _cut(pdf, k_):
-        ordered = pdf.sort_values(["query_id", "score", "path", "idx"], ascending=[True, False, True, True])
-        return ordered.groupby("query_id", sort=False).head(k_)
-
-    partial = vectors.select("path", F.col("idx").cast("int").alias("idx"), "vec").mapInPandas(best, schema)
+    Queries and vectors meet as blocks of rows: vectors are dealt over as many parts as a
+    shuffle has, queries in blocks small enough that a block's results stay below
+    BLOCK_RESULTS for any k, and every pair of blocks is one matrix product. A pair keeps
+    its best k per query; the final ranking cuts what the parts give."""
+    size = query_block or max(1, min(QUERY_BLOCK, BLOCK_RESULTS // max(1, k)))
+    blocks = 1 + (query_vectors.count() - 1) // size
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    q = query_vectors.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int").alias("_q"), deal(parts).alias("_v"))
+    v = vectors.select(
+        "path", F.col("idx").cast("int").alias("idx"), "vec", deal(blocks).alias("_q"), F.pmod(F.xxhash64("path", "idx"), F.lit(parts)).cast("int").alias("_v")
+    )
+
+    def best(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "path": [], "idx": [], "score": []})
+        if not len(mine) or not len(asked):
+            return none
+        matrix = np.stack(asked["vec"].to_list()).astype(np.float64).T
+        rows, cols, scores = [], [], []
+        for at in range(0, len(mine), VECTOR_ROWS):
+            block = np.stack(mine["vec"].iloc[at : at + VECTOR_ROWS].to_list()).astype(np.float64) @ matrix
+            # what could be among the best k once scores are rounded as in the final order
+            least = np.partition(block, len(block) - k, axis=0)[len(block) - k] - 2e-9 if len(block) > k else -np.inf
+            r, c = np.nonzero(block >= least)
+            rows, cols, scores = [*rows, r + at], [*cols, c], [*scores, block[r, c]]
+        out = pd.DataFrame({"r": np.concatenate(rows), "c": np.concatenate(cols), "score": np.concatenate(scores)})
+        if len(rows) > 1:
+            cut = out.groupby("c")["score"].nlargest(k).groupby("c").min()
+            out = out[out["score"] >= out["c"].map(cut) - 2e-9]
+        r, c = out["r"].to_numpy(), out["c"].to_numpy()
+        return pd.DataFrame({
+            "query_id": asked["query_id"].to_numpy()[c], "path": mine["path"].to_numpy()[r], "idx": mine["idx"].to_numpy()[r], "score": out["score"].to_numpy()
+        })
+
+    kind = query_vectors.schema["query_id"].dataType.simpleString()
+    partial = v.groupBy("_q", "_v").cogroup(q.groupBy("_q", "_v")).applyInPandas(best, f"query_id {kind}, path string, idx int, score double")
     return top_per_key(partial, ["query_id"], _by_score(), k)
 
 

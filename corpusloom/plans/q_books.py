@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.operators import autolink as AL, books as B, chunking
+from corpusloom.operators import autolink as AL, books as B
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.q_links import _TAGLIST, big
 from corpusloom.plans.q_text import KEYWORDS_SQL
@@ -60,14 +60,24 @@ def _(spark, d):
     return D.notes(spark, d).select("path", *[AL.outside_links(C("content"), F.lit(w)).cast("bigint").alias(n) for w, n in (("知识", "han"), ("NEXT", "latin"))])
 
 
-@query("apply_links", "OP-075")
+# of overlapping candidates the leftmost, then longest, stays; marks are numbered from the end
+_APPLIED = _CAND.replace("WITH ", "WITH RECURSIVE ", 1) + (
+    ", od AS (SELECT source, target, ofs, length(keyword) AS n, row_number() OVER (PARTITION BY source ORDER BY ofs, length(keyword) DESC, target) AS i FROM cand), "
+    "wk AS (SELECT source, i, ofs, n, target, true AS kept, ofs + n AS till FROM od WHERE i = 1 UNION ALL "
+    "SELECT o.source, o.i, o.ofs, o.n, o.target, o.ofs >= w.till, CASE WHEN o.ofs >= w.till THEN o.ofs + o.n ELSE w.till END FROM wk w JOIN od o ON o.source = w.source AND o.i = w.i + 1), "
+    "kp AS (SELECT source, ofs, n, target, row_number() OVER (PARTITION BY source ORDER BY ofs DESC) - 1 AS no, lag(ofs + n, 1, 0) OVER (PARTITION BY source ORDER BY ofs) AS prev FROM wk WHERE kept), "
+    "tx AS (SELECT source, count(*) AS links, max(ofs + n) AS last, string_agg(substr(content, prev + 1, ofs - prev) || '<!--@autolink:' || no || ':' || array_to_string(list_transform(string_split(target, '/'), lambda s: url_encode(s)), '/') "
+    "|| '-->[[' || substr(content, ofs + 1, n) || ']]', '' ORDER BY ofs) AS head FROM kp JOIN notes ON path = source GROUP BY source) "
+    "SELECT path, coalesce(links, 0) AS links, mtime + CASE WHEN links > 0 THEN 1 ELSE 0 END AS mtime, md5(CASE WHEN links > 0 THEN head || substr(content, last + 1) ELSE content END) AS digest FROM notes LEFT JOIN tx ON source = path"
+)
+
+
+@query("apply_links", "OP-075", _APPLIED)
 def _(spark, d):
-    """Candidates written into the notes, and the changed notes cut again."""
+    """Candidates written into the notes."""
     n = D.notes(spark, d).select("path", "content", "mtime")
     done = AL.apply_links(n, AL.link_candidates(n), mtime=C("mtime") + 1)
-    ch = chunking.chunk_by_paragraph(done, K.BOOK_CHUNK)
-    marks = done.select("path", F.regexp_count("content", F.lit(AL.MARKED)).alias("links"))
-    return ch.groupBy("path").agg(F.count("*").alias("chunks")).join(marks, "path")
+    return done.select("path", F.regexp_count("content", F.lit(AL.MARKED)).cast("bigint").alias("links"), "mtime", F.md5("content").alias("digest"))
 
 
 @query(

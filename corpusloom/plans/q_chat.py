@@ -285,14 +285,32 @@ def _(spark, d):
 @query(
     "export_jsonld", "OP-098",
     _N + f", l AS (SELECT path, content, mtime, list_transform({Q.LINKS_GRAPH}, lambda x: 'vault:///' || x) AS r FROM notes) "
-    f"SELECT path, CAST(json_object('@id', 'vault:///' || path, '@type', 'schema:Article', 'path', 'vault:///' || path, 'title', {Q.title('path')}, 'mtime', strftime(make_timestamp(mtime * 1000), '%Y-%m-%dT%H:%M:%S') || '.000Z', "
-    "'references', list_filter(r, lambda x, i: list_position(r, x) = i), 'size', length(content)) AS VARCHAR) AS text FROM l",
+    f", j AS (SELECT path, CAST(json_object('@id', 'vault:///' || path, '@type', 'schema:Article', 'path', 'vault:///' || path, 'title', {Q.title('path')}, 'mtime', strftime(make_timestamp(mtime * 1000), '%Y-%m-%dT%H:%M:%S') || '.000Z', "
+    "'references', list_filter(r, lambda x, i: list_position(r, x) = i), 'size', length(content)) AS VARCHAR) AS text FROM l) "
+    "SELECT CAST(0 AS BIGINT) AS part, '' AS path, '{\"@context\": ' || " + "'" + EX.JSONLD_CONTEXT + "'" + " || ', \"@graph\": [' || chr(10) AS text "
+    "UNION ALL SELECT 1, path, CASE WHEN path = (SELECT min(path) FROM j) THEN '' ELSE ',' || chr(10) END || text FROM j UNION ALL SELECT 2, '', chr(10) || ']}'",
 )
 def _(spark, d):
-    return EX.export_jsonld(D.notes(spark, d))
+    return EX.export_jsonld(D.notes(spark, d)).select(*big("part"), "path", "text")
+
+
+_BAR = "CAST(floor(raw * 10.0 / (SELECT max(raw) FROM top) + 0.5) AS BIGINT)"
+_WIKI = (
+    _N + _CONCEPTS.rstrip() + f", tr AS (SELECT path, unnest({Q.QUICK_TAGS}) AS tag FROM notes), "
+    "tp AS (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(path), tag) AS rank FROM tr GROUP BY tag), "
+    "tg AS (SELECT * FROM (SELECT rank, tag, n, path, row_number() OVER (PARTITION BY tag ORDER BY path) AS pos FROM tr JOIN tp USING (tag) WHERE rank <= 8) WHERE pos <= 20), "
+    f"tl AS (SELECT path, {Q.title('path')} AS title, mtime FROM notes ORDER BY mtime DESC, path LIMIT 15), "
+    f"fo AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest({Q.FOLDERS}) AS x FROM notes)), "
+    "ov AS (SELECT '# (whole vault) Wiki' || chr(10) || chr(10) || '## 📌 概览' || chr(10) || chr(10) || '共 ' || count(*) || ' 篇笔记 · 总大小 ' || printf('%.1f', sum(length(content)) / 1024.0) "
+    "|| ' KB · 平均 ' || CAST(floor(sum(length(content)) / count(*) + 0.5) AS BIGINT) || ' 字/篇 · 分布在 ' || (SELECT n FROM fo) || ' 个子目录' || chr(10) AS t FROM notes), "
+    f"c AS (SELECT string_agg('- `' || term || '` ' || repeat('█', {_BAR}) || repeat('░', 10 - {_BAR}) || ' (' || length(string_split(paths, '|')) || ' 篇)', chr(10) ORDER BY raw DESC, ms, fp, term) AS t FROM top JOIN fs USING (term)), "
+    "g AS (SELECT string_agg(CASE WHEN pos = 1 THEN '### #' || tag || ' (' || n || ')' || chr(10) ELSE '' END || '- [[' || path || ']]' || CASE WHEN pos = least(n, 20) THEN chr(10) || CASE WHEN n > 20 THEN '- ... +' || (n - 20) || ' 篇' || chr(10) ELSE '' END ELSE '' END, chr(10) ORDER BY rank, pos) AS t FROM tg), "
+    "l AS (SELECT string_agg('- ' || strftime(make_timestamp(mtime * 1000), '%Y/%-m/%-d') || ' [[' || path || '|' || title || ']]', chr(10) ORDER BY mtime DESC, path) AS t FROM tl) "
+    "SELECT array_to_string([ov.t, '## 🔑 关键概念' || chr(10) || chr(10) || c.t || chr(10), '## 🗂 MOC 索引' || chr(10) || chr(10) || g.t || chr(10), '## 📅 时间线' || chr(10) || chr(10) || l.t || chr(10)], chr(10)) AS text FROM ov, c, g, l"
+)
 
 
-@query("render_wiki", "OP-097 OP-071")
+@query("render_wiki", "OP-097 OP-071", _WIKI)
 def _(spark, d):
     return EX.render_wiki(ST.auto_wiki(D.notes(spark, d)))
 

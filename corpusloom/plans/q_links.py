@@ -228,8 +228,12 @@ def _(spark, d):
     "auto_wiki", "OP-071",
     _N + f", ins AS (SELECT * FROM notes WHERE path LIKE 'inbox/%'), tr AS (SELECT path, unnest({Q.QUICK_TAGS}) AS tag FROM ins), "
     "tp AS (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(path), tag) AS rank FROM tr GROUP BY tag), "
-    "tg AS (SELECT rank, tag, n, path, row_number() OVER (PARTITION BY tag ORDER BY path) AS pos FROM tr JOIN tp USING (tag) WHERE rank <= 8) "
-    "SELECT 'overview' AS section, CAST(0 AS BIGINT) AS pos, 'inbox' AS name, count(*) AS n FROM ins "
+    "tg AS (SELECT rank, tag, n, path, row_number() OVER (PARTITION BY tag ORDER BY path) AS pos FROM tr JOIN tp USING (tag) WHERE rank <= 8)"
+    f", fo AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest({Q.FOLDERS}) AS x FROM ins)), "
+    "ov AS (SELECT count(*) AS a, CAST(sum(length(content)) AS BIGINT) AS b, CAST(floor(sum(length(content)) / count(*) + 0.5) AS BIGINT) AS c, (SELECT n FROM fo) AS e FROM ins), "
+    + _CONCEPTS.lstrip(", ").replace("FROM notes", "FROM ins").rstrip() + " "
+    "SELECT 'overview' AS section, unnest(range(4)) AS pos, unnest(['notes', 'chars', 'avg_chars', 'folders']) AS name, unnest([a, b, c, e]) AS n FROM ov "
+    "UNION ALL SELECT 'concept', row_number() OVER (ORDER BY raw DESC, ms, fp, term), term || ' ' || paths, CAST(round(raw * 1000000.0 / (SELECT max(raw) FROM top)) AS BIGINT) FROM top JOIN fs USING (term) "
     "UNION ALL SELECT 'tag', rank * 100 + pos, tag || ' ' || path, n FROM tg WHERE pos <= 20 "
     "UNION ALL SELECT 'timeline', row_number() OVER (ORDER BY mtime DESC, path), path, mtime FROM (SELECT * FROM ins ORDER BY mtime DESC, path LIMIT 15)",
 )
@@ -237,9 +241,14 @@ def _(spark, d):
     from pyspark.sql import Window
 
     w = ST.auto_wiki(D.notes(spark, d), "inbox")
-    over = w["overview"].select(F.lit("overview").alias("section"), F.lit(0).cast("bigint").alias("pos"), F.lit("inbox").alias("name"), C("notes").alias("n"))
+    names = ["notes", "chars", "avg_chars", "folders"]
+    values = F.posexplode(F.array(*[F.struct(F.lit(x).alias("name"), C(x).cast("bigint").alias("n")) for x in names])).alias("pos", "v")
+    over = w["overview"].select(F.lit("overview").alias("section"), values).select("section", C("pos").cast("bigint").alias("pos"), "v.name", "v.n")
+    terms = w["concepts"].select(
+        F.lit("concept").alias("section"), C("rank").cast("bigint").alias("pos"), F.concat("term", F.lit(" "), F.array_join("paths", "|")).alias("name"), F.round(C("weight") * 1000000).cast("bigint").alias("n")
+    )
     tags = w["tags"].select(F.lit("tag").alias("section"), (C("rank") * 100 + C("pos")).cast("bigint").alias("pos"), F.concat("tag", F.lit(" "), "path").alias("name"), C("count").alias("n"))
     line = w["timeline"].select(
         F.lit("timeline").alias("section"), F.row_number().over(Window.orderBy(C("mtime").desc(), "path")).cast("bigint").alias("pos"), C("path").alias("name"), C("mtime").alias("n")
     )
-    return over.unionByName(tags).unionByName(line)
+    return over.unionByName(terms).unionByName(tags).unionByName(line)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom import constants as K
-from corpusloom.operators import chunking, context, embedding, rerank as RR, retrieval as R
+from corpusloom.operators import agent, chunking, context, embedding, rerank as RR, retrieval as R
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
 
@@ -391,13 +391,29 @@ def _(spark, d):
     )
 
 
-@query("search_sections", "OP-045 OP-092 OP-035 OP-039")
+_HEAD_CTES, _HEAD_ROWS = _HEADING_SQL.rsplit("SELECT path, row_number()", 1)
+_CHUNK_KEY = "path || '#' || CAST(idx AS STRING)"
+_SECTIONS_SQL = (
+    f"{_HEAD_CTES.rstrip()}, hc AS (SELECT path, row_number(){_HEAD_ROWS}), chunks AS (SELECT path, idx, heading, hc.content, mtime FROM hc JOIN notes USING (path)), "
+    + _BM25.replace(_CHUNKS + ", ", "") + f", {_RESULT}, " + _embed_sql("(SELECT item_id AS query_id, text FROM benchmark)", "query_id", "qv") + ", "
+    + _embed_sql(f"(SELECT {_CHUNK_KEY} AS ck, content AS text FROM chunks)", "ck", "dv")
+    + f", vs AS (SELECT query_id, path, idx, sum(CAST(q.v AS DOUBLE) * CAST(d.v AS DOUBLE)) AS score FROM qv q JOIN dv d USING (bucket) JOIN (SELECT path, idx, {_CHUNK_KEY} AS ck FROM chunks) USING (ck) GROUP BY ALL), "
+    f"vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, idx) AS rank FROM vs), {_VRES}, {_FUSED}, "
+    f"fo AS ({_budget_sql('fr', 30000, 9999)}), {_rerank_score_sql('fo')}, "
+    "rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, old) AS rank FROM rs) WHERE rank <= 10) "
+    f"SELECT query_id, rank, path, CAST(idx AS BIGINT) AS idx, heading, title, round(score, 6) AS score, substr(snippet, 1, 300) AS snippet FROM ({_budget_sql('rr', 30000, 9999)}) WHERE rank <= 5"
+)
+
+
+@query("search_sections", "OP-045 OP-092 OP-035 OP-039", _SECTIONS_SQL)
 def _(spark, d):
     """The whole read path on real chunks: cut notes, index them, search both ways,
     rerank, keep five short snippets per query."""
     ch = chunking.chunk_by_heading(D.notes(spark, d))
     res = R.search(bench_queries(spark, d), ch, embedding.build_vectors(ch), mode="hybrid", rerank_top=10)
-    return result_out(res.where("rank <= 5").withColumn("snippet", F.substring("snippet", 1, 300)))
+    return agent.kb_lookup(res).select(
+        "query_id", C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx"), "heading", "title", F.round("score", 6).alias("score"), "snippet"
+    )
 
 
 

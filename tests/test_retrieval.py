@@ -107,7 +107,23 @@ def test_vector_top_in_query_groups(spark):
     v = spark.createDataFrame(VECTORS, "path string, idx int, vec array<double>")
     qv = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(7)], "query_id int, vec array<double>")
     key = lambda df: sorted((r["query_id"], r["rank"], r["idx"]) for r in df.collect())
-    assert key(R.vector_top(qv, v, 2)) == key(R.vector_top(qv, v, 2, max_queries=3))
+    assert key(R.vector_top(qv, v, 2)) == key(R.vector_top(qv, v, 2, query_block=3))
+
+
+def test_vector_top_in_blocks_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "VECTOR_ROWS", 7)
+    monkeypatch.setattr(R, "BLOCK_RESULTS", 3000)
+    # few distinct values, so that many scores tie
+    vectors = [(f"p{i % 40}", i, [float(i % 3), float(i % 7), 1.0 / (1 + i % 5)]) for i in range(1500)]
+    asked = [(i, [float(i % 2), 1.0, 0.5 * i]) for i in range(5)]
+    v = spark.createDataFrame(vectors, "path string, idx int, vec array<double>")
+    qv = spark.createDataFrame(asked, "query_id int, vec array<double>")
+    for k in (3, 1200):
+        want = set()
+        for q_id, q_vec in asked:
+            best = sorted((-round(sum(a * b for a, b in zip(q_vec, x)), 9), p, i) for p, i, x in vectors)[:k]
+            want |= {(q_id, n + 1, p, i) for n, (_, p, i) in enumerate(best)}
+        assert {(r["query_id"], r["rank"], r["path"], r["idx"]) for r in R.vector_top(qv, v, k).collect()} == want
 
 
 def test_vector_without_chunk_is_dropped(spark, chunks):

@@ -258,7 +258,7 @@ def test_memory_limits(spark):
 
 
 def test_tool_call_aliases(spark):
-    texts = ['a <tool_call>{"tool": "x", "parameters": {"k": 1}}</tool_call>', "```tool_call\n{\"name\": \"y\"}\n```", "<tool_call>{}</tool_call>", "none"]
+    texts = ['a <tool_call>{"tool": "x", "parameters": {"k": 1}}</tool_call>', "```tool_call\n{\"name\": \"y\"}\n```", "<tool_call>{}</tool_call>", "none", '<tool_call>{"name": "z"} and more</tool_call>', '<tool_call>{"name": "z"}{"name": "z"}</tool_call>']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [(r["i"], r["thought"], r["tool"], r["args"]) for r in agent.parse_tool_calls(df).orderBy("i").collect()] == [(0, "a", "x", '{"k":1}'), (1, "", "y", "{}")]
 
