@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import ascii_lower, stored
+from corpusloom.llm.common import ascii_lower, fresh, stored
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # fixed by the contract: everything between words
 WINDOW = 13
@@ -146,11 +146,12 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """The documents that the rule leaves, with all their columns. The ids to drop are
-    shuffled, joined by id and text, and are few; rows with null ids are judged as well."""
-    id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
+    """The documents that the rule leaves, with all their columns. Rows that share an id go
+    together when any of them is contaminated, rows with a null id likewise."""
+    id_col = names.get("id_col", "doc_id")
+    bad_id = fresh(docs, "_bad_id")
     bad = contamination(docs, benchmark, **names).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(
-        F.col("doc_id").alias("_bad_id")
+        F.col("doc_id").alias(bad_id)
     ).distinct()
     bad = stored(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)), "left_anti")

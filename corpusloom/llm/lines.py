@@ -110,6 +110,7 @@ def dedup_lines(
     n_dropped (with underscores appended where the documents have such columns)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_lines, n_dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
+    doc, key, lost, left, all_lines = (fresh(docs, x) for x in ("_doc", "_t", "_gone", "_left", "_lines"))
     lines = stored(
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("t"), F.posexplode(F.transform(line_keys(text), hashed)).alias("pos", "h"))
@@ -122,17 +123,17 @@ def dedup_lines(
     common = stored(runs.compacted().where(F.col("n_docs") >= min_docs).select("a", "b", "max_doc"))
     drops = (
         lines.join(common, ["a", "b"]).where(F.col("doc") < F.col("max_doc"))
-        .groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"))  # bounded by the document's lines
+        .groupBy(F.col("doc").alias(doc), F.col("t").alias(key)).agg(F.collect_set("pos").alias(lost))  # bounded by the document's lines
     )
     drops = stored(drops)
     parts = F.split(text, "\n")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    gone = F.coalesce(F.col(lost), F.array().cast("array<int>"))
     out = (
-        docs.join(drops, (docs[id_col] == drops["_doc"]) & (F.xxhash64(text) == drops["_t"]), "left")
+        docs.join(drops, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left")
         .withColumn(n_lines, F.size(parts).cast("long"))
         .withColumn(n_dropped, F.size(gone).cast("long"))
-        .withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
-        .withColumn("_lines", parts)
-        .withColumn(text_col, F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n"))
+        .withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+        .withColumn(all_lines, parts)
+        .withColumn(text_col, F.array_join(F.transform(left, lambda i: F.get(F.col(all_lines), i)), "\n"))
     )
     return out.select(*docs.columns, n_lines, n_dropped)

@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import fresh, stored
 from corpusloom.llm.graph import components
 
 SHINGLE, SEED = 3, 42
@@ -213,8 +213,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     that repeat this id stay (all of them, when any stands for its group); rows with a null
     id stay, as no id tells them apart."""
     found = near_duplicates(docs, radius, id_col, text_col)
+    lost = fresh(docs, "_gone")
     gone = stored(
-        found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone"))
-        .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stands")).where("not stands").select("_gone")
+        found.where("doc_id is not null").groupBy(F.col("doc_id").alias(lost))
+        .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stands")).where("not stands").select(lost)
     )
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(lost), "left_anti")

@@ -72,12 +72,16 @@ def test_pack(spark):
     check(packing.pack(df, tokenizer("word_bpe_49k.json")).toPandas(), rows)
 
 
-def test_cache_is_emptied(monkeypatch, spark):
+def test_words_are_what_the_library_makes_of_them(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 50)
     ids = packing.WordIds(tokenizer("word_bpe_49k.json"))
-    text = " ".join(f"w{i % 90}" for i in range(500))
-    assert ids.of(text) == packing.WordIds(tokenizer("word_bpe_49k.json")).of(text)
-    assert ids.of("a b") == np.array(ids.tokenizer.encode("a b").ids, "<u4").tobytes()
+    texts = [" ".join(f"w{i % 90}" for i in range(500)), *(t or "" for t in TEXTS)]
+    texts += ["Thed, thed. Thed... the!? x'S. 12. é, É! Ü?ü ß. İ, ŉ. ﬁ, a.b, .a, ,,, ª. straße: σς. ʼn, Ⅷ. ½, \u0301."]
+    for t in texts * 2:
+        words = ids.words(t)
+        ids.learn(set(words))
+        assert ids.of(words) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(ids.known) < 400
 
 
 def test_many_pieces_of_one_length(spark, monkeypatch):
