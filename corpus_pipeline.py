@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import classifier, decontaminate, lines, packing, simhash
-from corpusloom.llm.common import stored, table
+from corpusloom.llm.common import fresh, stored, table
 from corpusloom.llm.queries import tokenizer
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is fitted on the stage's own input."""
     model = classifier.train(docs, table(spark, sf_dir, "labels"))
-    return classifier.scores(docs, model, out="_score").where(classifier.accepted(F.col("_score"))).select(*docs.columns)
+    score = fresh(docs, "_score")
+    return classifier.scores(docs, model, out=score).where(classifier.accepted(F.col(score))).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
