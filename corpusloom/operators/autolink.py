@@ -126,18 +126,25 @@ def link_candidates(
 
     A keyword shared by very many titles does not multiply: a target among the first m of
     a source is among the first m + excluded + 1 holders of every keyword it is found by,
-    so only those leading holders of each keyword are joined, and the result is whole."""
+    so only those leading holders of each keyword are joined, and the result is whole.
+    Sources are grouped by their number of excluded targets, rounded up to a power of two,
+    so a note with very many links meets long lists and all others short ones."""
     targets = _targets(notes, min_title)
     sources = notes.where(~X.starts_with_any(F.col("path"), K.LOCAL_MARKS) & (F.length(X.title_of(F.col("path"))) >= min_title))
     words = materialize(targets.select("target", F.posexplode("kws").alias("kpos", "keyword")))
     hits = materialize(keyword_hits(sources, words, dictionary_limit).where("usable").withColumnRenamed("path", "source"))
     excluded = materialize(already_linked(sources, targets))
-    most = excluded.groupBy("source").count().agg(F.max("count").alias("m")).first()["m"] or 0  # one number
-    heads = top_per_key(words, ["keyword"], [F.col("target")], max_per_note + most + 1, "_r")
+    steps = excluded.groupBy("source").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("step"))
+    hits = materialize(hits.join(steps, "source", "left").withColumn("step", F.coalesce("step", F.lit(-1))))
+    present = sorted(r["step"] for r in hits.select("step").distinct().collect())  # at most one per power of two
+    reach = {s: max_per_note + (2**s if s >= 0 else 0) + 1 for s in present}
+    ranked = materialize(top_per_key(words, ["keyword"], [F.col("target")], max(reach.values(), default=1), "_r"))
+    lists = F.array(*[F.when(F.col("_r") <= n, F.lit(s)) for s, n in reach.items()] or [F.lit(None).cast("int")])
+    heads = ranked.withColumn("step", F.explode(F.filter(lists, lambda s: s.isNotNull())))
     # position of the keyword and offset in one number, so that the minimum is a hash aggregate
     place = F.shiftleft(F.col("kpos").cast("bigint"), 32) + F.col("offset")
     found = (
-        hits.join(heads, "keyword").where(F.col("source") != F.col("target"))
+        hits.join(heads, ["keyword", "step"]).where(F.col("source") != F.col("target"))
         .join(excluded, ["source", "target"], "left_anti")
         .groupBy("source", "target").agg(F.min(place).alias("place"))
     )

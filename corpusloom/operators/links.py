@@ -166,27 +166,34 @@ def _names(notes: DataFrame) -> DataFrame:
     )
 
 
-def link_context(content: Column, target: Column) -> Column:
-    """First line holding the literal link, with links replaced by their text."""
-    name = X.drop_md(target)
-    heads = F.transform(F.array(name, X.base_name(name)), lambda n: F.concat(F.lit("[["), n))
-    holds = lambda line: F.exists(heads, lambda h: F.contains(line, F.concat(h, F.lit("]]"))) | F.contains(line, F.concat(h, F.lit("|"))))
-    line = F.try_element_at(F.filter(F.split(content, "\n"), holds), F.lit(1))
+def _shown(line: Column) -> Column:
+    """A line with links replaced by their text, cut."""
     plain = F.regexp_replace(F.regexp_replace(line, r"\[\[([^\]|]+?)\|([^\]]+)\]\]", "$2"), r"\[\[([^\]|]+?)\]\]", "$1")
     return F.substring(X.uni_trim(plain), 1, K.BACKLINK_CONTEXT)
 
 
+def _link_lines(notes: DataFrame) -> DataFrame:
+    """(source, mtime, link, line_no, context): every link of a note with the first line that
+    holds it literally. Lines are taken here, so no text leaves the scan."""
+    numbered = F.transform(F.split("content", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
+    d = notes.select(F.col("path").alias("source"), "mtime", X.links_wiki(F.col("content")).alias("links"), numbered.alias("lines"))
+
+    def first(link: Column) -> Column:
+        head = F.concat(F.lit("[["), link)
+        holds = lambda x: F.contains(x["line"], F.concat(head, F.lit("]]"))) | F.contains(x["line"], F.concat(head, F.lit("|")))
+        hit = F.get(F.filter("lines", holds), 0)
+        return F.struct(link.alias("link"), hit["i"].alias("line_no"), _shown(hit["line"]).alias("context"))
+
+    return d.select("source", "mtime", F.explode_outer(F.transform("links", first)).alias("f")).select("source", "mtime", "f.*").where(F.col("line_no").isNotNull())
+
+
 def backlinks(targets: DataFrame, notes: DataFrame) -> DataFrame:
     """(target, source, title, context, mtime): notes linking to each target, with the
-    first line that holds the link; without such a line there is no row. Pairs are found
-    on names alone; contents join them afterwards."""
-    pairs = _wiki_links(notes).join(_names(targets), "link").select("target", "source").distinct()
+    first line that holds the link; without such a line there is no row."""
     return (
-        pairs.join(notes.select(F.col("path").alias("source"), "content", "mtime"), "source")
-        # a generated column, so that the filter on it does not compute the context twice
-        .select("target", "source", "mtime", F.explode_outer(F.array(link_context(F.col("content"), F.col("target")))).alias("context"))
-        .where(F.col("context").isNotNull())
-        .select("target", "source", X.title_of(F.col("source")).alias("title"), "context", "mtime")
+        _link_lines(notes).join(_names(targets), "link")
+        .groupBy("target", "source").agg(F.min(F.struct("line_no", "context", "mtime")).alias("f"))
+        .select("target", "source", X.title_of(F.col("source")).alias("title"), "f.context", "f.mtime")
     )
 
 

@@ -8,6 +8,7 @@ from corpusloom import constants as K
 from corpusloom.operators import agent, chunking, context, embedding, rerank as RR, retrieval as R
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
+from corpusloom.streaming import reindex
 
 C = F.col
 
@@ -127,6 +128,28 @@ def _(spark, d):
     return chunking.chunk_by_heading(D.notes(spark, d)).select("path", C("idx").cast("bigint").alias("idx"), "heading", "content")
 
 
+_AFTER = "CASE WHEN doc_id % 3 = 0 THEN content || chr(10) || '## Added' || chr(10) || 'more' ELSE content END"
+
+
+@query(
+    "stream_steps", "OP-105",
+    _HEADING_SQL.replace("notes AS (", "first AS (", 1).replace(", ln AS (", f", notes AS (SELECT path, doc_id, mtime, {_AFTER} AS content FROM first WHERE doc_id % 11 <> 5), ln AS (", 1),
+)
+def _(spark, d):
+    """Three batches of note versions, one step of the tables each: all notes, then a third
+    with another section, then deletions and late copies of the first versions."""
+    n = D.notes(spark, d).select("doc_id", "path", "content", "mtime", "hash")
+    first = n.select("path", "content", "mtime", "hash")
+    second = n.where("doc_id % 3 = 0").select("path", F.expr(_AFTER).alias("content"), (C("mtime") + 5).alias("mtime"), F.lit("second").alias("hash"))
+    third = n.where("doc_id % 11 = 5").select("path", F.lit(None).cast("string").alias("content"), (C("mtime") + 9).alias("mtime"), F.lit("gone").alias("hash"))
+    late = n.where("doc_id % 33 = 0").select("path", F.expr(_AFTER).alias("content"), "mtime", F.lit("second").alias("hash"))
+    none = chunking.chunk_by_heading(first.limit(0))
+    tables = reindex.step(first, first.limit(0), none, embedding.embed_chunks(none))
+    for batch in (second, third.unionByName(late)):
+        tables = reindex.step(batch, *tables)
+    return tables[1].select("path", C("idx").cast("bigint").alias("idx"), "heading", "content")
+
+
 def _paragraph_sql(size: int) -> str:
     step = size - 100
     pieces = (

@@ -65,9 +65,10 @@ def _(spark, d):
     _NM + "SELECT path, size, mtime, hash FROM manifest",
 )
 def _(spark, d):
-    """Manifest rows carried as JSON array texts, one array per top folder and size step."""
+    """Manifest rows carried as JSON array texts of the notes of some minutes each, so a text
+    does not grow with the manifest."""
     m = D.manifest(spark, d)
-    docs = m.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(64))).groupBy("part").agg(
+    docs = m.withColumn("part", F.floor(F.col("mtime") / 3_000_000)).groupBy("part").agg(
         F.to_json(F.collect_list(F.struct("path", "size", "mtime", "hash"))).alias("value")
     )
     return L.manifest_from_text(docs)

@@ -18,10 +18,30 @@ NOTE_SCHEMA = "path string, content string, mtime bigint, hash string"
 
 
 def _stored(spark: SparkSession, target: str, name: str) -> DataFrame | None:
+    """A table of the index, None before its first batch; any other fault is raised."""
     try:
         return spark.read.parquet(f"{target}/{name}")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def newest(batch: DataFrame) -> DataFrame:
+    """The last version of every path of a batch. A null content deletes the note."""
+    return top_per_key(batch, ["path"], [F.col("mtime").desc(), F.col("hash").desc()], 1, "_rn").drop("_rn")
+
+
+def step(batch: DataFrame, notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after a batch of note versions: new and changed notes are cut and
+    embedded again, deleted ones are taken out, all others keep their rows."""
+    last = newest(batch)
+    gone = last.where("content IS NULL").select("path")
+    todo = sync.changed(last.where("content IS NOT NULL"), notes)
+    touched = todo.select("path").unionByName(gone)
+    fresh = chunking.chunk_by_heading(todo)
+    swap = lambda old, new: old.join(touched, "path", "left_anti").unionByName(new.select(*old.columns))
+    return swap(notes, todo), swap(chunks, fresh), swap(vectors, embedding.embed_chunks(fresh))
 
 
 def current(spark: SparkSession, target: str, name: str, before: int | None = None) -> DataFrame | None:
@@ -31,23 +51,23 @@ def current(spark: SparkSession, target: str, name: str, before: int | None = No
         return None
     if before is not None:
         notes = notes.where(F.col("batch") < before)
-    last = notes.groupBy("path").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["path", "batch"], "left_semi").drop("batch")
+    last = notes.groupBy("path").agg(F.max("batch").alias("batch"), F.max_by("content", "batch").isNotNull().alias("there"))
+    return rows.join(last.where("there"), ["path", "batch"], "left_semi").drop("batch")
 
 
 def process(batch: DataFrame, batch_id: int, target: str) -> None:
     """Chunk and embed the notes of one micro-batch that are new or changed."""
     spark = batch.sparkSession
-    newest = top_per_key(batch, ["path"], [F.col("mtime").desc(), F.col("hash").desc()], 1, "_rn").drop("_rn")
+    last = newest(batch)
     known = current(spark, target, "notes", before=batch_id)
-    todo = newest if known is None else sync.changed(newest, known)
+    todo = last if known is None else sync.changed(last.where("content IS NOT NULL"), known).unionByName(last.where("content IS NULL"))
     tag = lambda df: df.withColumn("batch", F.lit(batch_id))
 
     def put(df: DataFrame, name: str) -> None:
         tag(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
 
     # chunks are written before notes: a path counts as current only once its note is there
-    put(chunking.chunk_by_heading(todo), "chunks")
+    put(chunking.chunk_by_heading(todo.where("content IS NOT NULL")), "chunks")
     written = _stored(spark, target, "chunks")
     if written is not None:
         put(embedding.embed_chunks(written.where(F.col("batch") == batch_id).drop("batch")), "vectors")
