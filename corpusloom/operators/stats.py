@@ -42,23 +42,28 @@ def find_by_tag(notes: DataFrame, tags: DataFrame, limit: int = 30) -> DataFrame
 
 
 def vault_stats(notes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row of totals. Sizes are given in characters and in bytes."""
-    links = X.links_wiki(F.col("content"))
-    per = notes.select("path", F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), F.size(links).alias("n_links"))
-    totals = per.agg(
-        F.count("*").alias("notes"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"),
-        F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("links"),
+    """One row of totals. Sizes are given in characters and in bytes. Notes are read once:
+    every note, tag mention and folder is a narrow row, summed by name in its task."""
+    named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    items = F.concat(
+        named("note", F.array("path")), named("tag", X.quick_tags(F.col("content"))), named("folder", P.ancestors(F.col("path")))
+    )
+    rows = notes.select(
+        F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), F.size(X.links_wiki(F.col("content"))).alias("n_links"),
+        F.explode(items).alias("i"),
+    )
+    note, own = F.col("kind") == "note", lambda c: F.sum(F.when(F.col("i.kind") == "note", F.col(c))).alias(c)
+    names = rows.groupBy("i.kind", "i.name").agg(own("n_chars"), own("n_bytes"), own("n_links"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    # the first note, in path order, among those of the largest size
+    largest = F.min(F.when(note, F.struct((-F.col("n_chars")).alias("n"), "name")))
+    totals = names.agg(
+        F.count_if(note).alias("notes"), total("n_chars").alias("chars"), total("n_bytes").alias("bytes"), total("n_links").alias("links"),
         F.floor(F.coalesce(F.avg("n_chars"), F.lit(0)) + 0.5).alias("avg_chars"), F.max("n_chars").alias("largest_chars"),
+        largest["name"].alias("largest"), F.count_if(F.col("kind") == "tag").alias("tags"), F.count_if(F.col("kind") == "folder").alias("folders"),
     )
-    # first note, in path order, among those of the largest size: top one, not a sort
-    largest = per.orderBy(F.col("n_chars").desc(), "path").limit(1).select(F.col("path").alias("largest"))
-    tags = note_tag_rows(notes).agg(F.count_distinct("tag").alias("tags"))
-    folders = P.folder_rollup(notes).agg(F.count("*").alias("folders"))
-    n_chunks = chunks.agg(F.count("*").alias("chunks"))
-    out = totals.withColumn("_one", F.lit(1))
-    for part in (largest, tags, folders, n_chunks):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one", "left")
-    return out.drop("_one")
+    one = F.lit(1)
+    return totals.withColumn("_one", one).join(chunks.agg(F.count("*").alias("chunks")).withColumn("_one", one), "_one").drop("_one")
 
 
 def recent(notes: DataFrame, n: int = 20) -> DataFrame:
