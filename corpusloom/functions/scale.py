@@ -6,16 +6,17 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-WINDOW_LIMIT = 1000  # up to this n Spark cuts a ranking window in each task
+WINDOW_LIMIT = 100  # largest n for which n rows per task and key may meet in one task
 RANK_SALTS = 32
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rank") -> DataFrame:
     """First n rows of every key, all of them where n is None.
 
-    Up to WINDOW_LIMIT, Spark cuts to n per task before the shuffle (window group limit),
-    so a hot key never sends more than n rows per task. For a larger n the rows of a key
-    are first cut in RANK_SALTS parts, each of which is a task of its own."""
+    Spark cuts to n per task before the shuffle (window group limit, up to n = 1,000), so a
+    hot key never sends more than n rows per task. Beyond WINDOW_LIMIT the rows of a key are
+    first cut in RANK_SALTS parts, each of which is a task of its own, so that the last
+    ranking of a key gets RANK_SALTS x n rows however many tasks there were."""
     w = Window.partitionBy(*keys).orderBy(*order)
     if n is None:
         return df.withColumn(rank, F.row_number().over(w))

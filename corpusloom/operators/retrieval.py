@@ -160,9 +160,8 @@ def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block
     )
 
     def best(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "path": [], "idx": [], "score": []})
         if not len(mine) or not len(asked):
-            return none
+            return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "path": mine["path"].iloc[:0], "idx": mine["idx"].iloc[:0], "score": np.zeros(0)})
         matrix = np.stack(asked["vec"].to_list()).astype(np.float64).T
         rows, cols, scores = [], [], []
         for at in range(0, len(mine), VECTOR_ROWS):
