@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.functions.scale import top_per_key
 from corpusloom.llm.common import WS_CLASS
 from corpusloom.llm.classifier import held_out
 
@@ -236,7 +237,6 @@ class Chain:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Chain:
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    first = Window.partitionBy("lang").orderBy("key")
     ws = F.split("t", f"{WS_CLASS}+")
     # the words are cut out before the ranking, so no whole text is shuffled
     spans = (
@@ -244,9 +244,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .withColumn("ws", ws)
         .withColumn("at", F.pmod(F.col("key"), F.greatest(F.lit(1), F.size("ws") - SPAN)).cast("int"))
         .select("lang", "key", F.concat_ws(" ", F.slice("ws", F.col("at") + 1, SPAN)).alias("span"))
-        .withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
-        .select("lang", "key", "span").orderBy("lang", "key", "span").collect()
     )
+    spans = top_per_key(spans, ["lang"], [F.col("key"), F.col("span")], per_language).orderBy("lang", "key", "span").collect()
     return Chain(sorted({r["lang"] for r in spans})).fit([(r["lang"], tokens(r["span"])) for r in spans])
 
 
