@@ -60,9 +60,44 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_quality_rules")
+def _divergence(p: str, q: str) -> str:
+    """A cell's p ln(2p/(p+q)) + q ln(2q/(p+q)) in SQL."""
+    return f"(CASE WHEN {p} > 0 THEN {p} * ln(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2 * {q} / ({p} + {q})) ELSE 0 END)"
+
+
+_CELLS = [f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))" for _, pattern in op7.CLASSES]
+_CELL_NAMES = [f"c{i}" for i in range(op7.CELLS)]
+# the given documents have a few languages and no null ones, so every language has its reference
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, {", ".join(f"{e} AS c{i}" for i, e in enumerate(_CELLS))},
+  length(t) - {" - ".join(f"({e})" for e in _CELLS)} AS c{op7.CELLS - 1} FROM d),
+cr AS (SELECT lang, {", ".join(f"sum({c}) / sum(length(t)) AS q{c}" for c in _CELL_NAMES)} FROM b GROUP BY lang),
+u AS (SELECT doc_id, lang, unnest(ws) AS word FROM b),
+wc AS (SELECT lang, word, count(*) AS n FROM u GROUP BY ALL),
+wr AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM wc),
+top AS (SELECT lang, word, q FROM wr WHERE r <= {op7.COMMON_WORDS}),
+tq AS (SELECT lang, sum(q) AS q FROM top GROUP BY lang),
+dw AS (SELECT u.doc_id, word, q, count(*) AS k FROM u JOIN top USING (lang, word) GROUP BY ALL),
+ds AS (SELECT doc_id, sum(k) AS k, sum(dw.q) AS seen, sum({_divergence("(k / len(ws))", "dw.q")}) AS part FROM dw JOIN b USING (doc_id) GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+rp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
+m AS (SELECT b.doc_id, len(ws) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(rp.n, 0) AS n_repeat_words,
+  CASE WHEN length(t) >= {op7.MIN_CHARS} THEN sqrt(greatest(0, ({" + ".join(_divergence(f"(b.{c} / length(t))", f"cr.q{c}") for c in _CELL_NAMES)}) / (2 * ln(2)))) END AS cd,
+  CASE WHEN len(ws) >= {op7.MIN_WORDS} THEN sqrt(greatest(0, (coalesce(part, 0) + greatest(0, tq.q - coalesce(seen, 0)) * ln(2) + {_divergence("((len(ws) - coalesce(k, 0)) / len(ws))", "greatest(0, 1 - tq.q)")}) / (2 * ln(2)))) END AS wd
+  FROM b JOIN cr USING (lang) LEFT JOIN tq USING (lang) LEFT JOIN ds USING (doc_id) LEFT JOIN rp USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, base_failed,
+  NOT base_failed AND coalesce(cd, 0) <= {op7.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {op7.MAX_WORD_DISTANCE} AS kept FROM f"""
+
+
+@query("op7_quality_rules", OP7_SQL)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7.quality_rules(table(spark, sf_dir, "documents"))
+    out = op7.quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 _KEY = rf"regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"

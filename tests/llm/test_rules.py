@@ -79,12 +79,12 @@ def slow(rows):
     return out
 
 
-def check(got, want):
+def check(got, want, near=1e-9):
     key = lambda r: tuple(str(x) for x in (r[0], *r[1:6]))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert a[:6] == b[:6] and a[8:] == b[8:], (a, b)
         for x, y in zip(a[6:8], b[6:8]):
-            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < near)
 
 
 def test_against_plain_python(spark):
@@ -112,7 +112,7 @@ def test_languages_beyond_the_largest_have_the_common_reference(spark, monkeypat
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_on_given_table(spark, sf_dir, sf):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
-    check(QUERIES["op7_quality_rules"](spark, sf_dir).collect(), slow(list(zip(docs["doc_id"], docs["lang"], docs["text"]))))
+    check(QUERIES["op7_quality_rules"](spark, sf_dir).collect(), slow(list(zip(docs["doc_id"], docs["lang"], docs["text"]))), 1e-6)
     labels = pd.read_parquet(f"{sf_dir}/labels.parquet")
     j = QUERIES["op7_quality_rules"](spark, sf_dir).toPandas().merge(labels, on="doc_id")
     good = j[(j["quality"] == 1) & ~j["base_failed"]]
