@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.scale import small_side
-from corpusloom.llm.common import ascii_lower, stored
+from corpusloom.llm.common import ascii_lower, fresh, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # patterns fixed by the contract
@@ -141,27 +141,39 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(text), _TERM_SEPARATORS), lambda w: F.length(w) >= MIN_TERM))
 
 
+def _disclosure(n_all: int) -> Column:
+    n = F.lit(float(n_all))
+    information = F.log2(n / F.col("n_entity"))
+    pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    return F.when(information > 0, pmi / information).otherwise(0.0)
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """entity, term, disclosure: the pairs that reach support and threshold."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_all = rows.select("text_hash").distinct().count()
     context = rows.select("text_hash", F.explode("contexts").alias("c")).select("text_hash", "c.entity", "c.term").distinct()
-    pairs = stored(context.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
+    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     entities = (
         rows.select("text_hash", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
         .distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     )
+    # the texts with the term near any entity are some of all texts with it: a pair that fails
+    # with this smaller count fails with the whole one, so common words are out before the count
+    around = context.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = stored(
+        pairs.join(entities, "entity").join(around, "term")
+        .where(_disclosure(n_all) >= threshold - 1e-9).select("entity", "term", "n_both", "n_entity")
+    )
     # texts with the term: over all documents, equal texts counted once; the candidates alone leave a task
     wanted = small_side(pairs.select("term").distinct())
     terms = (
         docs.select(F.xxhash64(text).alias("text_hash"), F.explode(_terms(text)).alias("term"))
         .join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     )
-    information = F.log2(F.lit(float(n_all)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(n_all)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     return (
-        pairs.join(entities, "entity").join(terms, "term")
-        .withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))
+        pairs.join(terms, "term")
+        .withColumn("disclosure", _disclosure(n_all))
         .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
     )
 
@@ -212,12 +224,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents with all their columns, spans replaced. A null text stays null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     replaced = F.pandas_udf(_replaced, "string")
+    key, found_spans = fresh(docs, "_hash"), fresh(docs, "_spans")
     spans = (
         detect(docs, id_col, text_col, **settings).where(F.size("spans") > 0)
-        .groupBy(F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))
+        .groupBy(F.col("text_hash").alias(key)).agg(F.first("spans").alias(found_spans))
     )
     return (
-        docs.join(stored(spans), F.xxhash64(text) == F.col("_hash"), "left")
-        .withColumn(text_col, F.when(F.col("_spans").isNotNull(), replaced(text, F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int,kind:string>>")))).otherwise(F.col(text_col)))
+        docs.join(stored(spans), F.xxhash64(text) == F.col(key), "left")
+        .withColumn(text_col, F.when(F.col(found_spans).isNotNull(), replaced(text, F.coalesce(found_spans, F.array().cast("array<struct<start:int,end:int,kind:string>>")))).otherwise(F.col(text_col)))
         .select(*docs.columns)
     )
