@@ -33,9 +33,12 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -49,11 +52,22 @@ SMALL_SHARE = 0.1  # pieces up to this share of the capacity are small
 GROUPS = 24
 ROUNDS = 400  # of column generation, at most
 RANK_BLOCK = 50_000  # pieces ranked in one task
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000  # words a worker keeps, unless one block of documents has more
+BLOCK_WORDS = 300_000  # words of a block of documents, unless a single document has more
+END_MARKS = b".,;:!?"
+# byte-level vocabularies write a byte as its Latin-1 character where that is printable, and
+# the others, in order, as the characters from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+LATIN_END = "\u0250"  # below it, letters are letters in every version of Unicode
 
 
 class WordIds:
-    """Ids of single words as little-endian bytes, kept for the worker's next words."""
+    """Ids of single words as little-endian bytes, kept for the worker's next documents.
+
+    A word in ASCII is looked up in lower case, which the tokenizer makes of it anyway. One
+    that is letters and then end punctuation is put together from both parts, as a change
+    from letters to punctuation always ends a token; so only distinct stems are tokenised."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,40 +75,79 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def of(self, text: str) -> bytes:
-        ws = text.encode("utf-8", "surrogatepass").split()
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        return (data.lower() if data.isascii() else data).split()
+
+    @staticmethod
+    def plain(word: bytes) -> str | None:
+        """The word as the merge model takes it (lower case, a character per byte), if it is
+        letters throughout and thus one token group; else None."""
+        if word.isascii():
+            return word.lower().decode() if word.isalpha() else None
+        low = word.decode("utf-8", "replace").lower()
+        return low.encode().decode("latin-1").translate(BYTE_CHARS) if low.isalpha() and max(low) < LATIN_END else None
+
+    def learn(self, words: set[bytes]) -> None:
+        """Fill in the ids of the words that are not known."""
         known = self.known
-        new = [w for w in dict.fromkeys(ws) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known = self.known = {w: known[w] for w in set(ws) if w in known}
-            for i in range(0, len(new), 10_000):
-                part = new[i:i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, ws))
+        new = words - known.keys()
+        if len(known) + len(new) > CACHE_WORDS:
+            known = self.known = {w: known[w] for w in words & known.keys()}
+        merge, plain, other = self.tokenizer.model.tokenize, self.plain, []
+        for w in new:
+            stem = w.rstrip(END_MARKS)
+            text = plain(stem) if stem else None
+            if text is None:
+                other.append(w)
+                continue
+            ids = known.get(stem)
+            if ids is None:
+                ids = known[stem] = array("I", [t.id for t in merge(text)]).tobytes()
+            if len(stem) < len(w):
+                tail = w[len(stem):]
+                if tail not in known:
+                    known[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                known[w] = ids + known[tail]
+        for i in range(0, len(other), 20_000):
+            part = other[i:i + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+
+    def of(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
 
-_WORKER: dict[str, WordIds] = {}
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per worker: a function of this module is not copied with each task."""
+    return WordIds(path)
+
+
+def _cut(doc_id, data: bytes, step: int) -> Iterator[tuple]:
+    for k, at in enumerate(range(0, len(data), step)):
+        part = data[at:at + step]
+        yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: one row per piece."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _WORKER.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
-        _WORKER[tokenizer_path] = ids
+        ids = word_ids(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["t"]):
-                data = ids.of(t) + end
-                for k, at in enumerate(range(0, len(data), step)):
-                    part = data[at:at + step]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            rows, block, size = [], [], 0
+            last = len(b) - 1
+            for i, (d, t) in enumerate(zip(b["doc_id"], b["t"])):
+                block.append((d, ids.words(t)))
+                size += len(block[-1][1])
+                if size >= BLOCK_WORDS or i == last:
+                    ids.learn({w for _, ws in block for w in ws})
+                    rows += [row for d, ws in block for row in _cut(d, ids.of(ws) + end, step)]
+                    block, size = [], 0
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
