@@ -4,14 +4,18 @@ Base spans (mail addresses, IP addresses, card and telephone numbers) come from
 patterns. The information-theoretic part estimates from the corpus how strongly a term that
 stands near a protected entity reveals it:
 
-    disclosure(t, e) = PMI(t; e) / IC(e) = log2(N n(t,e) / (n(t) n(e))) / log2(N / n(e))
+    disclosure(t, e) = PMI(t; e) / IC(e) = log2(p(e | t) / p(e)) / log2(1 / p(e))
+    p(e) = n(e) / N,  p(e | t) = (n(t,e) + SMOOTHING p(e)) / (n(t) + SMOOTHING)
 
 where N, n(t), n(e) and n(t,e) count distinct texts: all, with the term, with the entity,
-and with the term within NEAR words of the entity. It is 1 for a term that occurs with the
-entity alone and 0 for an independent one. A term near an entity is a span of its own
-(kind "term") when at least SUPPORT texts have the two together and the disclosure reaches
-THRESHOLD; sanitising removes the base spans behind a placeholder of their kind and
-generalises terms to a placeholder that keeps their shape class.
+and with the term within NEAR words of the entity. It is near 1 for a term that occurs with
+the entity alone and 0 for an independent one; SMOOTHING texts in which the term is
+independent stand against what few texts say, so there is no least number of them. e is the
+entity itself, the domain of a mail address, and the kind, so that counts accumulate over
+addresses that occur once; the largest of the three counts. A term near an entity is a span
+of its own (kind "term") when the disclosure reaches THRESHOLD; sanitising removes the base
+spans behind a placeholder of their kind and generalises terms to a placeholder that keeps
+their shape class.
 
 One pass in Arrow batches finds the base spans and, near each entity, its terms; only these
 narrow rows are stored and shuffled. Counts of the candidate terms over all texts are a
@@ -43,7 +47,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NEAR, SUPPORT, THRESHOLD, MIN_TERM = 5, 3, 0.8, 3
+NEAR, SMOOTHING, THRESHOLD, MIN_TERM = 5, 2.0, 0.8, 3
 _TERM_SEPARATORS = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _TERM = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -141,29 +145,33 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(text), _TERM_SEPARATORS), lambda w: F.length(w) >= MIN_TERM))
 
 
+def _keys(entity: str) -> Column:
+    """What an entity (kind:text) is counted as: itself, its mail domain and its kind."""
+    kind = F.substring_index(entity, ":", 1)
+    domain = F.when(kind == "email", F.concat(F.lit("email@"), F.substring_index(entity, "@", -1)))
+    return F.array_compact(F.array(F.col(entity), domain, kind))
+
+
 def _disclosure(n_all: int) -> Column:
-    n = F.lit(float(n_all))
-    information = F.log2(n / F.col("n_entity"))
-    pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return F.when(information > 0, pmi / information).otherwise(0.0)
+    p = F.col("n_key") / F.lit(float(n_all))
+    given = (F.col("n_both") + SMOOTHING * p) / (F.col("n_term") + SMOOTHING)
+    return F.when(p < 1, F.log2(given / p) / -F.log2(p)).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """entity, term, disclosure: the pairs that reach support and threshold."""
+def disclosing(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """entity, term, disclosure: the pairs that reach the threshold."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_all = rows.select("text_hash").distinct().count()
-    context = rows.select("text_hash", F.explode("contexts").alias("c")).select("text_hash", "c.entity", "c.term").distinct()
-    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = (
-        rows.select("text_hash", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-        .distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    )
+    context = stored(rows.select("text_hash", F.explode("contexts").alias("c")).select("text_hash", "c.entity", "c.term").distinct())
+    keyed = context.withColumn("key", F.explode(_keys("entity"))).select("text_hash", "key", "term").distinct()
+    pairs = keyed.groupBy("key", "term").agg(F.count("*").alias("n_both"))
+    keys = keyed.select("text_hash", "key").distinct().groupBy("key").agg(F.count("*").alias("n_key"))
     # the texts with the term near any entity are some of all texts with it: a pair that fails
     # with this smaller count fails with the whole one, so common words are out before the count
     around = context.select("text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     pairs = stored(
-        pairs.join(entities, "entity").join(around, "term")
-        .where(_disclosure(n_all) >= threshold - 1e-9).select("entity", "term", "n_both", "n_entity")
+        pairs.join(keys, "key").join(around, "term")
+        .where(_disclosure(n_all) >= threshold - 1e-9).select("key", "term", "n_both", "n_key")
     )
     # texts with the term: over all documents, equal texts counted once; the candidates alone leave a task
     wanted = small_side(pairs.select("term").distinct())
@@ -171,10 +179,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, thresho
         docs.select(F.xxhash64(text).alias("text_hash"), F.explode(_terms(text)).alias("term"))
         .join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     )
+    reveal = pairs.join(terms, "term").withColumn("disclosure", _disclosure(n_all)).where(F.col("disclosure") >= threshold)
     return (
-        pairs.join(terms, "term")
-        .withColumn("disclosure", _disclosure(n_all))
-        .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+        context.select("entity", "term").distinct().withColumn("key", F.explode(_keys("entity")))
+        .join(reveal, ["key", "term"]).groupBy("entity", "term").agg(F.max("disclosure").alias("disclosure"))
     )
 
 

@@ -105,6 +105,22 @@ def test_terms(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def filler(n):
+    return [f"plain text number {i} of the day with the usual words about the harbour" for i in range(n)]
+
+
+def test_terms_of_entities_that_occur_once(spark):
+    texts = filler(400) + ["today Wendeline wrote from w.marsh@mail.example.com about the harbour"]  # one text with the address
+    texts += [f"contact mobile now +1 (555) 010-{9000 + i} about the harbour" for i in range(20)]  # another number each
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r["entity"], r["term"]) for r in pii.disclosing(df, pii.found(df)).collect()}
+    assert ("email:w.marsh@mail.example.com", "wendeline") in got
+    assert {e for e, w in got if w == "mobile"} == {f"phone:+1 (555) 010-{9000 + i}" for i in range(20)}
+    assert not any(w in ("the", "about", "harbour") for _, w in got)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[400] == "[WORD] [NAME] [WORD] [WORD] [EMAIL] about the harbour" and clean[0] == texts[0]
+
+
 def test_query_on_given_table(spark, sf_dir):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
     got = QUERIES["op5_personal_data"](spark, sf_dir).toPandas().set_index("doc_id")
