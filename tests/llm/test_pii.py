@@ -121,6 +121,19 @@ def test_terms_of_entities_that_occur_once(spark):
     assert clean[400] == "[WORD] [NAME] [WORD] [WORD] [EMAIL] about the harbour" and clean[0] == texts[0]
 
 
+def test_terms_far_from_their_entity(spark):
+    gap = "of the day with the usual words about the harbour"
+    texts = filler(400) + [f"Wendeline heads it, {gap}, then {gap}: Wendeline at w.marsh@mail.example.com"]
+    texts += [f"Oberon {gap} {gap} o.pike@post.example.org {gap} {i}" for i in range(8)]  # never within five words
+    texts += [f"Oberon {gap} without an address"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r["entity"], r["term"]) for r in pii.disclosing(df, pii.found(df)).collect()}
+    assert ("email:o.pike@post.example.org", "oberon") in got and not any(w in ("the", "harbour", "usual") for _, w in got)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[400].count("[NAME]") == 2 and "Wendeline" not in clean[400] and clean[401].startswith("[NAME] of the day")
+    assert clean[409] == texts[409]  # no entity in the text
+
+
 def test_query_on_given_table(spark, sf_dir):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
     got = QUERIES["op5_personal_data"](spark, sf_dir).toPandas().set_index("doc_id")
