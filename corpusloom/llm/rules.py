@@ -2,19 +2,20 @@
 
 A document is compared with a reference of its language in two histograms: character
 classes, and common words. The references are sums over all documents of the language (or
-over all documents, for rows without a language and for languages beyond the MAX_LANGUAGES
-largest). The distance is the Jensen-Shannon distance, the root of the divergence in bits,
+over all documents, for rows without a language); MAX_LANGUAGES may limit them to the
+largest languages and does not by default. The distance is the Jensen-Shannon distance, the root of the divergence in bits,
 between 0 and 1. A histogram of too few characters or words is noise, so each distance
 counts only from a minimum length on, and a document too short for both is kept.
 
 Only DataFrame functions are used. The documents are scanned twice, once for the references
 (counts, summed in each task before they move) and once for the rows; no text is shuffled.
-The references are a few numbers per language and are broadcast: MAX_LANGUAGES x
-(COMMON_WORDS + classes) is their bound.
+The references are COMMON_WORDS words and the class shares of each language. Up to
+BROADCAST_LANGUAGES of them are broadcast; more are joined by a shuffle of the documents in
+which every language is dealt over SALTS tasks.
 
 Defined cases: a null text is empty and has no words; without words `base_failed` holds
 and `kept` does not; repeated rows are judged each; ties among common words are cut by the
-word; a null or rare language has the reference of all documents; extra columns are
+word; a null language has the reference of all documents; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -24,9 +25,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.functions.scale import is_small, small_side
 from corpusloom.llm.common import WS, WS_CLASS, stored
 
-MAX_LANGUAGES = 100
+MAX_LANGUAGES: int | None = None  # of the largest languages; the others have the reference of all documents
+BROADCAST_LANGUAGES, SALTS = 5_000, 32
+LISTED_WORDS = 20_000  # common words that the plan may name
 COMMON_WORDS = 50
 # character classes in the order in which they are taken out of the text; the rest is "other"
 CLASSES = (
@@ -88,7 +92,7 @@ def _with_classes(d: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang (null: all documents), classes array<double>, words map<string, double>: shares
-    over all documents of the language, largest MAX_LANGUAGES languages and the whole."""
+    over all documents of the language, for every language and the whole."""
     base = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     by_lang = (
         _with_classes(base).select("lang", *[F.col("c")[i].alias(f"c{i}") for i in range(CELLS)])
@@ -96,7 +100,9 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     )
     by_lang = stored(by_lang)
     chars = sum((F.col(f"c{i}") for i in range(1, CELLS)), F.col("c0"))
-    top = by_lang.where(F.col("lang").isNotNull()).orderBy(chars.desc(), "lang").limit(MAX_LANGUAGES)
+    top = by_lang.where(F.col("lang").isNotNull())
+    if MAX_LANGUAGES is not None:
+        top = top.orderBy(chars.desc(), "lang").limit(MAX_LANGUAGES)
     every = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS)]).select(F.lit(None).cast("string").alias("lang"), "*")
     share = F.transform(F.array(*[F.col(f"c{i}") for i in range(CELLS)]), lambda x: x / F.greatest(chars, F.lit(1)))
     classes = top.select("lang", *every.columns[1:]).unionByName(every).select("lang", share.alias("classes"))
@@ -104,7 +110,9 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     counts = stored(
         base.select("lang", F.explode(split_words(F.col("t"))).alias("word")).groupBy("lang", "word").count()
     )
-    kept = counts.join(F.broadcast(top.select("lang")), "lang")
+    kept = counts.where(F.col("lang").isNotNull())
+    if MAX_LANGUAGES is not None:
+        kept = kept.join(small_side(top.select("lang")), "lang")
     total = counts.groupBy("word").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("lang"), "word", "count")
     # most frequent words per language; each task keeps its own before anything is shuffled
     first = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
@@ -136,17 +144,26 @@ def _root(total: Column) -> Column:
 def judge(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, the base counts, both distances and the verdict."""
     refs = stored(refs)
-    names = sorted(r[0] for r in refs.select(F.explode(F.map_keys("words"))).distinct().collect())  # bounded by the constants
+    # with few languages, a list of all their common words sorts most words out; with many, each
+    # word is looked up in its own reference
+    listed = [r[0] for r in refs.select(F.explode(F.map_keys("words"))).distinct().limit(LISTED_WORDS + 1).collect()]
+    names = sorted(listed) if len(listed) <= LISTED_WORDS else None
+    common = (lambda x: F.map_contains_key("words", x)) if names is None else (lambda x: x.isin(names) if names else F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("t"))
     everything = F.broadcast(refs.where("lang is null").select(F.col("classes").alias("all_classes"), F.col("words").alias("all_words"), F.lit(1).alias("one")))
-    own = F.broadcast(refs.where("lang is not null"))
+    own = refs.where("lang is not null")
+    if is_small(own, BROADCAST_LANGUAGES):
+        d = d.join(F.broadcast(own), "lang", "left")
+    else:  # a language with most of the documents is dealt over SALTS tasks
+        own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)).cast("int")).join(own, ["lang", "salt"], "left").drop("salt")
     d = (
         d.withColumn("w", split_words(F.col("t"))).withColumn("one", F.lit(1))
-        .join(everything, "one", "left").join(own, "lang", "left")
+        .join(everything, "one", "left")
         .withColumn("classes", F.coalesce("classes", "all_classes")).withColumn("words", F.coalesce("words", "all_words"))
         .drop("all_classes", "all_words", "one", "lang")
-        .withColumn("cw", F.array_sort(F.filter("w", lambda x: x.isin(names) if names else F.lit(False))))
+        .withColumn("cw", F.array_sort(F.filter("w", common)))
     )
     d = _with_classes(_with_repeats(d))
     n_words, chars = F.size("w"), F.length("t")

@@ -109,6 +109,21 @@ def test_languages_beyond_the_largest_have_the_common_reference(spark, monkeypat
     assert refs == {"en", None} and rules.quality_rules(df).count() == 2
 
 
+def many_languages():
+    text = lambda i, n: " ".join(f"w{i}x{k % (7 + i % 5)}" for k in range(n))
+    rows = [(2 * i + k, f"l{i:03d}", text(i, 110 + i + k)) for i in range(130) for k in range(2)]
+    return [*rows, (900, None, text(3, 150)), (901, "l000", None), (902, "L", "Ж" * 400)]
+
+
+@pytest.mark.parametrize("broadcast,listed", [(5_000, 20_000), (10, 20_000), (5_000, 40), (10, 40)])
+def test_every_language_has_its_reference(spark, monkeypatch, broadcast, listed):
+    monkeypatch.setattr(rules, "BROADCAST_LANGUAGES", broadcast)
+    monkeypatch.setattr(rules, "LISTED_WORDS", listed)
+    rows = many_languages()
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").selectExpr("*", "'s' as salt")
+    check(rules.quality_rules(df).collect(), slow(rows))
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_on_given_table(spark, sf_dir, sf):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
