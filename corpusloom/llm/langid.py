@@ -3,7 +3,9 @@
     p(y | x) ~ exp( sum_t W[features(x_t)] . y_t + sum_t A[y_t-1, y_t] )
 
 Features of a word: prefixes and suffixes of one to three bytes, all pairs and triples of
-neighbouring bytes, and the word itself (the lexicon), each hashed to BUCKETS cells. The
+neighbouring bytes, and the word itself (the lexicon), each hashed to BUCKETS cells. A run of
+letters over 2 x EDGE bytes, as text without spaces has, is cut at character borders into
+pieces that overlap by OVERLAP characters, each a word of the chain, so all of it counts. The
 transitions A are learnt with them. Training sequences are spans of words of several
 documents put one after the other, so that the chain sees texts that switch language.
 Words are labelled by forward-backward; a document's language is the label with the largest
@@ -11,7 +13,7 @@ sum of word posteriors, its score their mean.
 
 Learning uses at most DOCS_PER_LANGUAGE documents of each language (smallest hashes of the
 id, held-out ids excluded) and SPAN consecutive words of each, from a place given by the
-hash; only these spans are collected. Labelling is one pass over all documents without a
+hash, cut to SPAN_CHARS characters where words are very long; only these spans are collected. Labelling is one pass over all documents without a
 shuffle: words are scored once per block of documents, chains run side by side, and the
 memory of a block is bounded by BLOCK_WORDS words or a single longer document.
 
@@ -35,17 +37,33 @@ from corpusloom.llm.common import WS_CLASS
 from corpusloom.llm.classifier import held_out
 
 BUCKETS = 1 << 16
-DOCS_PER_LANGUAGE, SPAN = 400, 60
+DOCS_PER_LANGUAGE, SPAN, SPAN_CHARS = 400, 60, 1920
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.25, 11
 BLOCK_WORDS = 400_000
-EDGE = 16  # bytes at either end of a very long word that give its features
+EDGE = 16  # half the bytes of the longest word; `tokens` gives none that is longer
+OVERLAP = 2  # characters, so that every three neighbouring bytes are in one piece
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
 
+def _pieces(run: str) -> Iterator[bytes]:
+    """A run of letters in pieces of at most 2 x EDGE bytes, which are eight characters or more."""
+    at = 0
+    while True:
+        piece = run[at:at + 2 * EDGE].encode("utf-8", "replace")[:2 * EDGE].decode("utf-8", "ignore")
+        yield piece.encode("utf-8")
+        if at + len(piece) >= len(run):
+            return
+        at += len(piece) - OVERLAP
+
+
 def tokens(text: str) -> list[bytes]:
-    """Lower-case words of letters."""
-    return [w.encode("utf-8", "replace") for w in _NOT_WORD.sub(" ", text.lower()).split()]
+    """Lower-case words of letters, long runs in overlapping pieces."""
+    words = _NOT_WORD.sub(" ", text.lower()).split()
+    out = [w.encode("utf-8", "replace") for w in words]
+    if max(map(len, out), default=0) <= 2 * EDGE:
+        return out
+    return [p for w, b in zip(words, out) for p in ((b,) if len(b) <= 2 * EDGE else _pieces(w))]
 
 
 def cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +244,7 @@ class Chain:
         return result
 
     def label_words(self, text: str) -> list[tuple[str, str, float]]:
-        """(word, language, posterior) of one code-switched text."""
+        """(word, language, posterior) of one code-switched text; long runs in their pieces."""
         ws = tokens(text)
         if not ws or not self.langs:
             return []
@@ -243,7 +261,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         known.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.col(text_col).alias("t"))
         .withColumn("ws", ws)
         .withColumn("at", F.pmod(F.col("key"), F.greatest(F.lit(1), F.size("ws") - SPAN)).cast("int"))
-        .select("lang", "key", F.concat_ws(" ", F.slice("ws", F.col("at") + 1, SPAN)).alias("span"))
+        .withColumn("words", F.concat_ws(" ", F.slice("ws", F.col("at") + 1, SPAN)))
+        .withColumn("from", F.pmod(F.col("key"), F.greatest(F.lit(1), F.length("words") - SPAN_CHARS)).cast("int") + 1)
+        .select("lang", "key", F.when(F.length("words") > SPAN_CHARS, F.substring("words", F.col("from"), F.lit(SPAN_CHARS))).otherwise(F.col("words")).alias("span"))
     )
     spans = top_per_key(spans, ["lang"], [F.col("key"), F.col("span")], per_language).orderBy("lang", "key", "span").collect()
     return Chain(sorted({r["lang"] for r in spans})).fit([(r["lang"], tokens(r["span"])) for r in spans])

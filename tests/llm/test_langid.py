@@ -52,6 +52,26 @@ def test_features_of_words():
     assert langid.cells([])[0].shape[0] == 0
 
 
+def test_long_runs_are_read_whole():
+    for run in ["abcdefghij" * 30, "漢字仮名交文章" * 40, "é漢a𐐨" * 50, "x" * 32, "x" * 33, "漢" * 11]:
+        ws, data = langid.tokens(run), run.lower().encode()
+        assert all(0 < len(w) <= 2 * langid.EDGE and w.decode() in run.lower() for w in ws)
+        assert {data[i:i + 3] for i in range(len(data) - 2)} == {w[i:i + 3] for w in ws for i in range(len(w) - 2)}
+    assert langid.tokens("ein " + "y" * 32) == [b"ein", b"y" * 32]
+    m = langid.Chain(["de", "fr"]).fit([(x, langid.tokens(t)) for _, t, x in corpus()])
+    middle = "lamaisonetlejardinavec" * 20
+    assert m.documents([f"derdiedasundnicht{middle}unddergartenmitderhaus"])[0][0] == "fr"
+    found = [x for _, x, _ in m.label_words("nichtundderdiegartenmithaus" * 10 + middle)]
+    assert found[0] == "de" and found[-1] == "fr"
+
+
+def test_training_spans_without_spaces_are_bounded(spark):
+    rows = [(i, ("gartenhausundnicht" if i % 2 else "maisonjardinavecles") * 5000, "de" if i % 2 else "fr") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert all((r["doc_id"] % 2 == 1) == (r["lang_pred"] == "de") for r in langid.predict(df, model).collect())
+
+
 def corpus():
     de, fr = "der die das und nicht ein Haus mit Garten", "le la les et pas une maison avec jardin"
     return [(i, (de if i % 2 else fr) + f" {i}", "de" if i % 2 else "fr") for i in range(160)]
