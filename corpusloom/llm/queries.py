@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm import audit as op11
 from corpusloom.llm import chat as op4
 from corpusloom.llm import classifier as op10
 from corpusloom.llm import decontaminate as op1
@@ -184,3 +185,38 @@ FROM n JOIN kept USING (conv_id)"""
 @query("op4_chat_format", OP4_SQL)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.format_chats(table(spark, sf_dir, "conversations"))
+
+
+_FAILS = rf"""
+  CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first_id, false) AS INT)"""
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+m AS (SELECT part, {_FAILS} AS mask,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+  doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM w),
+cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS letter, CAST(pow(2, ascii(filter_order[step]) - 65) AS INT) AS bit,
+  list_sum([CAST(pow(2, ascii(x) - 65) AS INT) for x in string_split(filter_order[1:step], '')]) AS applied
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, letter,
+  sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & applied = bit THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & applied <> bit THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & applied = bit THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & applied = bit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cell, (SELECT *  REPLACE (CAST(applied AS INT) AS applied) FROM s) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
