@@ -11,6 +11,7 @@ from corpusloom.llm import chat as op4
 from corpusloom.llm import classifier as op10
 from corpusloom.llm import decontaminate as op1
 from corpusloom.llm import hardneg as op12
+from corpusloom.llm import jaccard as op13
 from corpusloom.llm import langid as op6
 from corpusloom.llm import lines as op8
 from corpusloom.llm import packing as op3
@@ -245,3 +246,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 100 == 0).alias("is_anchor")
     )
     return op12.hard_negatives(rows)
+
+
+@query("op13_jaccard_join")
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.near_duplicates(table(spark, sf_dir, "documents"))
