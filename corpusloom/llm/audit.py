@@ -15,9 +15,8 @@ C  over 3 % capital letters A-Z
 3. The levels meet the cells on the mask and are summed per part and prefix; each of the 120
    orders takes the five sums of its own prefixes.
 
-Same texts are found by a 128-bit hash; their least ids are summed in the tasks before they
-move, and only texts that occur more than once are joined back (a join that Spark splits
-where one text is very common).
+Same texts are found by a 128-bit hash; the least id of each is found in the tasks before it
+moves, and meets its document again on hash and id, so a very common text is no hot key.
 
 Defined cases: a null text is empty; a null language is the part ""; documents without labels
 are neither good nor toxic, repeated label rows count once; rows that repeat an id count as
@@ -67,9 +66,10 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     rows = stored(docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
     ).mapInPandas(run, f"id {kind}, part string, mask int, h1 long, h2 long"))
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    repeated = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    return rows.join(first, ["h1", "h2"], "left").select("id", "part", (F.col("mask") + F.when(repeated, 16).otherwise(0)).alias("mask"))
+    # joined on the id besides the hash, so that a text that very many documents have is not one key
+    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
+    repeated = F.col("id").isNotNull() & F.col("first").isNull()
+    return rows.join(first, ["id", "h1", "h2"], "left").select("id", "part", (F.col("mask") + F.when(repeated, 16).otherwise(0)).alias("mask"))
 
 
 def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
