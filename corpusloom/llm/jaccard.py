@@ -5,8 +5,8 @@ shingles. A document of n shingles then shares at least T = ceil(PERCENT * n / 1
 own with any partner. Shingles are 64-bit hashes; equal sets are one class from the start.
 
 1. A class is out as soon as more than n - T of its shingles are known to be its alone.
-   Half of the hash space is counted for that, which costs half the rows and never drops a
-   class that has a partner.
+   Three eighths of the hash space are counted for that, which costs that share of the rows
+   and never drops a class that has a partner.
 2. Shingles of the classes left are ordered by how many classes hold them. The first
    n - T + 1 in this order lead a class to its partners: two that link share one of them.
    Lists of the same least member are one bundle, so near copies, whose lists are nearly
@@ -49,7 +49,9 @@ from corpusloom.llm.graph import components
 SHINGLE, PERCENT = 5, 80
 MEMBERS, HASHES = 512, 2_000_000  # classes and shingles of a block
 MU = 0.01  # weight of a binary search against a step of the merge, in DivideSkip's formula
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+CHUNK_CHARS = 2_000_000  # of text whose shingles are held at once, beyond one text
+COUNTED = 3  # of 8 parts of the hash space, in which a class's own shingles are counted
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -97,30 +99,38 @@ def _hashed(texts: DataFrame, width: int, schema: str, out: Callable[[pd.DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
-            yield out(b, [shingles(t, width, words) for t in b["t"]])
+            part = b["t"].str.len().cumsum().to_numpy() // CHUNK_CHARS
+            for _, some in b.groupby(part, sort=False):
+                yield out(some, [shingles(t, width, words) for t in some["t"]])
 
     return texts.mapInPandas(run, schema)
 
 
-def divide_skip(lists: list[np.ndarray], need: int, enough: Callable[[int], int], wanted: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
+def divide_skip(
+    postings: list[int], spans: list[tuple[int, int]], need: int, enough: Callable[[int], int], wanted: Callable[[int], bool]
+) -> Iterator[tuple[int, int]]:
     """(member, occurrences) of the wanted members that are on at least enough(member), and
-    never under `need`, of the lists. Each list is ascending."""
-    if len(lists) < need:
+    never under `need`, of the lists. A list is a span of `postings`, ascending; the spans
+    come by length."""
+    if len(spans) < need:
         return
-    lists = sorted(lists, key=len)
-    n_long = min(need - 1, int(need / (MU * log2(len(lists[-1])) + 1)))
-    short, long = lists[:len(lists) - n_long], [x.tolist() for x in reversed(lists[len(lists) - n_long:])]
+    longest = spans[-1][1] - spans[-1][0]
+    n_long = min(need - 1, int(need / (MU * log2(longest) + 1)))
+    short, long = spans[:len(spans) - n_long], spans[len(spans) - n_long:]
+    long.reverse()
     least = need - n_long
-    for member, run in groupby(merge(*(x.tolist() for x in short))):
+    for member, run in groupby(merge(*(postings[lo:hi] for lo, hi in short))):
         times = sum(1 for _ in run)
         if times < least or not wanted(member):
             continue
         goal = enough(member)
-        for left, one in zip(range(len(long), 0, -1), long):
+        left = len(long)
+        for lo, hi in long:
             if times + left < goal:
                 break
-            at = bisect_left(one, member)
-            times += at < len(one) and one[at] == member
+            at = bisect_left(postings, member, lo, hi)
+            times += at < hi and postings[at] == member
+            left -= 1
         if times >= goal:
             yield member, times
 
@@ -144,11 +154,20 @@ def connect(sets: list[np.ndarray], label: np.ndarray, guest: np.ndarray, percen
     up = up[np.searchsorted(label[up], label)]
     flat, who = np.concatenate(sets), np.repeat(np.arange(n), size)
     _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
-    at = np.concatenate([[0], np.cumsum(times)])
-    postings = who[np.argsort(token, kind="stable")]
-    ends = np.cumsum(size)
+    shared = times[token] > 1  # what one set alone has is on no list
+    token, who = token[shared], who[shared]
+    by_token = np.argsort(token, kind="stable")
+    postings = who[by_token].tolist()
+    place = np.empty(len(token), np.int64)  # of every set's token in its list
+    place[by_token] = np.arange(len(token))
+    stop_at = np.cumsum(np.where(times > 1, times, 0))[token]  # where that list ends
+    ends = np.searchsorted(who, np.arange(n), side="right")
+    del flat, by_token
     for q in range(n - 1):
         need = -(-percent * int(size[q]) // 100)
+        begin = ends[q - 1] if q else 0
+        if ends[q] - begin < need:
+            continue
         stop = int(np.searchsorted(-size, -need, side="right"))  # from here on they are too small
         if stop <= q + 1:
             continue
@@ -156,19 +175,13 @@ def connect(sets: list[np.ndarray], label: np.ndarray, guest: np.ndarray, percen
         up[q + 1:stop] = up[up[q + 1:stop]]
         if all(_root(up, int(x)) == mine for x in np.unique(up[q + 1:stop])):
             continue
-        tokens = token[ends[q] - size[q]:ends[q]]
-        tokens = tokens[times[tokens] > 1]
-        if len(tokens) < need:
-            continue
-        lists = []
-        for t in tokens:
-            one = postings[at[t]:at[t + 1]]
-            lo, hi = np.searchsorted(one, (q + 1, stop))
-            if lo < hi:
-                lists.append(one[lo:hi])
+        lo, hi = place[begin:ends[q]] + 1, stop_at[begin:ends[q]]
+        order_q = np.argsort(hi - lo, kind="stable")
+        order_q = order_q[np.searchsorted((hi - lo)[order_q], 1):]  # lists with sets after this one
+        spans = list(zip(lo[order_q].tolist(), hi[order_q].tolist()))
         enough = lambda c: -(-percent * int(size[q] + size[c]) // (100 + percent))  # noqa: E731, B023
-        wanted = lambda c: (not visited or guest[c] != guest[q]) and _root(up, c) != _root(up, q)  # noqa: E731, B023
-        for c, _ in divide_skip(lists, need, enough, wanted):
+        wanted = lambda c: c < stop and (not visited or guest[c] != guest[q]) and _root(up, c) != _root(up, q)  # noqa: E731, B023
+        for c, _ in divide_skip(postings, spans, need, enough, wanted):
             up[_root(up, c)] = _root(up, q)
     root = np.fromiter((_root(up, i) for i in range(n)), np.int64, n)
     least = np.full(n, np.iinfo(np.int64).max)
@@ -230,8 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         sig = [_signature(h) for h in found]
         return pd.DataFrame({"doc_id": b["doc_id"], "n": list(map(len, found)), "a": [s[0] for s in sig], "b": [s[1] for s in sig]})
 
-    def halves(b: pd.DataFrame, found: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"a": [_signature(h)[0] for h in found], "hs": [h[h & np.uint64(1) == 0].view(np.int64) for h in found]})
+    def counted(b: pd.DataFrame, found: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"a": [_signature(h)[0] for h in found], "hs": [h[h % np.uint64(8) < np.uint64(COUNTED)].view(np.int64) for h in found]})
 
     def checked(b: pd.DataFrame, found: list[np.ndarray]) -> pd.DataFrame:
         same = [_signature(h) == (x, y) for h, x, y in zip(found, b["a"], b["b"])]
@@ -240,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     info = stored(_hashed(texts, width, f"doc_id {kind}, n long, a long, b long", described))
     classes = stored(info.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first")))
     alone = (
-        _hashed(texts, width, "a long, hs array<long>", halves).select("a", F.explode("hs").alias("h"))
+        _hashed(texts, width, "a long, hs array<long>", counted).select("a", F.explode("hs").alias("h"))
         .groupBy("h").agg(F.min("a").alias("a"), F.max("a").alias("other")).where("a = other")
         .groupBy("a").agg(F.count("*").alias("alone"))
     )
@@ -248,7 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         classes.where("first is not null").join(alone, "a", "left")
         .where(F.coalesce("alone", F.lit(0)) <= F.col("n") - needed(F.col("n"), percent)).select("a", "b", "n", F.col("first").alias("doc_id"))
     )
-    sets = stored(_hashed(texts.join(left, "doc_id"), width, "a long, n long, hashes array<long>", checked))
+    # always the same join: texts move once, whatever share of them is left
+    sets = stored(_hashed(texts.join(left.hint("merge"), "doc_id"), width, "a long, n long, hashes array<long>", checked))
     roots = stored(components(links(sets, percent)))
     named = stored(classes.join(roots, F.col("a") == F.col("node"), "left").withColumn("root", F.coalesce("root", "a")).select("a", "b", "root", "first"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

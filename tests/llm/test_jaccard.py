@@ -130,5 +130,8 @@ def test_divide_skip_finds_what_counting_finds():
         lists = [np.unique(rng.integers(0, 40, rng.integers(1, 40))) for _ in range(rng.integers(1, 30))]
         need = int(rng.integers(1, 12))
         times = Counter(int(x) for one in lists for x in one)
-        got = dict(J.divide_skip(lists, need, lambda c: need + c % 3, lambda c: c != 7))
+        lists.sort(key=len)
+        ends = np.cumsum([len(one) for one in lists]).tolist()
+        spans = list(zip([0, *ends[:-1]], ends))
+        got = dict(J.divide_skip(np.concatenate(lists).tolist(), spans, need, lambda c: need + c % 3, lambda c: c != 7))
         assert got == {c: n for c, n in times.items() if n >= need + c % 3 and c != 7}
