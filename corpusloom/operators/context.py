@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import top_per_key
+from corpusloom.functions.scale import small_side, top_per_key
 
 
 def _joined(df: DataFrame, block, out: str) -> DataFrame:
@@ -44,9 +44,8 @@ def rag_context(queries: DataFrame, kb: DataFrame, web: DataFrame | None = None)
 
 def pin_current(results: DataFrame, chunks: DataFrame, current: DataFrame) -> DataFrame:
     """Put the first chunks of the open note ahead of the results; `current` is (query_id, path)."""
-    pinned = current.join(
-        chunks.where(F.col("idx") >= 0).select("path", "idx", "heading", "content", "mtime"), "path"
-    )
+    # the open notes are few, one a query: texts of the chunks stay where they are
+    pinned = chunks.where(F.col("idx") >= 0).select("path", "idx", "heading", "content", "mtime").join(small_side(current), "path")
     pinned = top_per_key(pinned, ["query_id"], [F.col("idx")], K.PIN_CHUNKS).select(
         "query_id", "rank", "path", "idx", "heading", X.title_of(F.col("path")).alias("title"),
         F.col("content").alias("snippet"), F.lit(1.0).alias("score"), "mtime",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import is_small, small_side, top_per_key
+from corpusloom.functions.scale import BROADCAST_ROWS, is_small, small_side, top_per_key
 from corpusloom.operators import paths as P
 
 RESULT_COLS = ["query_id", "rank", "path", "idx", "heading", "title", "snippet", "score", "mtime"]
@@ -96,13 +96,29 @@ def bm25_top(q_tokens: DataFrame, post: DataFrame, df: DataFrame, sizes: DataFra
     return top_per_key(bm25_scores(q_tokens, post, df, sizes), ["query_id"], _by_score(), k)
 
 
+def ranked(queries: DataFrame, index, k: int, scope=()) -> DataFrame:
+    """(query_id, rank, doc, score) of the k best chunks, from a stored `LexicalIndex`."""
+    from corpusloom.operators.lexical_index import top_docs
+
+    if "scope" not in queries.columns:
+        queries = queries.withColumn("scope", F.array(*[F.lit(p) for p in scope]).cast("array<string>"))
+    elif scope:
+        raise ValueError("a scope for all queries and one per query cannot be combined on an index")
+    queries, scopes = _scope_ids(queries)
+    return top_docs(query_tokens(queries), scopes, index, k)
+
+
 def bm25(
-    queries: DataFrame, chunks: DataFrame, k: int = K.DEFAULT_K, max_chars: int = K.DEFAULT_MAX_CHARS,
-    scope=(), index: tuple[DataFrame, DataFrame] | None = None,
+    queries: DataFrame, chunks: DataFrame | None = None, k: int = K.DEFAULT_K, max_chars: int = K.DEFAULT_MAX_CHARS,
+    scope=(), index=None,
 ) -> DataFrame:
     """BM25 with a constant average length. A per-query `scope` column (array of path
     prefixes, empty for all) in `queries` limits the corpus of each query, which also
-    changes its document frequencies. `index` is a stored (postings, frequencies) pair."""
+    changes its document frequencies. With `index`, a stored `LexicalIndex`, the chunks are
+    not read at all: postings, texts of the winners and sizes of scopes come from it."""
+    reach = max(1, min(k, max_chars // K.RESULT_OVERHEAD))
+    if index is not None:
+        return P.char_budget(_found(queries, index, reach, scope), max_chars, k)
     corpus = P.scope_filter(chunks, scope)
     if "scope" in queries.columns:
         queries, scopes = _scope_ids(queries)
@@ -110,16 +126,28 @@ def bm25(
     else:
         queries = queries.withColumn("scope_id", F.lit(0).cast("bigint"))
     q_tok = query_tokens(queries)
-    if index is not None:
-        post, df = index
-    else:
-        post = postings(corpus, q_tok)
-        df = document_frequency(post)
-    reach = max(1, min(k, max_chars // K.RESULT_OVERHEAD))
-    top = bm25_top(q_tok, post, df, corpus_sizes(corpus), reach)
+    post = postings(corpus, q_tok)
+    top = bm25_top(q_tok, post, document_frequency(post), corpus_sizes(corpus), reach)
     return P.char_budget(with_snippets(top, queries, chunks), max_chars, k)
 
 
+def _found(queries: DataFrame, index, k: int, scope=()) -> DataFrame:
+    """The k best chunks of each query with heading, title and snippet."""
+    from corpusloom.operators.lexical_index import with_docs
+
+    few = is_small(queries, BROADCAST_ROWS // k)
+    top = with_docs(ranked(queries, index, k, scope), index, "path", "idx", "heading", "content", "mtime", few=few)
+    return _described(top, queries)
+
+
+def bm25_places(queries: DataFrame, index, k: int, scope=()) -> DataFrame:
+    """(query_id, rank, path, idx, score, mtime): the ranking alone, no text is read."""
+    from corpusloom.operators.lexical_index import with_docs
+
+    few = is_small(queries, BROADCAST_ROWS // k)
+    return with_docs(ranked(queries, index, k, scope), index, "path", "idx", "mtime", few=few).select("query_id", "rank", "path", "idx", "score", "mtime")
+
+
 def _scope_ids(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give equal scopes one id; the empty scope is the prefix of every path."""
     prefixes = F.when(F.size("scope") > 0, F.array_sort(F.array_distinct("scope"))).otherwise(F.array(F.lit("")))
@@ -129,10 +157,14 @@ def _scope_ids(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_snippets(top: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add heading, title, snippet and mtime to ranked (query, chunk) rows."""
+    return _described(top.join(chunks.select("path", "idx", "heading", "content", "mtime"), ["path", "idx"]), queries)
+
+
+def _described(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """Result rows of ranked chunks with their texts."""
     q = queries.select("query_id", X.tokenize(F.col("text")).alias("_tok"))
     return (
-        top.join(chunks.select("path", "idx", "heading", "content", "mtime"), ["path", "idx"])
-        .join(q, "query_id")
+        found.join(q, "query_id")
         .withColumn("title", X.title_of(F.col("path"), any_case=True))
         .withColumn("snippet", X.snippet(F.col("content"), F.col("_tok")))
         .select(*RESULT_COLS)
@@ -140,19 +172,20 @@ def with_snippets(top: DataFrame, queries: DataFrame, chunks: DataFrame) -> Data
 
 
 # --- vectors -----------------------------------------------------------------
-QUERY_BLOCK, VECTOR_ROWS, BLOCK_RESULTS = 1024, 4096, 2_000_000
+QUERY_BLOCK, VECTOR_ROWS, BLOCK_RESULTS, PART_ROWS = 1024, 4096, 2_000_000, 65_536
 
 
 def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, path, idx, score): exact top-k by dot product.
 
-    Queries and vectors meet as blocks of rows: vectors are dealt over as many parts as a
-    shuffle has, queries in blocks small enough that a block's results stay below
-    BLOCK_RESULTS for any k, and every pair of blocks is one matrix product. A pair keeps
-    its best k per query; the final ranking cuts what the parts give."""
+    Queries and vectors meet as blocks of rows: vectors are dealt over parts of about
+    PART_ROWS (at least as many as a shuffle has), queries in blocks small enough that a
+    block's results stay below BLOCK_RESULTS for any k, and every pair of blocks is one
+    matrix product. A pair keeps its best k per query; the final ranking cuts what the parts
+    give. `vector_index` keeps vectors so that most of them need not be read."""
     size = query_block or max(1, min(QUERY_BLOCK, BLOCK_RESULTS // max(1, k)))
     blocks = 1 + (query_vectors.count() - 1) // size
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PART_ROWS))
     deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
     q = query_vectors.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int").alias("_q"), deal(parts).alias("_v"))
     v = vectors.select(
@@ -185,15 +218,24 @@ def vector_top(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block
 
 
 def vector_search(
-    query_vectors: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = K.DEFAULT_K,
-    max_chars: int = K.DEFAULT_MAX_CHARS, scope=(),
+    query_vectors: DataFrame, vectors, chunks: DataFrame | None = None, k: int = K.DEFAULT_K,
+    max_chars: int = K.DEFAULT_MAX_CHARS, scope=(), index=None,
 ) -> DataFrame:
     """Cosine search on unit vectors, with no positive-score filter. A vector without
-    its chunk is dropped after the top-k, as a gap in the ranks."""
-    top = vector_top(query_vectors, P.scope_filter(vectors, scope), k)
+    its chunk is dropped after the top-k, as a gap in the ranks. `vectors` is a table or a
+    stored `VectorIndex`; with `index`, a stored `LexicalIndex`, texts come from it."""
+    from corpusloom.operators import lexical_index as LI, vector_index as VI
+
+    cols = ["heading", "content", "mtime"]
+    top = VI.search(query_vectors, vectors, k, scope) if isinstance(vectors, VI.VectorIndex) else vector_top(query_vectors, P.scope_filter(vectors, scope), k)
+    if index is not None:
+        few = is_small(query_vectors, BROADCAST_ROWS // k)
+        placed = index.docs.select("path", "idx", "doc").join(F.broadcast(top) if few else top, ["path", "idx"])
+        found = LI.with_docs(placed, index, *cols, few=few)
+    else:
+        found = top.join(chunks.select("path", "idx", *cols), ["path", "idx"])
     found = (
-        top.join(chunks.select("path", "idx", "heading", "content", "mtime"), ["path", "idx"])
-        .withColumn("title", X.title_of(F.col("path"), any_case=True))
+        found.withColumn("title", X.title_of(F.col("path"), any_case=True))
         .withColumn("snippet", X.cut(F.col("content"), K.VECTOR_SNIPPET))
         .select(*RESULT_COLS)
     )
@@ -226,18 +268,18 @@ def rrf(list_a: DataFrame, list_b: DataFrame, c: int = K.RRF_C) -> DataFrame:
 
 
 def hybrid(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, k: int = K.DEFAULT_K,
-    max_chars: int = K.DEFAULT_MAX_CHARS, scope=(), rerank_top: int | None = None,
+    queries: DataFrame, chunks: DataFrame | None, vectors, k: int = K.DEFAULT_K,
+    max_chars: int = K.DEFAULT_MAX_CHARS, scope=(), rerank_top: int | None = None, index=None,
 ) -> DataFrame:
     """BM25 and vector top lists fused. With no vectors the lexical list is fused alone."""
     from corpusloom.operators.embedding import embed_queries
     from corpusloom.operators.rerank import rerank_lexical
 
-    lexical = bm25(queries, chunks, K.FUSE_TOP, max_chars * 2, scope)
+    lexical = bm25(queries, chunks, K.FUSE_TOP, max_chars * 2, scope, index)
     if vectors is None:
         near = lexical.limit(0)
     else:
-        near = vector_search(embed_queries(queries), vectors, chunks, K.FUSE_TOP, max_chars * 2, scope)
+        near = vector_search(embed_queries(queries), vectors, chunks, K.FUSE_TOP, max_chars * 2, scope, index)
     fused = rrf(lexical, near).select(*RESULT_COLS)
     out = P.char_budget(fused, max_chars, k)
     if rerank_top is not None:
@@ -246,27 +288,29 @@ def hybrid(
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid",
+    queries: DataFrame, chunks: DataFrame | None = None, vectors=None, mode: str = "hybrid",
     k: int = K.DEFAULT_K, max_chars: int = K.DEFAULT_MAX_CHARS, scope=(), include_local: bool = False,
-    legacy_scope: bool = False, rerank_top: int | None = None,
+    legacy_scope: bool = False, rerank_top: int | None = None, index=None,
 ) -> DataFrame:
     """Search in one of the modes bm25, vector, hybrid.
 
     Without `include_local`, local books are excluded by path. `legacy_scope` instead
     only drops book prefixes from the scope list, so an empty list still finds books.
-    """
+    With a stored `index` (and a `VectorIndex` as `vectors`) no chunk is cut, tokenised or
+    embedded again; stored indexes hold what a search may see, so local books are left out
+    when they are written (`drop_local`)."""
     if not include_local:
         if legacy_scope:
             scope = P.drop_local_scopes(list(scope))
         else:
-            chunks = P.drop_local(chunks)
-            vectors = None if vectors is None else P.drop_local(vectors)
+            chunks = None if chunks is None else P.drop_local(chunks)
+            vectors = P.drop_local(vectors) if isinstance(vectors, DataFrame) else vectors
     if mode == "bm25" or (mode == "vector" and vectors is None):
-        return bm25(queries, chunks, k, max_chars, scope)
+        return bm25(queries, chunks, k, max_chars, scope, index)
     if mode == "vector":
         from corpusloom.operators.embedding import embed_queries
 
-        return vector_search(embed_queries(queries), vectors, chunks, k, max_chars, scope)
+        return vector_search(embed_queries(queries), vectors, chunks, k, max_chars, scope, index)
     if mode != "hybrid":
         raise ValueError(f"unknown search mode: {mode}")
-    return hybrid(queries, chunks, vectors, k, max_chars, scope, rerank_top)
+    return hybrid(queries, chunks, vectors, k, max_chars, scope, rerank_top, index)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom import constants as K
-from corpusloom.operators import agent, chunking, context, embedding, rerank as RR, retrieval as R
+from corpusloom.functions.storage import kept, version
+from corpusloom.operators import agent, chunking, context, embedding, lexical_index as LI, rerank as RR, retrieval as R, vector_index as VI
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
 from corpusloom.streaming import reindex
@@ -20,6 +21,23 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _version(spark: SparkSession, d: str, table: str) -> str:
+    return version(spark.read.parquet(f"{d.rstrip('/')}/{table}.parquet"))
+
+
+def doc_index(spark: SparkSession, d: str, name: str = "documents", chunks=doc_chunks) -> LI.LexicalIndex:
+    """The stored index of `chunks(spark, d)`, written when a version of the documents is
+    first searched and read by every search after that."""
+    path = f"lexical-{name}-{LI.FORMAT}-{_version(spark, d, 'documents')}"
+    return LI.open_index(spark, kept(spark, path, lambda root: LI.write_index(chunks(spark, d), root)))
+
+
+def stored_vectors(spark: SparkSession, d: str, table: str, vectors, name: str | None = None) -> VI.VectorIndex:
+    """The stored vector index of `vectors(spark, d)`, written once per version of the table."""
+    path = f"vectors-{name or table}-{VI.FORMAT}-{_version(spark, d, table)}"
+    return VI.open_vectors(spark, kept(spark, path, lambda root: VI.write_vectors(vectors(spark, d), root)))
+
+
 def bench_queries(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "benchmark").selectExpr("item_id AS query_id", "text")
 
@@ -64,12 +82,12 @@ def result_out(df: DataFrame) -> DataFrame:
 @query("bm25_top10", "OP-041 OP-019 OP-012", f"WITH {_BM25}, {_RESULT} SELECT {_OUT} FROM ({_budget_sql('res', 30000, 10)})")
 def bm25_top10(spark, d):
     """Flagship: the ten best documents of every benchmark text."""
-    return result_out(R.bm25(bench_queries(spark, d), doc_chunks(spark, d), k=10))
+    return result_out(R.bm25(bench_queries(spark, d), index=doc_index(spark, d), k=10))
 
 
 @query("bm25_budget", "OP-041 OP-012", f"WITH {_BM25}, {_RESULT} SELECT {_OUT} FROM ({_budget_sql('res', 2000, 9999)})")
 def _(spark, d):
-    return result_out(R.bm25(bench_queries(spark, d), doc_chunks(spark, d), max_chars=2000))
+    return result_out(R.bm25(bench_queries(spark, d), index=doc_index(spark, d), max_chars=2000))
 
 
 _SCOPED = (
@@ -89,7 +107,8 @@ def _(spark, d):
     q = bench_queries(spark, d).withColumn(
         "scope", F.expr("CASE query_id % 3 WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array('inbox') ELSE array('area1', 'area2/笔记') END")
     )
-    return R.bm25(q, doc_chunks(spark, d), k=5).select("query_id", C("rank").cast("bigint").alias("rank"), "path", F.round("score", 6).alias("score"))
+    top = R.bm25_places(q, doc_index(spark, d), 5)
+    return top.select("query_id", C("rank").cast("bigint").alias("rank"), "path", F.round("score", 6).alias("score"))
 
 
 # --- chunking ------------------------------------------------------------------
@@ -240,30 +259,17 @@ def given_vectors(spark, d):
     return D.table(spark, d, "embeddings").selectExpr("'v/' || CAST(vec_id % 10 AS STRING) AS path", "CAST(vec_id AS INT) AS idx", "embedding AS vec", "label")
 
 
-_CENTROIDS = (
-    "qv AS (SELECT label AS query_id, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, length(embedding))) AS dim FROM embeddings) GROUP BY ALL), "
-    "qn AS (SELECT query_id, dim, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS FLOAT) AS x FROM qv), "
-    "ev AS (SELECT vec_id, unnest(embedding) AS y, unnest(range(0, length(embedding))) AS dim FROM embeddings), "
-    "sc AS (SELECT query_id, 'v/' || CAST(vec_id % 10 AS STRING) AS path, vec_id AS idx, sum(CAST(x AS DOUBLE) * CAST(y AS DOUBLE)) AS score FROM qn JOIN ev USING (dim) GROUP BY ALL) "
-)
-
-
-def centroids(spark, d):
-    """One unit query vector per label: the mean of its vectors."""
-    v = D.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    m = v.groupBy("label", "dim").agg(F.avg(C("x").cast("double")).alias("x"))
-    vec = m.groupBy(C("label").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, s: a + s["x"] * s["x"]))
-    return vec.select("query_id", F.transform("v", lambda s: (s["x"] / norm).cast("float")).alias("vec"))
-
-
 @query(
     "vector_top", "OP-042",
-    "WITH " + _CENTROIDS + "SELECT CAST(query_id AS BIGINT) AS query_id, rank, path, CAST(idx AS BIGINT) AS idx, round(score, 6) AS score FROM "
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+    "sc AS (SELECT q.vec_id AS query_id, 'v/' || CAST(e.vec_id % 10 AS STRING) AS path, e.vec_id AS idx, list_dot_product(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id % 20 = 0) "
+    "SELECT CAST(query_id AS BIGINT) AS query_id, rank, path, CAST(idx AS BIGINT) AS idx, round(score, 6) AS score FROM "
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, idx) AS rank FROM sc) WHERE rank <= 25",
 )
 def _(spark, d):
-    t = R.vector_top(centroids(spark, d), given_vectors(spark, d), 25)
+    """All vectors whose id is divisible by 20 against all vectors."""
+    asked = D.table(spark, d, "embeddings").where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vec")
+    t = VI.search(asked, stored_vectors(spark, d, "embeddings", given_vectors), 25)
     return t.select(C("query_id").cast("bigint").alias("query_id"), C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx"), F.round("score", 6).alias("score"))
 
 
@@ -283,7 +289,9 @@ def document_vectors(spark, d):
 
 @query("vector_search", "OP-042 OP-038 OP-012", f"WITH {_CHUNKS}, {_VEC_SQL}, {_VRES} SELECT {_OUT} FROM ({_budget_sql('vres', 3000, 12, False)})")
 def _(spark, d):
-    return result_out(R.search(bench_queries(spark, d), doc_chunks(spark, d), document_vectors(spark, d), mode="vector", k=12, max_chars=3000))
+    return result_out(R.search(
+        bench_queries(spark, d), vectors=stored_vectors(spark, d, "documents", document_vectors), mode="vector", k=12, max_chars=3000, index=doc_index(spark, d)
+    ))
 
 
 _FUSED = (
@@ -297,7 +305,9 @@ _HYBRID = f"WITH {_BM25}, {_RESULT}, {_VEC_SQL}, {_VRES}, {_FUSED}"
 
 @query("hybrid_top10", "OP-044 OP-043 OP-045", f"{_HYBRID} SELECT {_OUT} FROM ({_budget_sql('fr', 30000, 10)})")
 def _(spark, d):
-    return result_out(R.search(bench_queries(spark, d), doc_chunks(spark, d), document_vectors(spark, d), mode="hybrid", k=10))
+    return result_out(R.search(
+        bench_queries(spark, d), vectors=stored_vectors(spark, d, "documents", document_vectors), mode="hybrid", k=10, index=doc_index(spark, d)
+    ))
 
 
 def _rerank_score_sql(src: str) -> str:
@@ -323,7 +333,7 @@ def _rerank_score_sql(src: str) -> str:
 )
 def _(spark, d):
     q = bench_queries(spark, d)
-    return result_out(RR.rerank_lexical(q, R.bm25(q, doc_chunks(spark, d), k=20), 8))
+    return result_out(RR.rerank_lexical(q, R.bm25(q, index=doc_index(spark, d), k=20), 8))
 
 
 @query(
@@ -334,7 +344,7 @@ def _(spark, d):
     "SELECT query_id, r2 AS rank, path, round(rel / greatest(max(rel) OVER (PARTITION BY query_id), 0.0001), 6) AS score FROM c",
 )
 def _(spark, d):
-    res = R.bm25(bench_queries(spark, d), doc_chunks(spark, d), k=20)
+    res = R.bm25(bench_queries(spark, d), index=doc_index(spark, d), k=20)
     lab = D.table(spark, d, "labels").selectExpr("doc_id AS mtime", "CAST(quality * 14 + toxic * 2 + doc_id % 10 AS DOUBLE) AS relevance")
     scores = res.join(lab, "mtime").select("query_id", "path", "idx", "relevance")
     return RR.rerank_scored(res, scores, 5).select("query_id", C("rank").cast("bigint").alias("rank"), "path", F.round("score", 6).alias("score"))
@@ -375,7 +385,7 @@ _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 )
 def _(spark, d):
     q = bench_queries(spark, d)
-    kb = R.bm25(q, doc_chunks(spark, d), k=5).where("query_id % 4 <> 3")
+    kb = R.bm25(q, index=doc_index(spark, d), k=5).where("query_id % 4 <> 3")
     return context.rag_context(q, kb, web_rows(spark, d).where("query_id % 5 <> 3"))
 
 
@@ -390,7 +400,7 @@ def _(spark, d):
     q, ch = bench_queries(spark, d), doc_chunks(spark, d)
     lines = ch.select("path", "heading", "mtime", F.posexplode(F.split("content", "\n")).alias("idx", "content"))
     current = D.table(spark, d, "benchmark").selectExpr("item_id AS query_id", f"{D.path_sql('item_id')} AS path")
-    res = R.bm25(q, ch, k=40, max_chars=1_000_000)
+    res = R.bm25(q, index=doc_index(spark, d), k=40, max_chars=1_000_000)
     return context.pin_current(res, lines, current).select(
         "query_id", C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx"), F.round("score", 6).alias("score")
     )
@@ -408,7 +418,7 @@ _ANSWERS = "item_id || ' see [KB#' || CAST(item_id % 4 + 1 AS STRING) || '] and
 )
 def _(spark, d):
     a = D.table(spark, d, "benchmark").selectExpr("item_id AS query_id", f"{_ANSWERS} AS text")
-    kb = R.bm25(bench_queries(spark, d), doc_chunks(spark, d), k=10)
+    kb = R.bm25_places(bench_queries(spark, d), doc_index(spark, d), 10)
     return context.citations_used(a, kb).select(
         "query_id", C("pos").cast("bigint").alias("pos"), C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx")
     )
@@ -430,10 +440,11 @@ _SECTIONS_SQL = (
 
 @query("search_sections", "OP-045 OP-092 OP-035 OP-039", _SECTIONS_SQL)
 def _(spark, d):
-    """The whole read path on real chunks: cut notes, index them, search both ways,
-    rerank, keep five short snippets per query."""
-    ch = chunking.chunk_by_heading(D.notes(spark, d))
-    res = R.search(bench_queries(spark, d), ch, embedding.build_vectors(ch), mode="hybrid", rerank_top=10)
+    """The whole read path on real chunks: notes are cut, their chunks indexed and embedded
+    once; searches both ways, reranks, and keeps five short snippets per query."""
+    index = doc_index(spark, d, "sections", lambda spark, d: chunking.chunk_by_heading(D.notes(spark, d)))
+    vectors = stored_vectors(spark, d, "documents", lambda *_: embedding.build_vectors(index.docs.withColumn("hash", F.md5("content"))), "sections")
+    res = R.search(bench_queries(spark, d), vectors=vectors, mode="hybrid", rerank_top=10, index=index)
     return agent.kb_lookup(res).select(
         "query_id", C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx"), "heading", "title", F.round("score", 6).alias("score"), "snippet"
     )

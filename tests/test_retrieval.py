@@ -1,12 +1,13 @@
 """Search, fusion, reranking and contexts on small frames, against plain Python."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import ngram_vector
-from corpusloom.operators import context, embedding, paths as P, rerank, retrieval as R
+from corpusloom.operators import context, embedding, lexical_index as LI, paths as P, rerank, retrieval as R, vector_index as VI
 
 CHUNKS = [
     ("a/one.md", 0, "H1", "cat dog cat bird", 1),
@@ -73,11 +74,14 @@ def test_local_books(spark, chunks):
     assert "📕 book.pdf" in paths(legacy_scope=True)
 
 
-def test_stored_index_gives_the_same(spark, chunks):
-    post = R.postings(chunks)
-    a = R.bm25(q(spark, "cat dog"), chunks).collect()
-    b = R.bm25(q(spark, "cat dog"), chunks, index=(post, R.document_frequency(post))).collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+def test_stored_index_gives_the_same(spark, chunks, tmp_path):
+    LI.write_index(chunks, f"{tmp_path}/index")
+    index = LI.open_index(spark, f"{tmp_path}/index")
+    for text in ("cat dog", "图谱 cat", "zebra", "", "the of"):
+        a, b = R.bm25(q(spark, text), chunks), R.bm25(q(spark, text), index=index)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    a, b = (sorted(map(str, R.bm25(q(spark, "cat"), chunks, scope=["a", "b/two.md"], **i).collect())) for i in ({}, {"index": index}))
+    assert len(a) == 2 and a == b
 
 
 def test_budget_keeps_first_and_is_a_prefix(spark):
@@ -190,3 +194,67 @@ def test_citations(spark):
     a = spark.createDataFrame([(1, "x [KB#3] y [KB#1] [KB#3] [KB#9]")], "query_id int, text string")
     rows = context.citations_used(a, kb).orderBy("pos").collect()
     assert [(r["pos"], r["path"]) for r in rows] == [(0, "p3"), (1, "p1")]
+
+
+def brute_top(vectors, asked, k):
+    want = set()
+    for q_id, q_vec in asked:
+        best = sorted((-round(float(sum(a * b for a, b in zip(q_vec, x))), 9), p, i) for p, i, x in vectors)[:k]
+        want |= {(q_id, n + 1, p, i) for n, (_, p, i) in enumerate(best)}
+    return want
+
+
+def test_stored_vectors_give_the_exact_top(spark, tmp_path):
+    rng = random.Random(2)
+    middle = [[rng.uniform(-3, 3) for _ in range(6)] for _ in range(12)]
+    # tight clusters, a tie of many equal vectors, and few distinct values
+    vectors = [(f"p{i % 7}/x{i % 40}", i, [m + rng.uniform(-0.1, 0.1) for m in middle[i % 12]]) for i in range(900)]
+    vectors += [("same", i, [1.0, 2.0, 0.0, 1.0, 0.0, 0.5]) for i in range(150)]
+    asked = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(9)] + [(50, [0.0] * 6), (51, [1.0, 2.0, 0.0, 1.0, 0.0, 0.5])]
+    v = spark.createDataFrame(vectors, "path string, idx int, vec array<double>")
+    VI.write_vectors(v, f"{tmp_path}/v", block_rows=32)
+    index = VI.open_vectors(spark, f"{tmp_path}/v")
+    assert index.n_blocks > 20
+    qv = spark.createDataFrame(asked, "query_id int, vec array<double>")
+    for k in (1, 5, 200, 2000):
+        assert {(r["query_id"], r["rank"], r["path"], r["idx"]) for r in VI.search(qv, index, k).collect()} == brute_top(vectors, asked, k)
+    some = {(r["query_id"], r["rank"], r["path"], r["idx"]) for r in VI.search(qv, index, 7, scope=["p3", "same"]).collect()}
+    assert some == brute_top([x for x in vectors if x[0].startswith("p3/") or x[0] == "same"], asked, 7)
+    assert VI.search(qv.limit(0), index, 3).count() == 0
+
+
+def test_blocks_out_of_reach_stay_closed(spark, tmp_path):
+    far = [("v", i, [math.cos(i / 200), math.sin(i / 200), 0.0]) for i in range(1200)]
+    v = spark.createDataFrame(far, "path string, idx int, vec array<double>")
+    VI.write_vectors(v, f"{tmp_path}/v", block_rows=20)
+    blocks = spark.read.parquet(f"{tmp_path}/v/blocks")
+    # what is in blocks that cannot reach the best is not read: spoilt vectors there do no harm
+    spoilt = blocks.withColumn("members", F.expr("CASE WHEN centre[0] < 0.5 THEN transform(members, m -> named_struct('path', m.path, 'idx', m.idx, 'vec', array(9D, 9D, 9D))) ELSE members END"))
+    index = VI.VectorIndex(spoilt, blocks.count())
+    rows = VI.search(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vec array<double>"), index, 5).orderBy("rank").collect()
+    assert [r["idx"] for r in rows] == [0, 1, 2, 3, 4]
+
+
+def test_empty_stored_indexes(spark, chunks, tmp_path):
+    VI.write_vectors(spark.createDataFrame([], "path string, idx int, vec array<double>"), f"{tmp_path}/v")
+    qv = spark.createDataFrame([(1, [1.0])], "query_id int, vec array<double>")
+    assert VI.search(qv, VI.open_vectors(spark, f"{tmp_path}/v"), 3).count() == 0
+    LI.write_index(chunks.limit(0), f"{tmp_path}/l")
+    assert R.bm25(q(spark, "cat"), index=LI.open_index(spark, f"{tmp_path}/l")).count() == 0
+
+
+def test_index_skips_stripes_and_keeps_every_hit(spark, tmp_path, monkeypatch):
+    """Many chunks in small stripes, scopes whose borders cut them, against the plain search."""
+    monkeypatch.setattr(LI, "STRIPE", 4)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"{rng.choice(['a', 'a/b', 'a!', 'c'])}/n{i % 60}.md", i, "h", " ".join(rng.choice(words[:rng.randint(1, 25)]) for _ in range(rng.randint(0, 30))), i) for i in range(300)]
+    df = spark.createDataFrame(rows, COLS)
+    LI.write_index(df, f"{tmp_path}/l")
+    index = LI.open_index(spark, f"{tmp_path}/l")
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))), s) for i, s in enumerate([[], ["a"], ["a", "a/b"], ["c", "a/b"], ["nowhere"], [rows[3][0]], []])]
+    queries = spark.createDataFrame(asked, "query_id bigint, text string, scope array<string>")
+    for k in (1, 3, 40):
+        want = R.bm25(queries, df, k=k, max_chars=10**6).select("query_id", "rank", "path", "idx", F.round("score", 6)).collect()
+        got = R.bm25_places(queries, index, k).select("query_id", "rank", "path", "idx", F.round("score", 6)).collect()
+        assert sorted(got) == sorted(want) and got
