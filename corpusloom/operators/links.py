@@ -15,30 +15,59 @@ def _no_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
-def resolve_names(targets: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(target, path, score): notes a link target may mean, best first.
+LISTED = 5  # notes shown for a target that may mean several
+
+
+def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(target, rank, path, score, matches): the `listed` best notes a link target may mean,
+    ties by path, and how many there are in all.
 
     100 same base name, 95 the same without blanks, 90 same full path, 80 one name
-    contains the other, 70 the same without blanks. The first three are equi-joins.
-    Containment compares distinct names through shared pieces of three characters, so
-    it, too, is an equi-join followed by a check; shorter names are compared directly.
-    """
+    contains the other, 70 the same without blanks. All but the third look at names alone,
+    so targets meet a dictionary of distinct names, each with its number of notes and its
+    first paths; a target's matches are a sum over names, and its best notes are among the
+    first paths of its best names. Equal names and paths are equi-joins. Containment
+    compares names through shared pieces of three characters, so it, too, is an equi-join
+    followed by a check; shorter names are compared directly. A blank target is contained in
+    every name; it gets the total and the first paths without meeting the names."""
     t = targets.select("target").distinct()
     t = t.withColumn("_t", F.lower(X.uni_trim(F.col("target"))))
     t = materialize(t.withColumn("_tn", X.drop_md(F.col("_t"))).withColumn("_ts", _no_space(F.col("_tn"))))
     m = manifest.select("path").distinct()
-    m = materialize(m.withColumn("_n", F.lower(X.title_of(F.col("path")))).withColumn("_ns", _no_space(F.col("_n"))))
-    hit = lambda df, score: df.select("target", "path", F.lit(score).alias("score"))
-    full = t.select("target", F.explode(F.array(F.concat("_t", F.lit(".md")), F.col("_t"))).alias("_p"))
-    equal = (
-        hit(t.join(m, F.col("_tn") == F.col("_n")), 100)
-        .unionByName(hit(t.join(m, F.col("_ts") == F.col("_ns")), 95))
-        .unionByName(hit(full.join(m, F.col("_p") == F.lower("path")), 90))
+    m = materialize(m.withColumn("_n", F.lower(X.title_of(F.col("path")))))
+    names = materialize(m.groupBy("_n").agg(F.count("*").alias("notes"), F.min("path").alias("first")).withColumn("_ns", _no_space(F.col("_n"))))
+    first_paths = top_per_key(m, ["_n"], [F.col("path")], listed, "_place")
+
+    named = t.where("_tn <> ''")
+    hit = lambda df, score: df.select("target", "_n", F.lit(score).alias("score"))
+    near = _containing(named.select("target", F.col("_tn").alias("a")), names.select("_n", F.col("_n").alias("b")), 80)
+    loose = _containing(named.select("target", F.col("_ts").alias("a")), names.select("_n", F.col("_ns").alias("b")), 70)
+    pairs = materialize(
+        hit(named.join(names, F.col("_tn") == F.col("_n")), 100).unionByName(hit(named.join(names, F.col("_ts") == F.col("_ns")), 95))
+        .unionByName(near).unionByName(loose)
+        .groupBy("target", "_n").agg(F.max("score").alias("score")).join(names.select("_n", "notes", "first"), "_n")
     )
-    near = _containing(t.select("target", F.col("_tn").alias("a")), m.select("path", F.col("_n").alias("b")), 80)
-    loose = _containing(t.select("target", F.col("_ts").alias("a")), m.select("path", F.col("_ns").alias("b")), 70)
-    best = equal.unionByName(near).unionByName(loose).groupBy("target", "path").agg(F.max("score").alias("score"))
-    return best
+    full = named.select("target", F.explode(F.array(F.concat("_t", F.lit(".md")), F.col("_t"))).alias("_p"))
+    by_path = materialize(
+        full.join(m, F.col("_p") == F.lower("path")).select("target", "path", "_n").distinct()
+        .join(pairs.select("target", "_n", F.col("score").alias("_by_name")), ["target", "_n"], "left")
+        .where("_by_name IS NULL OR _by_name < 90")
+    )
+    matches = pairs.select("target", "notes").unionByName(by_path.where("_by_name IS NULL").select("target", F.lit(1).cast("bigint").alias("notes")))
+    matches = matches.groupBy("target").agg(F.sum("notes").alias("matches"))
+    leading = top_per_key(pairs, ["target"], [F.col("score").desc(), F.col("first")], listed, "_place").select("target", "_n", "score")
+    found = leading.join(first_paths.select("_n", "path"), "_n").select("target", "path", "score")
+    found = found.unionByName(by_path.select("target", "path", F.lit(90).alias("score"))).groupBy("target", "path").agg(F.max("score").alias("score"))
+    best = top_per_key(found, ["target"], [F.col("score").desc(), F.col("path")], listed).join(matches, "target")
+
+    score = F.when(F.col("_n") == "", 100).when(_no_space(F.col("_n")) == "", 95).when(F.lower("path").isin("", ".md"), 90).otherwise(80)
+    every = m.withColumn("score", score).orderBy(F.col("score").desc(), "path").limit(listed)
+    every = every.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "path")))  # of `listed` rows
+    total = m.agg(F.count("*").alias("matches"))
+    blank = t.where("_tn = ''").select("target", F.lit(1).alias("_k"))
+    of_blank = blank.join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k").join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    cols = ["target", "rank", "path", "score", "matches"]
+    return best.select(*cols).unionByName(of_blank.select(*cols))
 
 
 def _grams(c: Column, n: int = 3) -> Column:
@@ -67,14 +96,12 @@ def _containing(t: DataFrame, m: DataFrame, score: int) -> DataFrame:
     a_short = ta.where(F.length("a") < 3).join(mb.select("b", F.explode(short("b")).alias("a")), "a").select("a", "b")
     b_short = mb.where(F.length("b") < 3).join(ta.select("a", F.explode(short("a")).alias("b")), "b").select("a", "b")
     pairs = a_in_b.unionByName(b_in_a).unionByName(a_short).unionByName(b_short).distinct()
-    return t.join(pairs, "a").join(m, "b").select("target", "path", F.lit(score).alias("score"))
+    return t.join(pairs, "a").join(m, "b").select("target", "_n", F.lit(score).alias("score"))
 
 
 def resolved_target(candidates: DataFrame) -> DataFrame:
     """(target, matches, path): the note where there is exactly one, else null."""
-    return candidates.groupBy("target").agg(
-        F.count("*").alias("matches"), F.when(F.count("*") == 1, F.min("path")).alias("path")
-    )
+    return candidates.where(F.col("rank") == 1).select("target", "matches", F.when(F.col("matches") == 1, F.col("path")).alias("path"))
 
 
 # --- graph -----------------------------------------------------------------------

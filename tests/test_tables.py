@@ -1,6 +1,7 @@
 """Table upkeep, links, books and monitoring on small frames."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,37 @@ def test_resolve_names_tiers(spark):
     }
 
 
+def test_resolve_names_by_brute_force(spark):
+    """Counts and the best five over names that many notes share, blanks, short names and cases."""
+    rng = random.Random(8)
+    base = ["ab", "a b", "AB", "x", "", "long name", "longname", "Long  Name two", "b", "note", "c.md"]
+    paths = {f"{rng.choice(['', 'd/', 'd/e/', 'F/'])}{rng.choice(base)}{rng.choice(['.md', '.MD', ''])}" for _ in range(60)}
+    paths |= {f"hot/{i}/ab.md" for i in range(20)}
+    paths = sorted(paths - {""})
+    asked = ["ab", "a b", " AB ", "b", "", "   ", "long", "longnametwo", "d/ab", "F/X.MD", "hot/3/ab", "zzz", "name two", "c", ".md"]
+    squeeze = lambda s: re.sub(r"\s+", "", s)
+    want = {}
+    for x in asked:
+        t = x.strip().lower()
+        tn = re.sub(r"\.md$", "", t)
+        found = []
+        for p in paths:
+            n = re.sub(r"\.md$", "", p.rsplit("/", 1)[-1]).lower()
+            a, b = squeeze(n), squeeze(tn)
+            score = 100 if n == tn else 95 if a == b else 90 if p.lower() in (t, t + ".md") else 80 if tn in n or n in tn else 70 if b in a or a in b else 0
+            if score:
+                found.append((-score, p))
+        for rank, (score, p) in enumerate(sorted(found)[:5], 1):
+            want[x, rank] = (p, -score, len(found))
+    m = spark.createDataFrame([(p,) for p in paths] + [(paths[0],)], "path string")
+    t = spark.createDataFrame([(x,) for x in asked] * 2, "target string")
+    got = LK.resolve_names(t, m)
+    assert {(r["target"], r["rank"]): (r["path"], r["score"], r["matches"]) for r in got.collect()} == want
+    one = {r["target"]: (r["matches"], r["path"]) for r in LK.resolved_target(got).collect()}
+    assert one == {x: (n, p if n == 1 else None) for (x, rank), (p, _, n) in want.items() if rank == 1}
+    assert LK.resolve_names(t.limit(0), m).count() == 0 and LK.resolve_names(t, m.limit(0)).count() == 0
+
+
 def test_shared_counts_light_and_heavy(spark):
     rng = random.Random(5)
     sets = {f"n{i}": set(rng.sample("abcdefghijk", rng.randint(1, 9))) | ({"hot"} if i % 3 == 0 else set()) for i in range(40)}
