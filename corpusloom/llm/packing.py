@@ -14,7 +14,8 @@ however many documents there are:
 3. The actual pieces take the places of the rounded ones of their group, long ones first,
    which leaves room.
 4. Small pieces go, longest first, where they leave the least room; further ones open
-   sequences of their own.
+   sequences of their own. Sequences that the rounding has left with more room than a small
+   share of the capacity are dissolved, and their pieces placed anew by best fit.
 
 The result is a table of runs: pieces of one length, ranks from..to, take the same place in
 consecutive sequences. Its size depends on the capacity alone, not on the documents. Every
@@ -51,6 +52,7 @@ END_ID = 0
 SMALL_SHARE = 0.1  # pieces up to this share of the capacity are small
 GROUPS = 24
 ROUNDS = 400  # of column generation, at most
+LOOSE = (1.0, 0.02, 0.005)  # room, as shares of the capacity, above which sequences are dissolved; the best is taken
 RANK_BLOCK = 50_000  # pieces ranked in one task
 CACHE_WORDS = 500_000  # words a worker keeps, unless one block of documents has more
 BLOCK_WORDS = 300_000  # words of a block of documents, unless a single document has more
@@ -278,11 +280,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         for s, g in zip(sizes, groups):
             merged[distinct.index(s)].update(g)
         runs += _substituted(configurations(distinct, [sum(g.values()) for g in merged], capacity), merged)
-    # small ones: by room left, runs of sequences
     open_runs: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for lengths, n in runs:
         open_runs.setdefault(capacity - sum(lengths), []).append((lengths, n))
-    for length in sorted((k for k in counts if k <= small_to), reverse=True):
+    small = {k: n for k, n in counts.items() if k <= small_to}
+    tried = [filled(open_runs, small, share, capacity) for share in LOOSE]
+    best = min(tried, key=lambda runs: sum(n for same in runs.values() for _, n in same))
+    return [run for room in sorted(best) for run in best[room]]
+
+
+def best_fit(open_runs: dict[int, list[tuple[tuple[int, ...], int]]], counts: dict[int, int], capacity: int) -> None:
+    """Put pieces, longest first, where they leave the least room; `open_runs` has the runs
+    of sequences by their room left. What fits nowhere opens sequences."""
+    for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
             fits = [r for r in open_runs if r >= length]
@@ -303,7 +313,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 open_runs.setdefault(room, []).append((lengths, n - take))
             open_runs.setdefault(room - per * length, []).append((lengths + (length,) * per, take))
             left -= per * take
-    return [run for room in sorted(open_runs) for run in open_runs[room]]
+
+
+def filled(
+    open_runs: dict[int, list[tuple[tuple[int, ...], int]]], small: dict[int, int], share: float, capacity: int
+) -> dict[int, list[tuple[tuple[int, ...], int]]]:
+    """The runs with the small pieces in them. Sequences that rounding has left with more
+    room than `share` of the capacity are dissolved, and their pieces placed anew with the
+    small ones."""
+    kept = {room: list(same) for room, same in open_runs.items() if room <= share * capacity}
+    pieces_left = Counter(small)
+    for room, same in open_runs.items():
+        if room > share * capacity:
+            for lengths, n in same:
+                for length in lengths:
+                    pieces_left[length] += n
+    best_fit(kept, pieces_left, capacity)
+    return kept
 
 
 def runs_table(plan_runs: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:

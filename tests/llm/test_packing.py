@@ -106,3 +106,39 @@ def test_configurations_cover_the_demand(sizes, demand):
     out = packing.configurations(sizes, demand, 2048)
     assert [sum(p[i] * n for p, n in out) for i in range(3)] == demand
     assert all(sum(s * k for s, k in zip(sizes, p)) <= 2048 for p, _ in out)
+
+
+def best_fit_decreasing(counts, capacity):
+    """Number of sequences, piece by piece."""
+    room = Counter()
+    used = 0
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        fits = [r for r, n in room.items() if n and r >= length]
+        if fits:
+            left = min(fits)
+            room[left] -= 1
+        else:
+            left, used = capacity, used + 1
+        room[left - length] += 1
+    return used
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_as_few_sequences_as_plain_best_fit(seed):
+    rng = random.Random(seed)
+    shapes = [lambda: int(rng.lognormvariate(6, 1)), lambda: rng.randint(1, 2048), lambda: rng.choice([300, 341, 700, 1024])]
+    lengths = [min(2048, max(1, shapes[seed - 1]() if rng.random() < 0.9 else rng.randint(1, 60))) for _ in range(4000)]
+    counts = dict(Counter(lengths))
+    runs = packing.plan(counts, 2048)
+    assert Counter(x for one, n in runs for x in one for _ in range(n)) == Counter(lengths)
+    assert all(sum(one) <= 2048 for one, _ in runs)
+    used, bound = sum(n for _, n in runs), -(-sum(lengths) // 2048)
+    assert used <= max(best_fit_decreasing(counts, 2048), 1.002 * bound) + 1
+
+
+def test_the_plan_does_not_grow_with_the_documents():
+    rng = random.Random(7)
+    counts = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(3000))
+    small, large = packing.plan(counts, 2048), packing.plan({k: n * 100_000 for k, n in counts.items()}, 2048)
+    bound = -(-sum(k * n for k, n in counts.items()) * 100_000 // 2048)
+    assert len(large) < 4 * len(small) and sum(n for _, n in large) <= 1.002 * bound
