@@ -30,7 +30,8 @@ elsewhere, and very many rare terms that do, forms pairs by the product of both.
 
 Defined cases: a null or empty text has no spans; repeated rows have the same spans each
 and count once; the entity's own words are no terms; overlapping spans of several kinds are
-all reported, sanitising replaces their union; null ids are kept; extra columns are
+all reported, sanitising replaces their union; very long texts, runs of digits among them,
+are searched in time that grows with their length; null ids are kept; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -49,7 +50,8 @@ from corpusloom.llm.common import ascii_lower, fresh, stored
 KINDS = ("email", "ip", "card", "phone")
 # patterns fixed by the contract
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a leftmost match starts where its digits start, so the inside of a long run is not tried again
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NEAR, FAR, SMOOTHING, THRESHOLD, MIN_TERM = 5, 0.75, 2.0, 0.8, 3

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pandas as pd
 from hypothesis import given, settings, strategies as st
@@ -148,3 +149,19 @@ def test_query_on_given_table(spark, sf_dir):
         assert [s for s in spans if not s.startswith("term:")] == [s for s in text.split(",") if s]
         near = {(a, b) for e, w, a, b in pii.near_terms(t, base) if (e, w) in want_terms}
         assert {tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("term:")} == near
+
+
+def test_long_runs_take_time_in_proportion():
+    start = time.process_time()
+    for text in ("7" * 1_000_000, "1." * 500_000, "1.2.3" + "9" * 1_000_000, "a" * 1_000_000 + "@", "+1" + " " * 1_000_000, "1 2-" * 250_000):
+        pii.base_spans(text)
+    assert time.process_time() - start < 20
+    assert pii.base_spans("9" * 1000 + ".1.1.1 x 1.2.3.4.5.6.7.8") == [(1009, 1016, "ip"), (1017, 1024, "ip")]
+
+
+@given(st.text("0129. x", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_addresses_as_the_plain_pattern_has_them(text):
+    plain = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    want = [m.span() for m in plain if all(int(p) <= 255 for p in m.group().split("."))]
+    assert [(a, b) for a, b, kind in pii.base_spans(text) if kind == "ip"] == want
