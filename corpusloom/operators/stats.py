@@ -43,24 +43,26 @@ def find_by_tag(notes: DataFrame, tags: DataFrame, limit: int = 30) -> DataFrame
 
 def vault_stats(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row of totals. Sizes are given in characters and in bytes. Notes are read once:
-    every note, tag mention and folder is a narrow row, summed by name in its task."""
+    what is summed over notes is summed in the scan's task, under one name for all of them;
+    only tags and folders move by name, each once per task."""
     named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    items = F.concat(
-        named("note", F.array("path")), named("tag", X.quick_tags(F.col("content"))), named("folder", P.ancestors(F.col("path")))
-    )
+    a_note = F.array(F.struct(F.lit("note").alias("kind"), F.lit(None).cast("string").alias("name")))
     rows = notes.select(
-        F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), F.size(X.links_wiki(F.col("content"))).alias("n_links"),
-        F.explode(items).alias("i"),
+        "path", F.length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes"), F.size(X.links_wiki(F.col("content"))).alias("n_links"),
+        F.explode(F.concat(a_note, named("tag", X.quick_tags(F.col("content"))), named("folder", P.ancestors(F.col("path"))))).alias("i"),
+    )
+    is_note = F.col("i.kind") == "note"
+    of_notes = lambda f, c: f(F.when(is_note, c))
+    names = rows.groupBy("i.kind", "i.name").agg(
+        F.count_if(is_note).alias("notes"), *[of_notes(F.sum, F.col(c)).alias(c) for c in ("n_chars", "n_bytes", "n_links")],
+        # the first note, in path order, among those of the largest size
+        of_notes(F.min, F.struct((-F.col("n_chars")).alias("n"), "path")).alias("largest"),
     )
-    note, own = F.col("kind") == "note", lambda c: F.sum(F.when(F.col("i.kind") == "note", F.col(c))).alias(c)
-    names = rows.groupBy("i.kind", "i.name").agg(own("n_chars"), own("n_bytes"), own("n_links"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    # the first note, in path order, among those of the largest size
-    largest = F.min(F.when(note, F.struct((-F.col("n_chars")).alias("n"), "name")))
     totals = names.agg(
-        F.count_if(note).alias("notes"), total("n_chars").alias("chars"), total("n_bytes").alias("bytes"), total("n_links").alias("links"),
-        F.floor(F.coalesce(F.avg("n_chars"), F.lit(0)) + 0.5).alias("avg_chars"), F.max("n_chars").alias("largest_chars"),
-        largest["name"].alias("largest"), F.count_if(F.col("kind") == "tag").alias("tags"), F.count_if(F.col("kind") == "folder").alias("folders"),
+        total("notes").alias("notes"), total("n_chars").alias("chars"), total("n_bytes").alias("bytes"), total("n_links").alias("links"),
+        F.floor(F.coalesce(F.sum("n_chars") / F.sum("notes"), F.lit(0)) + 0.5).alias("avg_chars"), (-F.min("largest")["n"]).alias("largest_chars"),
+        F.min("largest")["path"].alias("largest"), F.count_if(F.col("kind") == "tag").alias("tags"), F.count_if(F.col("kind") == "folder").alias("folders"),
     )
     one = F.lit(1)
     return totals.withColumn("_one", one).join(chunks.agg(F.count("*").alias("chunks")).withColumn("_one", one), "_one").drop("_one")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom import constants as K
-from corpusloom.functions.storage import kept, version
+from corpusloom.functions.storage import kept, shared_folder, version
 from corpusloom.operators import agent, chunking, context, embedding, lexical_index as LI, rerank as RR, retrieval as R, vector_index as VI
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
@@ -150,25 +152,48 @@ def _(spark, d):
 _AFTER = "CASE WHEN doc_id % 3 = 0 THEN content || chr(10) || '## Added' || chr(10) || 'more' ELSE content END"
 
 
-@query(
-    "stream_steps", "OP-105",
-    _HEADING_SQL.replace("notes AS (", "first AS (", 1).replace(", ln AS (", f", notes AS (SELECT path, doc_id, mtime, {_AFTER} AS content FROM first WHERE doc_id % 11 <> 5), ln AS (", 1),
+_STREAMED = _HEADING_SQL.replace("notes AS (", "first AS (", 1).replace(
+    ", ln AS (", f", notes AS (SELECT path, doc_id, mtime, {_AFTER} AS content FROM first WHERE doc_id % 11 <> 5), ln AS (", 1
 )
-def _(spark, d):
-    """Three batches of note versions, one step of the tables each: all notes, then a third
-    with another section, then deletions and late copies of the first versions."""
+
+
+def note_versions(spark, d):
+    """Three batches of note versions: all notes, then a third with another section, then
+    deletions and late copies of the first versions."""
     n = D.notes(spark, d).select("doc_id", "path", "content", "mtime", "hash")
     first = n.select("path", "content", "mtime", "hash")
     second = n.where("doc_id % 3 = 0").select("path", F.expr(_AFTER).alias("content"), (C("mtime") + 5).alias("mtime"), F.lit("second").alias("hash"))
     third = n.where("doc_id % 11 = 5").select("path", F.lit(None).cast("string").alias("content"), (C("mtime") + 9).alias("mtime"), F.lit("gone").alias("hash"))
     late = n.where("doc_id % 33 = 0").select("path", F.expr(_AFTER).alias("content"), "mtime", F.lit("second").alias("hash"))
+    return first, second, third.unionByName(late)
+
+
+@query("stream_steps", "OP-105", _STREAMED)
+def _(spark, d):
+    """One step of the tables per batch of versions."""
+    first, second, third = note_versions(spark, d)
     none = chunking.chunk_by_heading(first.limit(0))
     tables = reindex.step(first, first.limit(0), none, embedding.embed_chunks(none))
-    for batch in (second, third.unionByName(late)):
+    for batch in (second, third):
         tables = reindex.step(batch, *tables)
     return tables[1].select("path", C("idx").cast("bigint").alias("idx"), "heading", "content")
 
 
+@query("stream_reindex", "OP-105", _STREAMED)
+def _(spark, d):
+    """The job itself: batches of versions arrive as files, each is taken in by a run of the
+    streaming query from its checkpoint, and the last is processed a second time, as after
+    a restart."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    batches = note_versions(spark, d)
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{root}/versions")
+        drops = spark.readStream.schema(reindex.NOTE_SCHEMA).parquet(f"{root}/versions")
+        reindex.stream_reindex(drops, f"{root}/index", f"{root}/checkpoint").awaitTermination()
+    reindex.process(batches[-1], len(batches) - 1, f"{root}/index")
+    return reindex.current(spark, f"{root}/index", "chunks").select("path", C("idx").cast("bigint").alias("idx"), "heading", "content")
+
+
 def _paragraph_sql(size: int) -> str:
     step = size - 100
     pieces = (
