@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from corpusloom.functions.storage import shared_folder
 from corpusloom.operators import sync as S
 from corpusloom.plans import derive as D
 from corpusloom.plans.registry import query
@@ -65,13 +68,15 @@ def _(spark, d):
     _NM + "SELECT path, size, mtime, hash FROM manifest",
 )
 def _(spark, d):
-    """Manifest rows carried as JSON array texts of the notes of some minutes each, so a text
-    does not grow with the manifest."""
+    """The manifest written as files with one JSON array each, of the notes of some minutes,
+    and read back by ranges of bytes."""
     m = D.manifest(spark, d)
     docs = m.withColumn("part", F.floor(F.col("mtime") / 3_000_000)).groupBy("part").agg(
         F.to_json(F.collect_list(F.struct("path", "size", "mtime", "hash"))).alias("value")
     )
-    return L.manifest_from_text(docs)
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return L.read_manifest(spark, path)
 
 
 @query(

@@ -10,7 +10,20 @@ MANIFEST_SCHEMA = "path string, size bigint, mtime bigint, hash string"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of manifest rows, or one row per line."""
+    """Manifests as files with one JSON array of rows each, or with one row per line.
+
+    A row of an array ends with a brace and a comma, which serves as the separator of a text
+    source: Spark reads even one very large array by ranges of bytes, in many tasks. Only
+    where a name holds the separator itself, so that a piece is no row, are the files read
+    as whole arrays."""
+    head = spark.read.option("lineSep", "{").text(path).where(F.trim("value") != "").first()
+    if head is None or not head["value"].lstrip("\ufeff \t\r\n").startswith("["):
+        return spark.read.schema(MANIFEST_SCHEMA).json(path)
+    piece = F.regexp_replace(F.regexp_replace("value", r"^[\s\x{feff}]*\[?[\s,]*", ""), r"\}?\s*\]?\s*$", "")
+    rows = spark.read.option("lineSep", "},").text(path).select(piece.alias("p")).where("p <> ''")
+    parsed = rows.select(F.from_json(F.concat("p", F.lit("}")), f"{MANIFEST_SCHEMA}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    if parsed.where("r IS NULL OR r._bad IS NOT NULL").isEmpty():
+        return parsed.select("r.path", "r.size", "r.mtime", "r.hash")
     return spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
 
 

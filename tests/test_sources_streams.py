@@ -28,6 +28,28 @@ def test_read_notes(spark, tmp_path):
     assert rows["b+c.md"]["mtime"] > 1_600_000_000_000
 
 
+def test_one_large_array_is_read_by_ranges(spark, tmp_path):
+    rows = [{"path": f"d/{i} [x] {{y}}.md", "size": i, "mtime": 1_700_000_000_000 + i, "hash": None if i % 5 == 0 else f"h{i}"} for i in range(3000)]
+    want = sorted(tuple(r.values()) for r in rows if r["hash"]) + sorted((r["path"], r["size"], r["mtime"], None) for r in rows if not r["hash"])
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name, text in (("one", json.dumps(rows)), ("pretty", "\ufeff\n" + json.dumps(rows, indent=2) + "\n"), ("dense", json.dumps(rows, separators=(",", ":")))):
+            (tmp_path / name).write_text(text)
+            got = L.read_manifest(spark, str(tmp_path / name))
+            assert sorted(tuple(r) for r in got.where("hash IS NOT NULL").collect()) + sorted(tuple(r) for r in got.where("hash IS NULL").collect()) == want
+            assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+        # a name that holds the separator: the array is read as a whole
+        odd = [{"path": 'a"},{"b.md', "size": 1, "mtime": 2, "hash": "h"}, {"path": "c},d.md", "size": 3, "mtime": 4, "hash": "k"}]
+        (tmp_path / "odd").write_text(json.dumps(odd))
+        assert sorted(tuple(r) for r in L.read_manifest(spark, str(tmp_path / "odd")).collect()) == sorted(tuple(r.values()) for r in odd)
+        for text in ("[]", "", " [ ] "):
+            (tmp_path / "none").write_text(text)
+            assert L.read_manifest(spark, str(tmp_path / "none")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+
+
 def test_manifest_round_trip(spark, tmp_path):
     m = spark.createDataFrame([("b", 1, 2, "h"), ("a", 3, 4, "g")], L.MANIFEST_SCHEMA)
     L.write_manifest(m.coalesce(1), str(tmp_path / "m"))
