@@ -485,3 +485,21 @@ def _(spark, d):
     n = D.notes(spark, d).select("doc_id", "path", F.lit(0).alias("idx"), "hash")
     have = n.where("doc_id % 8 <> 0").withColumn("hash", F.expr("CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE hash END"))
     return embedding.index_status(n, have)
+
+
+@query(
+    "refresh_vectors", "OP-039",
+    D.with_tables("notes").rstrip() + ", todo AS (SELECT path AS ck, content AS text FROM notes WHERE doc_id % 8 = 0 OR doc_id % 5 = 0), " + _embed_sql("todo", "ck", "nv")
+    + " SELECT ck AS path, CAST(bucket AS BIGINT) AS bucket, round(CAST(v AS DOUBLE), 6) AS value FROM nv"
+    " UNION ALL SELECT path, 0, 9.0 FROM notes WHERE doc_id % 8 <> 0 AND doc_id % 5 <> 0",
+)
+def _(spark, d):
+    """Vectors brought up to date: those of unchanged texts are taken over as they are (they
+    are marked, so that embedding again would show), missing and outdated ones are embedded,
+    those of notes that are gone are dropped."""
+    n = D.notes(spark, d).select("doc_id", "path", F.lit(0).alias("idx"), "content", "hash", "mtime")
+    mark = F.array(F.lit(9.0).cast("float")).alias("vec")
+    have = n.where("doc_id % 8 <> 0").select("path", "idx", mark, F.lit(K.VEC_DIM).alias("dim"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE hash END AS hash"), "mtime")
+    gone = n.where("doc_id % 7 = 0").select(F.concat(F.lit("gone/"), "path").alias("path"), "idx", mark, F.lit(K.VEC_DIM).alias("dim"), "hash", "mtime")
+    out = embedding.build_vectors(n.drop("doc_id"), have.unionByName(gone)).select("path", F.posexplode("vec").alias("bucket", "v")).where("v <> 0")
+    return out.select("path", C("bucket").cast("bigint").alias("bucket"), F.round(C("v").cast("double"), 6).alias("value"))
