@@ -18,9 +18,10 @@ def _no_space(c: Column) -> Column:
 LISTED = 5  # notes shown for a target that may mean several
 
 
-def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int = LISTED) -> DataFrame:
+def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int | None = LISTED) -> DataFrame:
     """(target, rank, path, score, matches): the `listed` best notes a link target may mean,
-    ties by path, and how many there are in all.
+    ties by path, and how many there are in all. With `listed=None` (target, path, score) of
+    every note it may mean, unranked: then the rows are as many as the matches.
 
     100 same base name, 95 the same without blanks, 90 same full path, 80 one name
     contains the other, 70 the same without blanks. All but the third look at names alone,
@@ -35,10 +36,39 @@ def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int = LISTED)
     t = materialize(t.withColumn("_tn", X.drop_md(F.col("_t"))).withColumn("_ts", _no_space(F.col("_tn"))))
     m = manifest.select("path").distinct()
     m = materialize(m.withColumn("_n", F.lower(X.title_of(F.col("path")))))
-    names = materialize(m.groupBy("_n").agg(F.count("*").alias("notes"), F.min("path").alias("first")).withColumn("_ns", _no_space(F.col("_n"))))
+    named = t.where("_tn <> ''")
+    pairs, by_path = _by_name(named, m)
+    blank = t.where("_tn = ''")
+    of_blank = F.when(F.col("_n") == "", 100).when(_no_space(F.col("_n")) == "", 95).when(F.lower("path").isin("", ".md"), 90).otherwise(80)
+    if listed is None:
+        by_name = pairs.select("target", "_n", "score").join(m, "_n")
+        better = by_path.select("target", "path", F.lit(90).alias("score"))
+        found = by_name.select("target", "path", "score").join(better.select("target", "path"), ["target", "path"], "left_anti").unionByName(better)
+        # blank targets are few spellings; each may mean every note
+        every = m.select("path", of_blank.alias("score")).crossJoin(blank.select("target"))
+        return found.unionByName(every.select("target", "path", "score"))
+
     first_paths = top_per_key(m, ["_n"], [F.col("path")], listed, "_place")
+    matches = pairs.select("target", "notes").unionByName(by_path.where("_by_name IS NULL").select("target", F.lit(1).cast("bigint").alias("notes")))
+    matches = matches.groupBy("target").agg(F.sum("notes").alias("matches"))
+    leading = top_per_key(pairs, ["target"], [F.col("score").desc(), F.col("first")], listed, "_place").select("target", "_n", "score")
+    found = leading.join(first_paths.select("_n", "path"), "_n").select("target", "path", "score")
+    found = found.unionByName(by_path.select("target", "path", F.lit(90).alias("score"))).groupBy("target", "path").agg(F.max("score").alias("score"))
+    best = top_per_key(found, ["target"], [F.col("score").desc(), F.col("path")], listed).join(matches, "target")
 
-    named = t.where("_tn <> ''")
+    every = m.withColumn("score", of_blank).orderBy(F.col("score").desc(), "path").limit(listed)
+    every = every.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "path")))  # of `listed` rows
+    total = m.agg(F.count("*").alias("matches"))
+    blank = blank.select("target", F.lit(1).alias("_k"))
+    of_blank = blank.join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k").join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    cols = ["target", "rank", "path", "score", "matches"]
+    return best.select(*cols).unionByName(of_blank.select(*cols))
+
+
+def _by_name(named: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of targets and names (target, _n, score, notes, first), and the notes that their
+    full path makes a better match (target, path, _n, _by_name)."""
+    names = materialize(m.groupBy("_n").agg(F.count("*").alias("notes"), F.min("path").alias("first")).withColumn("_ns", _no_space(F.col("_n"))))
     hit = lambda df, score: df.select("target", "_n", F.lit(score).alias("score"))
     near = _containing(named.select("target", F.col("_tn").alias("a")), names.select("_n", F.col("_n").alias("b")), 80)
     loose = _containing(named.select("target", F.col("_ts").alias("a")), names.select("_n", F.col("_ns").alias("b")), 70)
@@ -53,21 +83,7 @@ def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int = LISTED)
         .join(pairs.select("target", "_n", F.col("score").alias("_by_name")), ["target", "_n"], "left")
         .where("_by_name IS NULL OR _by_name < 90")
     )
-    matches = pairs.select("target", "notes").unionByName(by_path.where("_by_name IS NULL").select("target", F.lit(1).cast("bigint").alias("notes")))
-    matches = matches.groupBy("target").agg(F.sum("notes").alias("matches"))
-    leading = top_per_key(pairs, ["target"], [F.col("score").desc(), F.col("first")], listed, "_place").select("target", "_n", "score")
-    found = leading.join(first_paths.select("_n", "path"), "_n").select("target", "path", "score")
-    found = found.unionByName(by_path.select("target", "path", F.lit(90).alias("score"))).groupBy("target", "path").agg(F.max("score").alias("score"))
-    best = top_per_key(found, ["target"], [F.col("score").desc(), F.col("path")], listed).join(matches, "target")
-
-    score = F.when(F.col("_n") == "", 100).when(_no_space(F.col("_n")) == "", 95).when(F.lower("path").isin("", ".md"), 90).otherwise(80)
-    every = m.withColumn("score", score).orderBy(F.col("score").desc(), "path").limit(listed)
-    every = every.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "path")))  # of `listed` rows
-    total = m.agg(F.count("*").alias("matches"))
-    blank = t.where("_tn = ''").select("target", F.lit(1).alias("_k"))
-    of_blank = blank.join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k").join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
-    cols = ["target", "rank", "path", "score", "matches"]
-    return best.select(*cols).unionByName(of_blank.select(*cols))
+    return pairs, by_path
 
 
 def _grams(c: Column, n: int = 3) -> Column:

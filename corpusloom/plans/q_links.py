@@ -36,13 +36,10 @@ def link_targets(spark, d):
     return n.select(F.explode_outer(X.links_render(C("content"))).alias("target")).where("target IS NOT NULL").unionByName(extra)
 
 
-@query(
-    "resolve_names", "OP-060",
-    _N + _RN + "SELECT target, rank, path, CAST(score AS BIGINT) AS score, matches FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, path) AS rank, "
-    "count(*) OVER (PARTITION BY target) AS matches FROM pr WHERE score IS NOT NULL) WHERE rank <= 5",
-)
+@query("resolve_names", "OP-060", _N + _RN + "SELECT target, path, CAST(score AS BIGINT) AS score FROM pr WHERE score IS NOT NULL")
 def _(spark, d):
-    return LK.resolve_names(link_targets(spark, d), D.notes(spark, d)).select("target", "path", *big("rank", "score", "matches"))
+    """Every note that a target may mean."""
+    return LK.resolve_names(link_targets(spark, d), D.notes(spark, d), listed=None).select("target", "path", *big("score"))
 
 
 @query("resolved_targets", "OP-060", _N + _RN + "SELECT target, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(path) END AS path FROM pr WHERE score IS NOT NULL GROUP BY target")
