@@ -9,12 +9,16 @@ work grows with the text, not with the dictionary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.functions.batches import SLICE_ROWS
+
 MIN_BITS, MAX_BITS, BITS_PER_WORD = 16, 28, 32  # as powers of two, and per keyword
 _PAGE = 15  # a page of the filter has 2^15 bits, the size of Spark's bitmaps
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -84,11 +88,11 @@ def build(words: DataFrame, column: str = "keyword") -> Filter:
     return Filter(table, bits, sorted(r["n"] for r in sizes))
 
 
-def first_places(text: str, known: Filter) -> dict[str, int]:
-    """First offset of every substring that may be a keyword."""
+def _passing(text: str, known: Filter) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of all substrings that may be keywords."""
     n = len(text)
     if not n or not known.lengths:
-        return {}
+        return
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_codes(text) * _power(_MULT, n), out=sums[1:])
     back = _power(_INVERSE, n)
@@ -102,13 +106,46 @@ def first_places(text: str, known: Filter) -> dict[str, int]:
         at, two = at[yes], two[yes]
         return at[is_set(two)]
 
-    found: dict[str, int] = {}
     at, p = np.arange(n), 1
     while p <= known.lengths[-1] and len(at):
         at = passing(at[at + p <= n], p, _PREFIX)
         for length in known.lengths:
             if p <= length < 2 * p:
-                for i in passing(at[at + length <= n], length, 0).tolist():
-                    found.setdefault(text[i : i + length], i)
+                yield length, passing(at[at + length <= n], length, 0)
         p *= 2
+
+
+def first_places(text: str, known: Filter) -> dict[str, int]:
+    """First offset of every substring that may be a keyword."""
+    found: dict[str, int] = {}
+    for length, at in _passing(text, known):
+        for i in at.tolist():
+            found.setdefault(text[i : i + length], i)
     return found
+
+
+def _parts(texts: list[str], known: Filter) -> Iterator[tuple[str, str]]:
+    """(text, part) of short texts, looked at together."""
+    ends = np.cumsum([len(t) for t in texts])
+    whole = "".join(texts)
+    for length, at in _passing(whole, known):
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + length <= ends[of]
+        yield from {(texts[k], whole[i : i + length]) for k, i in zip(of[inside].tolist(), at[inside].tolist())}
+
+
+def inside(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, word): the words that stand in each of the short texts, both distinct. A text
+    meets the words in it and hardly any other; an empty word is in every text."""
+    words = words.where("word IS NOT NULL")
+    known = build(words, "word")
+
+    def job(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                rows = [*_parts([t for t in batch.column(0).slice(lo, SLICE_ROWS).to_pylist() if t is not None], known)]
+                yield pa.RecordBatch.from_pydict({"text": pa.array([t for t, _ in rows], pa.string()), "word": pa.array([w for _, w in rows], pa.string())})
+
+    possible = texts.select("text").mapInArrow(job, "text string, word string")
+    empty = words.where("word = ''")  # one row at most
+    return possible.join(words, "word", "left_semi").select("text", "word").unionByName(texts.where("text IS NOT NULL").crossJoin(F.broadcast(empty)).select("text", "word"))

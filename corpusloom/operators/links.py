@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom import constants as K
 from corpusloom.functions import text as X
 from corpusloom.functions.scale import HOT_ROWS, lookup, materialize, top_per_key
+from corpusloom.functions.substrings import inside
 from corpusloom.operators.paths import top_folder
 
 
@@ -27,10 +28,10 @@ def resolve_names(targets: DataFrame, manifest: DataFrame, listed: int | None =
     contains the other, 70 the same without blanks. All but the third look at names alone,
     so targets meet a dictionary of distinct names, each with its number of notes and its
     first paths; a target's matches are a sum over names, and its best notes are among the
-    first paths of its best names. Equal names and paths are equi-joins. Containment
-    compares names through shared pieces of three characters, so it, too, is an equi-join
-    followed by a check; shorter names are compared directly. A blank target is contained in
-    every name; it gets the total and the first paths without meeting the names."""
+    first paths of its best names. Equal names and paths are equi-joins, and so is
+    containment: a filter of bits finds the substrings of a name that may be targets, and of
+    a target that may be names. A blank target is contained in every name; it gets the total
+    and the first paths without meeting the names."""
     t = targets.select("target").distinct()
     t = t.withColumn("_t", F.lower(X.uni_trim(F.col("target"))))
     t = materialize(t.withColumn("_tn", X.drop_md(F.col("_t"))).withColumn("_ts", _no_space(F.col("_tn"))))
@@ -86,32 +87,13 @@ def _by_name(named: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, by_path
 
 
-def _grams(c: Column, n: int = 3) -> Column:
-    return F.array_distinct(X.ngrams(c, n))
-
-
-def _rarest(df: DataFrame, text: str, holders: DataFrame) -> DataFrame:
-    """Per distinct text its piece that the fewest names hold; none where a piece is unknown."""
-    g = df.select(text).distinct().select(text, F.explode_outer(_grams(F.col(text))).alias("g")).where("g IS NOT NULL")
-    j = g.join(holders, "g", "left")
-    return j.groupBy(text).agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").select(text, "g")
-
-
 def _containing(t: DataFrame, m: DataFrame, score: int) -> DataFrame:
-    """Pairs where one text contains the other. A contained text of three characters or
-    more is looked up by its rarest piece among the pieces of the containing texts."""
+    """Pairs where one text contains the other. Each text is looked through for the texts of
+    the other side, so that it meets those it contains and no others."""
     ta, mb = t.select("a").distinct(), m.select("b").distinct()
-    t_pieces = ta.select("a", F.explode_outer(_grams(F.col("a"))).alias("g")).where("g IS NOT NULL")
-    m_pieces = mb.select("b", F.explode_outer(_grams(F.col("b"))).alias("g")).where("g IS NOT NULL")
-    count = lambda p: p.groupBy("g").agg(F.count("*").alias("n"))
-    a_in_b = _rarest(ta, "a", count(m_pieces)).join(m_pieces, "g").where(F.contains("b", F.col("a"))).select("a", "b")
-    b_in_a = _rarest(mb, "b", count(t_pieces)).join(t_pieces, "g").where(F.contains("a", F.col("b"))).select("a", "b")
-    # texts of up to two characters: distinct ones are few (bounded by the alphabet), but
-    # their hits are looked up by short pieces all the same, with no nested loop
-    short = lambda c: F.array_distinct(F.concat(_grams(F.col(c), 1), _grams(F.col(c), 2), F.array(F.lit(""))))
-    a_short = ta.where(F.length("a") < 3).join(mb.select("b", F.explode(short("b")).alias("a")), "a").select("a", "b")
-    b_short = mb.where(F.length("b") < 3).join(ta.select("a", F.explode(short("a")).alias("b")), "b").select("a", "b")
-    pairs = a_in_b.unionByName(b_in_a).unionByName(a_short).unionByName(b_short).distinct()
+    a_in_b = inside(mb.withColumnRenamed("b", "text"), ta.withColumnRenamed("a", "word")).select(F.col("word").alias("a"), F.col("text").alias("b"))
+    b_in_a = inside(ta.withColumnRenamed("a", "text"), mb.withColumnRenamed("b", "word")).select(F.col("text").alias("a"), F.col("word").alias("b"))
+    pairs = a_in_b.unionByName(b_in_a).distinct()
     return t.join(pairs, "a").join(m, "b").select("target", "_n", F.lit(score).alias("score"))
 
 

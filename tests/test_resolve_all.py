@@ -3,6 +3,7 @@
 import random
 import re
 
+from corpusloom.functions.substrings import inside
 from corpusloom.operators import links as LK
 
 
@@ -32,3 +33,12 @@ def test_every_match_is_listed(spark):
     got = [tuple(r) for r in LK.resolve_names(t, m, listed=None).select("target", "path", "score").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(asked, paths)
     assert LK.resolve_names(t.limit(0), m, listed=None).count() == 0 and LK.resolve_names(t, m.limit(0), listed=None).count() == 0
+
+
+def test_names_meet_only_what_they_contain(spark):
+    """Before, a target met every name with its rarest piece: here 300 of them."""
+    words = spark.createDataFrame([(f"abc{i:03d}",) for i in range(300)] + [("",), ("知",)], "word string")
+    texts = spark.createDataFrame([(f"x abc{i:03d} abc 知",) for i in range(30)] + [("",), ("abc00",), ("1abc",)], "text string")
+    got = [tuple(r) for r in inside(texts, words).collect()]
+    want = {(f"x abc{i:03d} abc 知", w) for i in range(30) for w in (f"abc{i:03d}", "知", "")} | {(t, "") for t in ("", "abc00", "1abc")}
+    assert len(got) == len(want) and set(got) == want
