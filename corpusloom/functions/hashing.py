@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from corpusloom import constants as K
@@ -17,7 +17,7 @@ _BLOCK = 4096
 _POWERS = np.array([pow(K.HASH_MULT, _BLOCK - 1 - i, 1 << 32) for i in range(_BLOCK)], dtype=np.uint64)
 
 
-def byte_hash(data: bytes) -> int:
+def byte_hash(data) -> int:
     """h = h*33 + byte modulo 2^32, a block of bytes at a time."""
     codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
     h = K.HASH_SEED
@@ -39,10 +39,11 @@ def base36(n: int) -> str:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def text_hash(s: pd.Series) -> pd.Series:
-    """Hash of the UTF-8 bytes in base 36, as stored with chunks and notes."""
-    return s.map(lambda t: None if t is None else base36(byte_hash(t.encode("utf-8"))))
+@F.arrow_udf(T.StringType())
+def text_hash(s: pa.Array) -> pa.Array:
+    """Hash of the UTF-8 bytes in base 36, as stored with chunks and notes. The bytes are read
+    where the Arrow batch has them: no text becomes a Python object."""
+    return pa.array([base36(byte_hash(t.as_buffer())) if t.is_valid else None for t in s], pa.string())
 
 
 def ngram_vector(text: str) -> np.ndarray:
@@ -64,6 +65,10 @@ def ngram_vector(text: str) -> np.ndarray:
     return (counts / norm if norm > 0 else counts).astype(np.float32)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def embed(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: ngram_vector(t or ""))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def embed(s: pa.Array) -> pa.Array:
+    """One text is a Python object at a time, and the vectors are one block of numbers."""
+    out = np.zeros((len(s), K.VEC_DIM), np.float32)
+    for i, t in enumerate(s):
+        out[i] = ngram_vector(t.as_py() or "")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * K.VEC_DIM), pa.array(out.ravel()))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import cutting
+from corpusloom.functions.batches import in_slices
 from corpusloom.functions.hashing import base36, byte_hash
 
 CHUNK_SCHEMA = (
@@ -18,19 +16,17 @@ CHUNK_SCHEMA = (
 
 
 def _run(notes: DataFrame, cutter) -> DataFrame:
-    """Each note is cut on its own inside Arrow batches: no shuffle."""
-
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content, mtime in zip(pdf["path"], pdf["content"], pdf["mtime"]):
-                name = path.rsplit("/", 1)[-1]
-                name = name[:-3] if name.endswith(".md") else name
-                for i, (heading, text, lo, hi) in enumerate(cutter(name, content or "")):
-                    rows.append((path, i, heading, text, lo, hi, base36(byte_hash(text.encode("utf-8"))), mtime))
-            yield pd.DataFrame(rows, columns=["path", "idx", "heading", "content", "start_offset", "end_offset", "hash", "mtime"])
-
-    return notes.select("path", "content", "mtime").mapInPandas(job, CHUNK_SCHEMA)
+    """Each note is cut on its own inside Arrow batches: no shuffle, and never more than a few
+    notes and a bounded number of chunks in Python."""
+
+    def rows(note):
+        path = note["path"]
+        name = path.rsplit("/", 1)[-1]
+        name = name[:-3] if name.endswith(".md") else name
+        for i, (heading, text, lo, hi) in enumerate(cutter(name, note["content"] or "")):
+            yield path, i, heading, text, lo, hi, base36(byte_hash(text.encode("utf-8"))), note["mtime"]
+
+    return in_slices(notes.select("path", "content", F.col("mtime").cast("bigint").alias("mtime")), lambda: rows, CHUNK_SCHEMA)
 
 
 def chunk_by_heading(notes: DataFrame, keep_preamble: bool = False) -> DataFrame:
