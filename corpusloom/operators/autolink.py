@@ -139,10 +139,12 @@ def link_candidates(
     targets = _targets(notes, min_title)
     sources = notes.where(~X.starts_with_any(F.col("path"), K.LOCAL_MARKS) & (F.length(X.title_of(F.col("path"))) >= min_title))
     words = materialize(targets.select("target", F.lower("title").alias("low"), F.posexplode("kws").alias("kpos", "keyword")))
-    linked = materialize(_link_names(sources))
-    titles = targets.groupBy(F.lower("title").alias("low")).agg(F.count("*").alias("n"))
-    excluded = linked.join(titles, "low").groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") > FEW_EXCLUDED)
-    many = materialize(excluded.select("source", F.ceil(F.log2("n")).cast("int").alias("step")))
+    linked = materialize(_link_names(sources).distinct())
+    titles = targets.groupBy(F.lower("title").alias("low")).agg(F.countDistinct("target").alias("n"))
+    itself = (F.col("low") == F.lower(X.title_of(F.col("source")))).cast("int")
+    excluded = linked.join(titles, "low").groupBy("source").agg(F.sum(F.col("n") - itself).alias("n")).where("n > 0")
+    steps = materialize(excluded.select("source", F.ceil(F.log2("n")).cast("int").alias("step")))
+    many = steps.where(F.pow(F.lit(2), F.col("step")) > FEW_EXCLUDED)
     reach = {-1: max_per_note + FEW_EXCLUDED + 1}
     reach |= {r["step"]: max_per_note + 2 ** r["step"] + 1 for r in many.select("step").distinct().collect()}  # at most one per power of two
 
@@ -156,9 +158,9 @@ def link_candidates(
         holders.sort()
     spark = notes.sparkSession
     is_hot = F.broadcast(spark.createDataFrame([(w, True) for w in hot], "keyword string, _hot boolean"))
-    steps = F.filter(F.array(*[F.when(F.col("_r") <= n, F.lit(s)) for s, n in reach.items()]), lambda s: s.isNotNull())
+    kinds = F.filter(F.array(*[F.when(F.col("_r") <= n, F.lit(s)) for s, n in reach.items()]), lambda s: s.isNotNull())
     lists = (
-        ranked.join(is_hot, "keyword", "left_anti").withColumn("step", F.explode(steps)).groupBy("keyword", "step")
+        ranked.join(is_hot, "keyword", "left_anti").withColumn("step", F.explode(kinds)).groupBy("keyword", "step")
         .agg(F.sort_array(F.collect_list(F.struct("target", "kpos", "low"))).alias("holders"))
         .select(F.col("keyword").alias("_key"), "step", "holders")
     )
@@ -173,12 +175,13 @@ def link_candidates(
     key = F.when(F.col("_hot"), F.concat(F.lit("\0"), "source")).otherwise(F.col("keyword"))
     met = hits.join(is_hot, "keyword", "left").withColumn("_key", key).join(lists, ["_key", "step"], "left").where("_hot OR holders IS NOT NULL")
     # the mentions of one note, its links
-    own = met.groupBy("source").agg(F.max("step").alias("step"), F.collect_list(F.struct("keyword", "offset", "preview", "holders")).alias("hits"))
-    own = own.join(linked.groupBy("source").agg(F.collect_set("low").alias("links")), "source", "left")
+    own = met.groupBy("source").agg(F.collect_list(F.struct("keyword", "offset", "preview", "holders")).alias("hits"))
+    own = own.join(steps, "source", "left").join(linked.groupBy("source").agg(F.collect_set("low").alias("links")), "source", "left")
 
     def rows_of():
         def rows(note):
-            source, links, n = note["source"], set(note["links"] or ()), reach[note["step"]]
+            source, links, step = note["source"], set(note["links"] or ()), note["step"]
+            n = max_per_note + (0 if step is None else 2**step) + 1
             mentions: dict[str, list] = {}  # a path that several rows have is mentioned by each
             for h in note["hits"]:
                 m = mentions.setdefault(h["keyword"], [h["offset"], [], h["holders"]])
@@ -186,7 +189,7 @@ def link_candidates(
                 m[1].append(h["preview"])
             found: dict[str, list] = {}
             for keyword, (_, _, holders) in mentions.items():
-                some = hot[keyword][:n] if holders is None else [(h["target"], h["kpos"], h["low"]) for h in holders]
+                some = hot[keyword][:n] if holders is None else [(h["target"], h["kpos"], h["low"]) for h in holders[:n]]
                 for target, kpos, low in some:
                     if low in links or target == source:
                         continue
