@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
@@ -11,7 +9,6 @@ from pyspark.sql import functions as F, types as T
 from corpusloom import constants as K
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
-_SPACE = re.compile(r"\s+")
 _BLOCK = 4096
 # powers of the multiplier, highest first, for one block of bytes
 _POWERS = np.array([pow(K.HASH_MULT, _BLOCK - 1 - i, 1 << 32) for i in range(_BLOCK)], dtype=np.uint64)
@@ -48,19 +45,19 @@ def text_hash(s: pa.Array) -> pa.Array:
 
 def ngram_vector(text: str) -> np.ndarray:
     """Unit vector of hashed character n-gram counts; all zeros for a blank text."""
-    t = _SPACE.sub(" ", text.lower()).strip()
-    codes = np.frombuffer(t.encode("utf-16-le"), dtype=np.uint16).astype(np.int64)
+    t = " ".join(text.lower().split())
+    codes = np.frombuffer(t.encode("utf-16-le"), dtype=np.uint16).astype(np.int32)
     counts = np.zeros(K.VEC_DIM)
-    for n in range(K.NGRAM_MIN, K.NGRAM_MAX + 1):
+    h = np.full(len(codes), K.HASH_SEED, dtype=np.int32)
+    for n in range(1, K.NGRAM_MAX + 1):
         m = len(codes) - n + 1
         if m <= 0:
             break
-        h = np.full(m, K.HASH_SEED, dtype=np.int64)
-        for i in range(n):
-            h = h * K.HASH_MULT + codes[i : i + m]
-        h = (h + (1 << 31)) % (1 << 32) - (1 << 31)
-        # remainder with the sign of the hash, then its size: not the same as `h & 255`
-        counts += np.bincount(np.abs(np.fmod(h, K.VEC_DIM)), minlength=K.VEC_DIM)
+        # a run of n characters is one of n - 1 and the next character; 32 bits wrap around
+        h = h[:m] * np.int32(K.HASH_MULT) + codes[n - 1 :]
+        if n >= K.NGRAM_MIN:
+            # the size of the remainder with the sign of the hash: not the same as `h & 255`
+            counts += np.bincount(np.abs(h).view(np.uint32) % np.uint32(K.VEC_DIM), minlength=K.VEC_DIM)
     norm = np.sqrt((counts * counts).sum())
     return (counts / norm if norm > 0 else counts).astype(np.float32)
 

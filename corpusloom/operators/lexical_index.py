@@ -6,8 +6,8 @@ an interval of numbers. The index has three tables.
 `docs`     doc, path, idx, heading, content, mtime, partitioned by range of numbers
 `folders`  prefix, lo, hi, n: the interval of every folder and path, and the chunks in it
 `blocks`   token, stripe, n, best, lo, hi, at, impact: a token's postings in STRIPE successive
-           numbers (place in the stripe, impact), with the highest impact among them;
-           bucketed and sorted by (token, stripe)
+           numbers (place in the stripe, impact), with the highest impact among them, in one
+           row or a few of disjoint intervals lo..hi; bucketed and sorted by (token, stripe)
 
 A search reads the narrow columns of `blocks` first. They give document frequencies (of a
 scope, too: only blocks that a scope's border cuts are opened) and a bound for every query
@@ -20,10 +20,13 @@ winners alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as X
@@ -32,11 +35,13 @@ from corpusloom.functions.storage import bucketed, open_bucketed, temporary
 from corpusloom.operators import paths as P
 from corpusloom.operators.retrieval import idf, tf_norm
 
-FORMAT = 2  # of the tables; a kept index of another format is not opened
+FORMAT = 3  # of the tables; a kept index of another format is not opened
 STRIPE = 512
 SEEDS = 8  # stripes of a query that are opened first
 QUERY_GROUP, TOKEN_GROUP = 256, 4096  # of one product: queries, and tokens at once
 BUCKET_BYTES = 32 << 20  # of text per bucket
+FRAGMENT_TOKENS, FRAGMENT_ROWS = 2_000_000, 64  # of a stripe that are put together at once, at most; rows taken at a time
+FRAGMENT = "token string, stripe long, n long, best double, lo long, hi long, at array<int>, impact array<double>"
 DOCS = "path string, idx int, heading string, content string, mtime long, doc long, part long"
 PART_BITS = 33  # numbers are (part, place in part)
 SLACK = 1e-6  # sums that differ by the order of addition never drop a block
@@ -45,18 +50,25 @@ TIE = 2e-9  # scores are ranked after rounding to nine digits
 
 class LexicalIndex(NamedTuple):
     docs: DataFrame
-    folders: DataFrame
-    blocks: DataFrame
+    folders: DataFrame | None
+    blocks: DataFrame | None
 
 
 def write_index(chunks: DataFrame, root: str) -> None:
     """Write the index of (path, idx, heading, content, mtime) below `root`."""
-    spark = chunks.sparkSession
+    write_docs(chunks, root)
+    write_postings(_docs(chunks.sparkSession, root), root)
+
+
+def write_docs(chunks: DataFrame, root: str) -> None:
+    """Number the chunks: the table `docs`, all that a search by vectors reads."""
     rows = chunks.select("path", F.col("idx").cast("int").alias("idx"), "heading", "content", F.col("mtime").cast("long").alias("mtime")).repartitionByRange("path", "idx").sortWithinPartitions("path", "idx")
     rows = rows.withColumn("doc", F.monotonically_increasing_id())
     rows.withColumn("part", F.shiftright("doc", PART_BITS)).write.mode("overwrite").partitionBy("part").parquet(f"{root}/docs")
-    docs = _docs(spark, root)
 
+
+def write_postings(docs: DataFrame, root: str) -> None:
+    """The tables `folders` and `blocks` of numbered chunks."""
     one = F.array(F.struct(F.col("path").alias("prefix"), F.lit(True).alias("is_path")))
     above = F.transform(F.concat(F.array(F.lit("")), P.ancestors(F.col("path"))), lambda f: F.struct(f.alias("prefix"), F.lit(False).alias("is_path")))
     per_path = docs.groupBy("path").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
@@ -68,17 +80,54 @@ def write_index(chunks: DataFrame, root: str) -> None:
 
     size = docs.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    tokens = docs.select("doc", X.tokenize(F.col("content")).alias("t"))
-    # explode_outer: the plain form adds a filter that would tokenize once more
-    held = tokens.select("doc", F.size("t").alias("len"), F.explode_outer("t").alias("token")).where("token is not null")
-    # occurrences are dealt like the buckets of the table: one shuffle serves both groupings and the writing
-    held = held.withColumn("stripe", F.expr(f"doc div {STRIPE}")).repartition(buckets, "token", "stripe")
-    post = held.groupBy("token", "stripe", "doc", "len").agg(F.count("*").alias("tf"))
-    entry = F.struct((F.col("doc") % STRIPE).cast("int").alias("at"), tf_norm(F.col("tf"), F.col("len")).alias("impact"))
-    blocks = post.groupBy("token", "stripe").agg(F.sort_array(F.collect_list(entry)).alias("p"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))  # at most STRIPE
-    bucketed(
-        blocks.select("token", "stripe", F.size("p").cast("long").alias("n"), F.array_max("p.impact").alias("best"), "lo", "hi", F.col("p.at").alias("at"), F.col("p.impact").alias("impact")),
-        f"{root}/blocks", buckets, ["token", "stripe"], ["token", "stripe"],
+    # files hold chunks by number: a row per token and stripe moves, and one more where a task or a run ends inside a stripe
+    found = _fragments(docs.select("doc", X.tokenize(F.col("content")).alias("t")))
+    bucketed(found, f"{root}/blocks", buckets, ["token", "stripe"], ["token", "stripe"])
+
+
+def _fragments(tokens: DataFrame) -> DataFrame:
+    """Postings of (doc, t), a row per token and run of chunks of one stripe that follow each
+    other in a task. A run ends after FRAGMENT_TOKENS tokens, so memory is bounded."""
+    stripe, most = STRIPE, FRAGMENT_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, None
+        for batch in batches:
+            of = batch.column("doc").to_numpy() // stripe
+            ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
+            for lo, hi in zip(np.append(0, ends[:-1]), ends):
+                for start in range(lo, hi, FRAGMENT_ROWS):
+                    part = batch.slice(start, min(FRAGMENT_ROWS, hi - start))
+                    if held and (of[lo] != at or size >= most):
+                        yield _fragment(held, stripe)
+                        held, size = [], 0
+                    held, size, at = [*held, part], size + len(part.column("t").flatten()), of[lo]
+        if held:
+            yield _fragment(held, stripe)
+
+    return tokens.mapInArrow(run, FRAGMENT)
+
+
+def _fragment(held: list[pa.RecordBatch], stripe: int) -> pa.RecordBatch:
+    """The postings of some chunks of one stripe."""
+    doc = np.concatenate([b.column("doc").to_numpy() for b in held])
+    length = np.concatenate([pc.fill_null(pc.list_value_length(b.column("t")), 0).to_numpy(zero_copy_only=False) for b in held])
+    words = pa.chunked_array([b.column("t").flatten() for b in held]).combine_chunks().dictionary_encode()
+    row = np.repeat(np.arange(len(doc)), length)
+    order = np.argsort(doc, kind="stable")  # places ascend within a token
+    place = np.empty(len(doc), np.int64)
+    place[order] = np.arange(len(doc))
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(doc) + place[row], return_counts=True)
+    code, row = key // max(1, len(doc)), order[key % max(1, len(doc))]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    impact = tf_norm(tf.astype(np.float64), length[row])
+    ends = np.append(first, len(key)).astype(np.int32)
+    n = np.diff(ends).astype(np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((doc[row] % stripe).astype(np.int32), impact)]
+    best = np.maximum.reduceat(impact, first) if len(key) else impact
+    return pa.RecordBatch.from_arrays(
+        [words.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), doc[0] // stripe)), pa.array(n), pa.array(best), pa.array(doc[row[first]]), pa.array(doc[row[ends[1:] - 1]]), *lists],
+        ["token", "stripe", "n", "best", "lo", "hi", "at", "impact"],
     )
 
 
@@ -86,8 +135,15 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(DOCS).parquet(f"{root}/docs")
 
 
-def open_index(spark: SparkSession, root: str) -> LexicalIndex:
-    return LexicalIndex(_docs(spark, root), spark.read.parquet(f"{root}/folders"), open_bucketed(spark, f"{root}/blocks"))
+def open_index(spark: SparkSession, root: str, postings: str | None = None) -> LexicalIndex:
+    """`postings` is where `write_postings` wrote, if that is another place."""
+    postings = postings or root
+    return LexicalIndex(_docs(spark, root), spark.read.parquet(f"{postings}/folders"), open_bucketed(spark, f"{postings}/blocks"))
+
+
+def open_docs(spark: SparkSession, root: str) -> LexicalIndex:
+    """What `write_docs` wrote, for searches that need no postings."""
+    return LexicalIndex(_docs(spark, root), None, None)
 
 
 def scope_ranges(scopes: DataFrame, folders: DataFrame) -> DataFrame:
@@ -117,11 +173,11 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
     met = index.blocks.select("token", "stripe", "n", "best", "lo", "hi").join(vocabulary, "token").join(ranges.drop("n"), "scope_id").where(_overlap())
     whole = (F.col("lo") >= F.col("from")) & (F.col("hi") <= F.col("to"))
     cut = (
-        met.where(~whole).select("scope_id", "token", "stripe", "best", "from", "to")
-        .join(index.blocks.select("token", "stripe", "at"), ["token", "stripe"])
+        met.where(~whole).select("scope_id", "token", "stripe", "lo", "best", "from", "to")
+        .join(index.blocks.select("token", "stripe", "lo", "at"), ["token", "stripe", "lo"])
         .withColumn("n", F.size(F.expr(f"filter(at, a -> stripe * {STRIPE} + a between from and to)")).cast("long"))
     )
-    cols = ["scope_id", "token", "stripe", "n", "best"]
+    cols = ["scope_id", "token", "stripe", "lo", "n", "best"]
     hits = temporary(met.where(whole).select(*cols).unionByName(cut.select(*cols)).where("n > 0"))
     df = hits.groupBy("scope_id", "token").agg(F.sum("n").alias("df"))
     sizes = ranges.groupBy("scope_id").agg(F.sum("n").alias("size"), F.collect_list("from").alias("froms"), F.collect_list("to").alias("tos"))  # of one query's scope
@@ -133,7 +189,7 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
     groups = max(1, -(-asked.count() // QUERY_GROUP))
     weighed = asked.select("query_id", "scope_id", F.explode(F.arrays_zip("tokens", "ws")).alias("t")).select("query_id", "scope_id", F.col("t.tokens").alias("token"), F.col("t.ws").alias("w"))
     bound = temporary(
-        hits.select("scope_id", "token", "stripe", "best").distinct().join(weighed, ["scope_id", "token"])
+        hits.select("scope_id", "token", "stripe", "lo", "best").distinct().join(weighed, ["scope_id", "token"])
         .groupBy("query_id", "stripe").agg(F.sum(F.col("w") * F.col("best")).alias("bound"))
         .withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     )
@@ -142,13 +198,13 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
         """The k best of one stripe for a group of queries."""
         if not len(asking):
             return pd.DataFrame({"query_id": asking["query_id"], "doc": np.zeros(0, np.int64), "score": np.zeros(0)})
-        number = {t: i for i, t in enumerate(blocks["token"])}
+        rows_of = blocks.groupby("token").indices  # a few rows where a task ended inside the stripe
         found = np.zeros((len(asking), STRIPE))
         who, token, w = [], [], []
         for i, (tokens, ws) in enumerate(zip(asking["tokens"], asking["ws"])):
             for t, x in zip(tokens, ws):
-                if t in number:
-                    who.append(i), token.append(number[t]), w.append(x)
+                for r in rows_of.get(t, ()):
+                    who.append(i), token.append(r), w.append(x)
         who, token, w = np.array(who, int), np.array(token, int), np.array(w)
         for start in range(0, len(blocks), TOKEN_GROUP):
             some = blocks.iloc[start:start + TOKEN_GROUP]

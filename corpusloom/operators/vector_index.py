@@ -24,17 +24,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.scale import top_per_key
 
-FORMAT = 1  # of the tables; a kept index of another format is not opened
-SAMPLE = 20_000  # vectors that centroids are fitted on, those with the smallest hashes
+FORMAT = 2  # of the tables; a kept index of another format is not opened
+SAMPLE = 20_000  # vectors that centroids are fitted on, drawn at random
 MAX_CELLS, ROUNDS = 1024, 8
 BLOCK_ROWS = 1024
-QUERY_GROUP, CENTRE_GROUP = 256, 1024
+QUERY_GROUP, CENTRE_GROUP = 2048, 1024
 SEEDS = 4  # blocks of a query that are opened first
 TIE = 2e-9  # scores are ranked after rounding to nine digits
 
 
 class VectorIndex(NamedTuple):
-    blocks: DataFrame  # block, n, centre, radius, members array<struct<path, idx, vec>>
+    blocks: DataFrame  # block, n, centre, radius, members array<struct<path, idx, vec>>, numbers as given
     n_blocks: int
 
 
@@ -59,17 +59,20 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
 
 
 def write_vectors(vectors: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -> None:
-    """Write the index of (path, idx, vec) below `root`. All vectors have the same length."""
-    rows = vectors.select("path", F.col("idx").cast("int").alias("idx"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    """Write the index of (path, idx, vec) below `root`. All vectors have the same length; they
+    are read three times, so a table that is dear to compute should be stored before."""
+    rows = vectors.select("path", F.col("idx").cast("int").alias("idx"), "vec").where("vec is not null")
+    kind = rows.schema["vec"].dataType.simpleString()
     n = rows.count()
-    sample = rows.select("vec").orderBy(F.xxhash64("path", "idx")).limit(SAMPLE).toPandas()["vec"]
+    # drawn where the rows are: ordering by a hash would send SAMPLE rows of every task to the driver
+    sample = rows.select("vec").sample(min(1.0, 1.1 * SAMPLE / max(1, n)), seed=1).limit(SAMPLE).toPandas()["vec"]
     at = centroids(_matrix(sample), max(1, min(MAX_CELLS, -(-n // block_rows)))) if len(sample) else np.zeros((1, 1))
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(cell=_nearest(_matrix(b["vec"]), at)) if len(b) else b.assign(cell=0)
 
-    celled = rows.mapInPandas(dealt, "path string, idx int, vec array<double>, cell long")
+    celled = rows.mapInPandas(dealt, f"path string, idx int, vec {kind}, cell long")
     celled.write.mode("overwrite").parquet(f"{root}/cells")
     celled = rows.sparkSession.read.parquet(f"{root}/cells")
     parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
@@ -85,7 +88,7 @@ def write_vectors(vectors: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -
             "members": [{"path": p, "idx": i, "vec": v} for p, i, v in zip(group["path"], group["idx"], group["vec"])],
         }])
 
-    schema = "block long, n int, centre array<double>, radius double, members array<struct<path:string,idx:int,vec:array<double>>>"
+    schema = f"block long, n int, centre array<double>, radius double, members array<struct<path:string,idx:int,vec:{kind}>>"
     placed.groupBy("block").applyInPandas(packed, schema).write.mode("overwrite").parquet(f"{root}/blocks")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom import constants as K
-from corpusloom.functions.storage import kept, shared_folder, version
+from corpusloom.functions.storage import kept, shared_folder, temporary, version
 from corpusloom.operators import agent, chunking, context, embedding, lexical_index as LI, rerank as RR, retrieval as R, vector_index as VI
 from corpusloom.plans import derive as D, sqltext as Q
 from corpusloom.plans.registry import query
@@ -27,11 +27,21 @@ def _version(spark: SparkSession, d: str, table: str) -> str:
     return version(spark.read.parquet(f"{d.rstrip('/')}/{table}.parquet"))
 
 
+def _doc_root(spark: SparkSession, d: str, name: str, chunks, mark: str) -> str:
+    return kept(spark, f"docs-{name}-{LI.FORMAT}-{mark}", lambda root: LI.write_docs(chunks(spark, d), root))
+
+
 def doc_index(spark: SparkSession, d: str, name: str = "documents", chunks=doc_chunks) -> LI.LexicalIndex:
     """The stored index of `chunks(spark, d)`, written when a version of the documents is
     first searched and read by every search after that."""
-    path = f"lexical-{name}-{LI.FORMAT}-{_version(spark, d, 'documents')}"
-    return LI.open_index(spark, kept(spark, path, lambda root: LI.write_index(chunks(spark, d), root)))
+    mark = _version(spark, d, "documents")
+    root = _doc_root(spark, d, name, chunks, mark)
+    return LI.open_index(spark, root, kept(spark, f"postings-{name}-{LI.FORMAT}-{mark}", lambda to: LI.write_postings(LI.open_docs(spark, root).docs, to)))
+
+
+def doc_table(spark: SparkSession, d: str, name: str = "documents", chunks=doc_chunks) -> LI.LexicalIndex:
+    """The numbered chunks of that index alone, for searches that read no postings."""
+    return LI.open_docs(spark, _doc_root(spark, d, name, chunks, _version(spark, d, "documents")))
 
 
 def stored_vectors(spark: SparkSession, d: str, table: str, vectors, name: str | None = None) -> VI.VectorIndex:
@@ -309,13 +319,14 @@ _VRES = (
 
 
 def document_vectors(spark, d):
-    return embedding.embed_chunks(doc_chunks(spark, d).withColumn("hash", F.md5("content")))
+    """Embedded once, to a table."""
+    return temporary(embedding.embed_chunks(doc_chunks(spark, d).withColumn("hash", F.md5("content"))).select("path", "idx", "vec"))
 
 
 @query("vector_search", "OP-042 OP-038 OP-012", f"WITH {_CHUNKS}, {_VEC_SQL}, {_VRES} SELECT {_OUT} FROM ({_budget_sql('vres', 3000, 12, False)})")
 def _(spark, d):
     return result_out(R.search(
-        bench_queries(spark, d), vectors=stored_vectors(spark, d, "documents", document_vectors), mode="vector", k=12, max_chars=3000, index=doc_index(spark, d)
+        bench_queries(spark, d), vectors=stored_vectors(spark, d, "documents", document_vectors), mode="vector", k=12, max_chars=3000, index=doc_table(spark, d)
     ))
 
 
@@ -467,8 +478,9 @@ _SECTIONS_SQL = (
 def _(spark, d):
     """The whole read path on real chunks: notes are cut, their chunks indexed and embedded
     once; searches both ways, reranks, and keeps five short snippets per query."""
-    index = doc_index(spark, d, "sections", lambda spark, d: chunking.chunk_by_heading(D.notes(spark, d)))
-    vectors = stored_vectors(spark, d, "documents", lambda *_: embedding.build_vectors(index.docs.withColumn("hash", F.md5("content"))), "sections")
+    index = doc_index(spark, d, "sections", lambda spark, d: temporary(chunking.chunk_by_heading(D.notes(spark, d))))
+    embedded = lambda *_: temporary(embedding.build_vectors(index.docs.withColumn("hash", F.md5("content"))).select("path", "idx", "vec"))
+    vectors = stored_vectors(spark, d, "documents", embedded, "sections")
     res = R.search(bench_queries(spark, d), vectors=vectors, mode="hybrid", rerank_top=10, index=index)
     return agent.kb_lookup(res).select(
         "query_id", C("rank").cast("bigint").alias("rank"), "path", C("idx").cast("bigint").alias("idx"), "heading", "title", F.round("score", 6).alias("score"), "snippet"

@@ -258,3 +258,28 @@ def test_index_skips_stripes_and_keeps_every_hit(spark, tmp_path, monkeypatch):
         want = R.bm25(queries, df, k=k, max_chars=10**6).select("query_id", "rank", "path", "idx", F.round("score", 6)).collect()
         got = R.bm25_places(queries, index, k).select("query_id", "rank", "path", "idx", F.round("score", 6)).collect()
         assert sorted(got) == sorted(want) and got
+
+
+def test_vectors_find_texts_without_postings(spark, chunks, tmp_path, monkeypatch):
+    monkeypatch.setattr(VI, "SAMPLE", 2)
+    LI.write_docs(chunks, f"{tmp_path}/l")
+    VI.write_vectors(embedding.embed_chunks(chunks.withColumn("hash", F.lit(""))).repartition(3), f"{tmp_path}/v", block_rows=1)
+    asked = embedding.embed_queries(q(spark, "cat", "zebra quux"))
+    cols = ["query_id", "rank", "path", "idx", "snippet"]
+    stored = R.vector_search(asked, VI.open_vectors(spark, f"{tmp_path}/v"), k=3, index=LI.open_docs(spark, f"{tmp_path}/l"))
+    plain = R.vector_search(asked, embedding.embed_chunks(chunks.withColumn("hash", F.lit(""))), chunks, 3)
+    assert sorted(stored.select(*cols).collect()) == sorted(plain.select(*cols).collect())
+    assert not (tmp_path / "l" / "blocks").exists()
+
+
+def test_stripes_in_several_rows_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LI, "FRAGMENT_TOKENS", 5), monkeypatch.setattr(LI, "FRAGMENT_ROWS", 1)
+    rows = [(f"a{i % 3}/n{i}.md", 0, "h", " ".join(["cat", "dog"][: 1 + i % 2] * (1 + i % 4) + [f"w{i}"]), i) for i in range(40)] + [("b/none.md", 0, "h", None, 1)]
+    df = spark.createDataFrame(rows, "path string, idx int, heading string, content string, mtime long")
+    LI.write_index(df, f"{tmp_path}/l")
+    index = LI.open_index(spark, f"{tmp_path}/l")
+    assert index.blocks.where("token = 'cat'").count() > 5 and index.blocks.where("token = 'cat'").agg(F.sum("n")).first()[0] == 40
+    asked = q(spark, "cat cat", "dog w7", "cat dog")
+    places = lambda d: sorted((r["query_id"], r["rank"], r["path"], round(r["score"], 9)) for r in d.collect())
+    for scope in ([], ["a1"], ["a0", "a2/n5.md"]):
+        assert places(R.bm25_places(asked, index, 7, scope)) == places(R.bm25(asked, df, 7, scope=scope))
