@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import constants as K
 from corpusloom.functions import text as X
-from corpusloom.functions.scale import running_sum, top_per_key
+from corpusloom.functions.scale import is_small, running_sum, top_per_key
+
+SALTS = 64
 
 def _pieces(rows: DataFrame, keys: list[str], order: str, piece: Column, trim: bool = False) -> DataFrame:
     """(keys…, pos, text): ordered pieces with a blank line before all but the first; with
@@ -87,6 +89,17 @@ def dedupe_books(summary: DataFrame) -> DataFrame:
     return keyed.join(many, "_key").where(F.col("path") != F.col("keep")).select("path", "keep")
 
 
+def _of_books(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """Chunks of these paths, which are distinct. No task gets all texts of one path, be it a
+    long book or a note that is none of them: few paths go to the texts, and where there are
+    many, a path's texts are dealt over SALTS keys."""
+    if is_small(paths):
+        return chunks.join(F.broadcast(paths), "path", "left_semi")
+    salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("path", "idx"), F.lit(SALTS)))
+    each = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, ["path", "_salt"], "left_semi").select(*chunks.columns)
+
+
 def recover_text(books: DataFrame, notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(path, pos, source, text): the text of each book, in pieces, from its note, else from a note
     with the same base name, else from its chunks; at least fifty characters are needed."""
@@ -100,9 +113,9 @@ def recover_text(books: DataFrame, notes: DataFrame, chunks: DataFrame) -> DataF
     chosen = both.select("path", text.alias("content"), F.when(F.col("_has1"), "note").otherwise("same name").alias("source"))
     good = chosen.where(enough).select("path", F.lit(1).cast("bigint").alias("pos"), "source", body_of_book_note(F.col("content")).alias("text"))
     rest = books.select("path").join(good.select("path"), "path", "left_anti")
-    mine = chunks.join(rest, "path", "left_semi")
+    mine = _of_books(chunks, rest)
     sizes = mine.groupBy("path").agg((F.sum(F.length("content")) + 2 * (F.count("*") - 1)).alias("n")).where(F.col("n") >= K.BOOK_MIN_CHARS)
-    rebuilt = _pieces(mine.join(sizes.select("path"), "path", "left_semi"), ["path"], "idx", F.col("content"))
+    rebuilt = _pieces(_of_books(chunks, sizes.select("path")), ["path"], "idx", F.col("content"))
     return good.unionByName(rebuilt.select("path", "pos", F.lit("chunks").alias("source"), "text"))
 
 

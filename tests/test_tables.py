@@ -323,3 +323,18 @@ def test_concepts_and_stats_on_nothing(spark):
     assert ST.concepts(n).count() == 0
     r = ST.vault_stats(n, n).first()
     assert (r["notes"], r["links"], r["avg_chars"]) == (0, 0, 0)
+
+
+def test_recover_text_spreads_long_paths(spark, monkeypatch):
+    books = spark.createDataFrame([("📕 a.pdf",), ("📕 b.pdf",)], "path string")
+    notes = spark.createDataFrame([("📕 b.pdf.md", "x" * 60)], "path string, content string")
+    rows = [("📕 a.pdf", i, f"part {i} of the book") for i in range(30)] + [("notes/x.md", i, "other") for i in range(30)] + [("📕 b.pdf", 0, "y" * 60)]
+    chunks = spark.createDataFrame(rows, "path string, idx long, content string")
+    want = [("📕 a.pdf", i + 1, "chunks", ("\n\n" if i else "") + f"part {i} of the book") for i in range(30)] + [("📕 b.pdf", 1, "note", "x" * 60)]
+    got = lambda: sorted(map(tuple, B.recover_text(books, notes, chunks).select("path", "pos", "source", "text").collect()))
+    assert got() == want
+    monkeypatch.setattr(B, "is_small", lambda df: False)
+    assert got() == want
+    # texts of one path meet their book in many tasks
+    plan = B._of_books(chunks, books)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
