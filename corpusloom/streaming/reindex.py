@@ -51,7 +51,7 @@ def current(spark: SparkSession, target: str, name: str, before: int | None = No
         return None
     if before is not None:
         notes = notes.where(F.col("batch") < before)
-    last = notes.groupBy("path").agg(F.max("batch").alias("batch"), F.max_by("content", "batch").isNotNull().alias("there"))
+    last = notes.groupBy("path").agg(F.max("batch").alias("batch"), F.max_by(F.col("content").isNotNull(), "batch").alias("there"))
     return rows.join(last.where("there"), ["path", "batch"], "left_semi").drop("batch")
 
 
@@ -64,7 +64,7 @@ def process(batch: DataFrame, batch_id: int, target: str) -> None:
     tag = lambda df: df.withColumn("batch", F.lit(batch_id))
 
     def put(df: DataFrame, name: str) -> None:
-        tag(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
+        tag(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("batch").parquet(f"{target}/{name}")
 
     # chunks are written before notes: a path counts as current only once its note is there
     put(chunking.chunk_by_heading(todo.where("content IS NOT NULL")), "chunks")

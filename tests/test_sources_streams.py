@@ -194,3 +194,11 @@ def test_stream_reindex_equals_batch(spark, tmp_path):
     n = max(r["batch"] for r in spark.read.parquet(target + "/notes").select("batch").collect())
     reindex.process(batch, n, target)
     assert sorted(map(str, reindex.current(spark, target, "chunks").select(cols).collect())) == before
+
+
+def test_state_of_paths_needs_no_texts(spark, tmp_path):
+    reindex.process(spark.createDataFrame([("a.md", "## h\ntext", 1, "1"), ("b.md", "## h\nmore", 1, "2")], reindex.NOTE_SCHEMA), 0, str(tmp_path))
+    reindex.process(spark.createDataFrame([("a.md", None, 2, "3")], reindex.NOTE_SCHEMA), 1, str(tmp_path))
+    notes = reindex.current(spark, str(tmp_path), "notes").select("path", "hash")
+    assert [r["path"] for r in notes.collect()] == ["b.md"]
+    assert "max_by(content" not in notes._jdf.queryExecution().optimizedPlan().toString()
