@@ -42,6 +42,7 @@ from math import log2
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 from corpusloom.llm.common import stored
 from corpusloom.llm.graph import components
@@ -49,37 +50,26 @@ from corpusloom.llm.graph import components
 SHINGLE, PERCENT = 5, 80
 MEMBERS, HASHES = 512, 2_000_000  # classes and shingles of a block
 MU = 0.01  # weight of a binary search against a step of the merge, in DivideSkip's formula
-CACHED_WORDS = 100_000
 CHUNK_CHARS = 2_000_000  # of text whose shingles are held at once, beyond one text
 COUNTED = 3  # of 8 parts of the hash space, in which a class's own shingles are counted
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _Words(dict):
-    """Hash of each word, kept while there are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: str, width: int, words: _Words) -> np.ndarray:
+def shingles(text: str, width: int) -> np.ndarray:
     """The hashes of a text's distinct shingles, ascending."""
     ws = text.encode("utf-8", "surrogatepass").lower().split()  # A-Z only; at [\x20\x09-\x0D]
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(xxh64_intdigest, ws), np.uint64, len(ws))
     k = min(width, len(ws))
     n = len(ws) - k + 1
-    out = np.full(n, k, np.uint64)
+    out, high = np.full(n, k, np.uint64), np.empty(n, np.uint64)
     for i in range(k):  # a polynomial of the word hashes, stirred after every word
-        out = (out + h[i:i + n]) * _MIX[i % len(_MIX)]
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+        out += h[i:i + n]
+        out *= _MIX[i % len(_MIX)]
+        out ^= np.right_shift(out, np.uint64(29), out=high)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -88,8 +78,6 @@ def needed(n: Column, percent: int) -> Column:
 
 
 def _signature(h: np.ndarray) -> tuple[int, int]:
-    from xxhash import xxh3_128_intdigest
-
     both = xxh3_128_intdigest(h.tobytes())
     return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
 
@@ -97,11 +85,10 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
 def _hashed(texts: DataFrame, width: int, schema: str, out: Callable[[pd.DataFrame, list[np.ndarray]], pd.DataFrame]) -> DataFrame:
     """`out` of every batch and the shingles of its texts t."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
         for b in batches:
             part = b["t"].str.len().cumsum().to_numpy() // CHUNK_CHARS
             for _, some in b.groupby(part, sort=False):
-                yield out(some, [shingles(t, width, words) for t in some["t"]])
+                yield out(some, [shingles(t, width) for t in some["t"]])
 
     return texts.mapInPandas(run, schema)
 

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from time import process_time
 
 import numpy as np
 import pytest
@@ -135,3 +136,20 @@ def test_divide_skip_finds_what_counting_finds():
         spans = list(zip([0, *ends[:-1]], ends))
         got = dict(J.divide_skip(np.concatenate(lists).tolist(), spans, need, lambda c: need + c % 3, lambda c: c != 7))
         assert got == {c: n for c, n in times.items() if n >= need + c % 3 and c != 7}
+
+
+def test_shingles_of_a_large_vocabulary_cost_a_bounded_time_per_word():
+    """Words that hardly recur: a cache of word hashes that is cleared again and again made
+    a word several times dearer than one of a small vocabulary."""
+    def seconds(words):
+        text, best = " ".join(words), 1e9
+        for _ in range(3):
+            begin = process_time()
+            found = J.shingles(text, 5)
+            best = min(best, process_time() - begin)
+        assert len(found) == len({tuple(words[i:i + 5]) for i in range(len(words) - 4)}) and (found[1:] > found[:-1]).all()
+        return best
+
+    rng = random.Random(5)
+    few, many = [f"w{rng.randint(0, 999)}x" for _ in range(300_000)], [f"w{i}x" for i in range(300_000)]
+    assert seconds(many) < 2.5 * seconds(few)
