@@ -132,3 +132,10 @@ def test_query_on_given_table(spark, sf_dir, sf):
     j = QUERIES["op7_quality_rules"](spark, sf_dir).toPandas().merge(labels, on="doc_id")
     good = j[(j["quality"] == 1) & ~j["base_failed"]]
     assert good["kept"].mean() > 0.98
+
+
+def test_arrays_are_sorted_without_a_comparator(spark):
+    """array_sort evaluates an expression per comparison; the words of a text were sorted so."""
+    df = spark.createDataFrame([(1, "en", "a b c d e " * 30)], "doc_id long, lang string, text string")
+    plan = rules.judge(df, rules.references(df))._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
