@@ -9,8 +9,9 @@ A search reads centres and radii first. The blocks with the highest bounds of a
 opened, their k-th score is what the bound of any other block has to reach, and only those
 are opened then. The sample decides how many blocks are skipped, never what is found.
 
-Queries meet centres, and blocks, in groups of bounded size: memory depends neither on the
-number of rows nor on the number of shuffle partitions.
+Queries meet centres in groups of bounded size, and blocks by the shelf, many blocks to a task:
+a query goes once to a shelf of which it wants any block, not once to each block. Memory
+depends neither on the number of rows nor on the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.scale import top_per_key
+from corpusloom.functions.scale import materialize, top_per_key
 
 FORMAT = 2  # of the tables; a kept index of another format is not opened
 SAMPLE = 20_000  # vectors that centroids are fitted on, drawn at random
 MAX_CELLS, ROUNDS = 1024, 8
 BLOCK_ROWS = 1024
 QUERY_GROUP, CENTRE_GROUP = 2048, 1024
+SHELF_BLOCKS, SHELVES = 64, 48  # blocks that a task opens, and how many tasks there are at least
+OPEN_GROUP, OPEN_RESULTS = 65_536, 2_000_000  # queries, and results of theirs, that a task holds
 SEEDS = 4  # blocks of a query that are opened first
 TIE = 2e-9  # scores are ranked after rounding to nine digits
 
@@ -103,6 +106,16 @@ def _bounds(centres: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
     return q @ _matrix(centres["centre"]).T + np.sqrt((q * q).sum(axis=1))[:, None] * centres["radius"].to_numpy()
 
 
+def _best_k(r: np.ndarray, score: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """Which results (row r, score) are among the best k of their row, ties included; `least` of
+    a row with k results rises to the last of them."""
+    order = np.lexsort((-score, r))
+    rows, begin, n = np.unique(r[order], return_index=True, return_counts=True)
+    full = n >= k
+    least[rows[full]] = np.maximum(least[rows[full]], score[order][begin[full] + k - 1] - TIE)
+    return score >= least[r]
+
+
 def search(query_vectors: DataFrame, index: VectorIndex, k: int, scope=(), seeds: int = SEEDS) -> DataFrame:
     """(query_id, rank, path, idx, score): exact top-k by dot product, ties by (path, idx)."""
     kind = query_vectors.schema["query_id"].dataType.simpleString()
@@ -111,7 +124,11 @@ def search(query_vectors: DataFrame, index: VectorIndex, k: int, scope=(), seeds
     asked = query_vectors.select("query_id", F.col("vec").cast("array<double>").alias("vec")).withColumn(
         "g", F.pmod(F.xxhash64("query_id"), F.lit(groups))
     )
-    centres = index.blocks.select("block", "centre", "radius").withColumn("c", F.pmod(F.col("block"), F.lit(shelves))).withColumn("g", each(groups))
+    slots = max(1, -(-index.n_blocks // SHELF_BLOCKS), min(index.n_blocks, SHELVES))
+    crowds = max(1, -(-query_vectors.count() // max(1, min(OPEN_GROUP, OPEN_RESULTS // k))))
+    shelf_of = F.pmod(F.col("block"), F.lit(slots).cast("long"))
+    # all centres of a shelf are in one group
+    centres = index.blocks.select("block", "centre", "radius").withColumn("c", F.pmod(shelf_of, F.lit(shelves))).withColumn("g", each(groups))
 
     def likely(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         """The `seeds` blocks with the highest bounds."""
@@ -126,43 +143,75 @@ def search(query_vectors: DataFrame, index: VectorIndex, k: int, scope=(), seeds
         })
 
     def reaching(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        """The blocks not yet opened whose bound reaches the k-th score."""
+        """The shelves with a block not yet opened whose bound reaches the k-th score."""
         if not len(mine) or not len(asking):
-            return pd.DataFrame({"query_id": asking["query_id"].iloc[:0], "g": [], "block": []})
+            return pd.DataFrame({"query_id": asking["query_id"].iloc[:0], "shelf": []})
         r, c = np.nonzero(_bounds(mine, asking) >= asking["least"].fillna(-np.inf).to_numpy()[:, None] - 1e-9)
         block = mine["block"].to_numpy()[c]
         new = np.fromiter((b not in o for b, o in zip(block, asking["opened"].to_numpy()[r])), bool, len(block))
-        r, block = r[new], block[new]
-        return pd.DataFrame({"query_id": asking["query_id"].to_numpy()[r], "g": asking["g"].to_numpy()[r], "block": block})
+        r, shelf = np.divmod(np.unique(r[new] * slots + block[new] % slots), slots)
+        return pd.DataFrame({"query_id": asking["query_id"].to_numpy()[r], "shelf": shelf})
 
     def best(shelf: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        """The best k of one block for a group of queries."""
+        """The best k of one shelf for a group of queries: of the blocks a query names, or else
+        of those that reach its k-th score and were not opened before."""
         none = pd.DataFrame({"query_id": asking["query_id"].iloc[:0], "path": np.array([], object), "idx": np.array([], np.int32), "score": np.zeros(0)})
-        members = [m for m in shelf["members"].iloc[0] if not scope or any(m["path"] == p or m["path"].startswith(p + "/") for p in scope)] if len(shelf) else []
-        if not members or not len(asking):
+        if not len(shelf) or not len(asking):
             return none
-        found = _matrix(asking["vec"]) @ np.stack([m["vec"] for m in members]).astype(np.float64).T
-        least = asking["least"].fillna(-np.inf).to_numpy()[:, None] - TIE
-        if len(members) > k:
-            least = np.maximum(least, np.partition(found, len(members) - k, axis=1)[:, [len(members) - k]] - TIE)
-        r, c = np.nonzero(found >= least)
-        return pd.DataFrame({
-            "query_id": asking["query_id"].to_numpy()[r], "path": np.array([members[i]["path"] for i in c], object),
-            "idx": np.array([members[i]["idx"] for i in c], np.int32), "score": found[r, c],
-        })
-
-    def opened(pairs: DataFrame, with_least: DataFrame) -> DataFrame:
-        """Scores of the pairs (query_id, g, block)."""
-        asking = pairs.select("query_id", "block").join(with_least, "query_id")
-        needed = index.blocks.select("block", "members").join(pairs.select("block", "g").distinct(), "block")
-        return needed.groupBy("block", "g").cogroup(asking.groupBy("block", "g")).applyInPandas(best, f"query_id {kind}, path string, idx int, score double")
+        q, known = _matrix(asking["vec"]), asking["least"].astype(float).fillna(-np.inf).to_numpy()
+        norm, least = np.sqrt((q * q).sum(axis=1)), known - TIE
+        first = asking["wanted"].notna().iloc[0]
+        named = asking["wanted" if first else "opened"].to_list()
+        owner, block = np.repeat(np.arange(len(asking)), [len(x) for x in named]), np.concatenate([np.asarray(x, np.int64) for x in named])
+        r, path, idx, score, late = np.array([], np.int64), np.array([], object), np.array([], np.int32), np.zeros(0), []
+
+        def gathered():
+            nonlocal r, path, idx, score
+            r, path, idx, score = (np.concatenate(x) for x in zip((r, path, idx, score), *late))
+            late.clear()
+            kept = _best_k(r, score, least, k)
+            r, path, idx, score = r[kept], path[kept], idx[kept], score[kept]
+
+        for b, centre, radius, members in zip(shelf["block"], shelf["centre"], shelf["radius"], shelf["members"]):
+            members = [m for m in members if not scope or any(m["path"] == p or m["path"].startswith(p + "/") for p in scope)]
+            wants = owner[block == b]
+            if not first:
+                reach = q @ centre + norm * radius >= np.maximum(known, least) - 1e-9
+                reach[wants] = False
+                wants = np.nonzero(reach)[0]
+            if not members or not len(wants):
+                continue
+            paths, idxs = np.array([m["path"] for m in members], object), np.array([m["idx"] for m in members], np.int32)
+            matrix = np.stack([m["vec"] for m in members]).astype(np.float64).T
+            for at in range(0, len(wants), QUERY_GROUP):
+                some = wants[at:at + QUERY_GROUP]
+                found = q[some] @ matrix
+                cut = least[some, None]
+                if len(members) > k and np.isneginf(cut).any():
+                    cut = np.maximum(cut, np.partition(found, len(members) - k, axis=1)[:, [len(members) - k]] - TIE)
+                i, j = np.nonzero(found >= cut)
+                late.append((some[i], paths[j], idxs[j], found[i, j]))
+                if sum(len(x[0]) for x in late) > OPEN_RESULTS:
+                    gathered()
+            gathered()
+        return pd.DataFrame({"query_id": asking["query_id"].to_numpy()[r], "path": path, "idx": idx, "score": score}) if len(r) else none
+
+    def opened(asking: DataFrame) -> DataFrame:
+        """Scores of the rows (query_id, vec, shelf, least, wanted, opened)."""
+        crowd = asking.withColumn("w", F.pmod(F.xxhash64("query_id"), F.lit(crowds)))
+        held = index.blocks.select("block", "centre", "radius", "members").withColumn("shelf", shelf_of).withColumn("w", each(crowds))
+        return held.groupBy("shelf", "w").cogroup(crowd.groupBy("shelf", "w")).applyInPandas(best, f"query_id {kind}, path string, idx int, score double")
 
     met = lambda a, fn, schema: centres.groupBy("c", "g").cogroup(a.withColumn("c", each(shelves)).groupBy("c", "g")).applyInPandas(fn, schema)
-    first = top_per_key(met(asked, likely, f"query_id {kind}, g long, block long, bound double"), ["query_id"], [F.col("bound").desc(), F.col("block")], seeds, "_place")
+    first = materialize(top_per_key(met(asked, likely, f"query_id {kind}, g long, block long, bound double"), ["query_id"], [F.col("bound").desc(), F.col("block")], seeds, "_place"))
     order = [F.round("score", 9).desc(), F.col("path"), F.col("idx")]
-    seen = top_per_key(opened(first, asked.withColumn("least", F.lit(None).cast("double"))), ["query_id"], order, k)
+    vecs, none = asked.select("query_id", "vec"), F.lit(None).cast("array<long>")
+    named = first.groupBy("query_id", shelf_of.alias("shelf")).agg(F.collect_list("block").alias("wanted"))  # `seeds` of a query
+    seen = materialize(top_per_key(
+        opened(named.join(vecs, "query_id").withColumns({"least": F.lit(None).cast("double"), "opened": none})), ["query_id"], order, k
+    ))
     known = asked.join(seen.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "query_id", "left").join(
-        first.groupBy("query_id").agg(F.collect_list("block").alias("opened")), "query_id"  # `seeds` of them
+        first.groupBy("query_id").agg(F.collect_list("block").alias("opened")), "query_id"
     )
-    rest = met(known, reaching, f"query_id {kind}, g long, block long")
-    return top_per_key(seen.drop("rank").unionByName(opened(rest, known.drop("opened"))), ["query_id"], order, k).select("query_id", "rank", "path", "idx", "score")
+    rest = met(known, reaching, f"query_id {kind}, shelf long").join(known.drop("g"), "query_id").withColumn("wanted", none)
+    return top_per_key(seen.drop("rank").unionByName(opened(rest)), ["query_id"], order, k).select("query_id", "rank", "path", "idx", "score")

@@ -283,3 +283,16 @@ def test_stripes_in_several_rows_give_the_same(spark, tmp_path, monkeypatch):
     places = lambda d: sorted((r["query_id"], r["rank"], r["path"], round(r["score"], 9)) for r in d.collect())
     for scope in ([], ["a1"], ["a0", "a2/n5.md"]):
         assert places(R.bm25_places(asked, index, 7, scope)) == places(R.bm25(asked, df, 7, scope=scope))
+
+
+def test_vector_index_opens_blocks_by_the_shelf(spark, tmp_path, monkeypatch):
+    """Several blocks a task, groups of two queries, results merged while blocks are opened."""
+    for name, value in {"SHELF_BLOCKS": 3, "SHELVES": 2, "QUERY_GROUP": 2, "OPEN_GROUP": 4, "OPEN_RESULTS": 30, "SEEDS": 1}.items():
+        monkeypatch.setattr(VI, name, value)
+    vectors = [(f"p{i % 40}", i, [float(i % 3), float(i % 7), 1.0 / (1 + i % 5)]) for i in range(300)]
+    asked = [(i, [float(i % 2), 1.0 - i % 3, 0.5 * i]) for i in range(9)]
+    v = spark.createDataFrame(vectors, "path string, idx int, vec array<double>")
+    VI.write_vectors(v, f"{tmp_path}/v", block_rows=20)
+    qv = spark.createDataFrame(asked, "query_id int, vec array<double>")
+    got = {(r["query_id"], r["rank"], r["path"], r["idx"]) for r in VI.search(qv, VI.open_vectors(spark, f"{tmp_path}/v"), 7).collect()}
+    assert got == brute_top(vectors, asked, 7)
