@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -41,17 +42,49 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, *parts: str) -> None:
+    """Write a table so that it takes little disk: compressed well, and the shuffle files of
+    this one write go with it instead of staying until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE, "false")
+    conf.set(_FREE, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path, partitionBy=list(parts) or None)
+    finally:
+        conf.set(_FREE, before)
+
+
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_passing", default=None)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Temporary tables that are written inside go where this ends: nothing reads them after."""
+    outer = _passing.set([])
+    try:
+        yield
+    finally:
+        for path in _passing.get():
+            remove(spark, path)
+        _passing.reset(outer)
+
+
 def temporary(df: DataFrame) -> DataFrame:
     """A narrow table that several later steps read: written once, so that they neither
     compute nor plan it again, nor depend on executors. The tables of an application go
-    when its driver ends."""
+    when its driver ends, those that only the writing of a kept table needs with that."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_forget, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if (going := _passing.get()) is not None:
+        going.append(path)
+    save(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,35 +110,7 @@ def kept(spark: SparkSession, name: str, write) -> str:
     path = f"{shared_folder(spark)}/{name}"
     if not exists(spark, f"{path}/whole"):
         remove(spark, path)
-        write(path)
+        with passing(spark):
+            write(path)
         spark.range(1).write.mode("overwrite").parquet(f"{path}/whole")
     return path
-
-
-def bucketed(df: DataFrame, path: str, buckets: int, by: list[str], sort: list[str]) -> None:
-    """Write a table bucketed and sorted, one file per bucket: rows are dealt by the same
-    hash that the buckets have, so that every task writes the one that it holds."""
-    name = _table_name(path)
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    df.repartition(buckets, *by).write.format("parquet").mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*sort).saveAsTable(name)
-    spark = df.sparkSession
-    spark.createDataFrame([(buckets, by, sort, df.schema.simpleString()[7:-1])], "buckets int, by array<string>, sort array<string>, columns string").coalesce(1).write.mode(
-        "overwrite").parquet(path.rstrip("/") + "-layout")
-
-
-def _table_name(path: str) -> str:
-    return "kept_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
-
-
-def open_bucketed(spark: SparkSession, path: str) -> DataFrame:
-    """The table with its buckets, also in a session that did not write it."""
-    name = _table_name(path)
-    if not spark.catalog.tableExists(name):
-        plan = spark.read.parquet(path.rstrip("/") + "-layout").first()
-        schema = spark.read.parquet(path).schema
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        spark.sql(
-            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(plan['by'])}) SORTED BY ({', '.join(plan['sort'])}) "
-            f"INTO {plan['buckets']} BUCKETS LOCATION '{path}'"
-        )
-    return spark.table(name)

@@ -5,9 +5,10 @@ an interval of numbers. The index has three tables.
 
 `docs`     doc, path, idx, heading, content, mtime, partitioned by range of numbers
 `folders`  prefix, lo, hi, n: the interval of every folder and path, and the chunks in it
-`blocks`   token, stripe, n, best, lo, hi, at, impact: a token's postings in STRIPE successive
+`blocks`   token, stripe, n, best, first, last, at, impact: a token's postings in STRIPE successive
            numbers (place in the stripe, impact), with the highest impact among them, in one
-           row or a few of disjoint intervals lo..hi; bucketed and sorted by (token, stripe)
+           row or a few of disjoint places first..last; in files of successive stripes, written
+           where the chunks are read and never shuffled
 
 A search reads the narrow columns of `blocks` first. They give document frequencies (of a
 scope, too: only blocks that a scope's border cuts are opened) and a bound for every query
@@ -31,17 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.scale import small_side, top_per_key
-from corpusloom.functions.storage import bucketed, open_bucketed, temporary
+from corpusloom.functions.storage import save, temporary
 from corpusloom.operators import paths as P
 from corpusloom.operators.retrieval import idf, tf_norm
 
-FORMAT = 3  # of the tables; a kept index of another format is not opened
+FORMAT = 4  # of the tables; a kept index of another format is not opened
 STRIPE = 512
 SEEDS = 8  # stripes of a query that are opened first
 QUERY_GROUP, TOKEN_GROUP = 256, 4096  # of one product: queries, and tokens at once
-BUCKET_BYTES = 32 << 20  # of text per bucket
 FRAGMENT_TOKENS, FRAGMENT_ROWS = 2_000_000, 64  # of a stripe that are put together at once, at most; rows taken at a time
-FRAGMENT = "token string, stripe long, n long, best double, lo long, hi long, at array<int>, impact array<double>"
+FRAGMENT = "token string, stripe long, n long, best double, first int, last int, at array<int>, impact array<double>"
 DOCS = "path string, idx int, heading string, content string, mtime long, doc long, part long"
 PART_BITS = 33  # numbers are (part, place in part)
 SLACK = 1e-6  # sums that differ by the order of addition never drop a block
@@ -64,7 +64,7 @@ def write_docs(chunks: DataFrame, root: str) -> None:
     """Number the chunks: the table `docs`, all that a search by vectors reads."""
     rows = chunks.select("path", F.col("idx").cast("int").alias("idx"), "heading", "content", F.col("mtime").cast("long").alias("mtime")).repartitionByRange("path", "idx").sortWithinPartitions("path", "idx")
     rows = rows.withColumn("doc", F.monotonically_increasing_id())
-    rows.withColumn("part", F.shiftright("doc", PART_BITS)).write.mode("overwrite").partitionBy("part").parquet(f"{root}/docs")
+    save(rows.withColumn("part", F.shiftright("doc", PART_BITS)), f"{root}/docs", "part")
 
 
 def write_postings(docs: DataFrame, root: str) -> None:
@@ -72,17 +72,10 @@ def write_postings(docs: DataFrame, root: str) -> None:
     one = F.array(F.struct(F.col("path").alias("prefix"), F.lit(True).alias("is_path")))
     above = F.transform(F.concat(F.array(F.lit("")), P.ancestors(F.col("path"))), lambda f: F.struct(f.alias("prefix"), F.lit(False).alias("is_path")))
     per_path = docs.groupBy("path").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
-    (
-        per_path.select(F.explode(F.concat(one, above)).alias("f"), "lo", "hi", "n")
-        .groupBy("f.prefix", "f.is_path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        .write.mode("overwrite").parquet(f"{root}/folders")
-    )
-
-    size = docs.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    # files hold chunks by number: a row per token and stripe moves, and one more where a task or a run ends inside a stripe
-    found = _fragments(docs.select("doc", X.tokenize(F.col("content")).alias("t")))
-    bucketed(found, f"{root}/blocks", buckets, ["token", "stripe"], ["token", "stripe"])
+    folders = per_path.select(F.explode(F.concat(one, above)).alias("f"), "lo", "hi", "n").groupBy("f.prefix", "f.is_path")
+    save(folders.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")), f"{root}/folders")
+    # files hold chunks by number: a row per token and stripe, and one more where a task or a run ends inside a stripe
+    save(_fragments(docs.select("doc", X.tokenize(F.col("content")).alias("t"))), f"{root}/blocks")
 
 
 def _fragments(tokens: DataFrame) -> DataFrame:
@@ -113,21 +106,25 @@ def _fragment(held: list[pa.RecordBatch], stripe: int) -> pa.RecordBatch:
     doc = np.concatenate([b.column("doc").to_numpy() for b in held])
     length = np.concatenate([pc.fill_null(pc.list_value_length(b.column("t")), 0).to_numpy(zero_copy_only=False) for b in held])
     words = pa.chunked_array([b.column("t").flatten() for b in held]).combine_chunks().dictionary_encode()
+    sort = pc.sort_indices(words.dictionary).to_numpy()  # tokens ascend: they take less space
+    of_token = np.empty(len(sort), np.int64)
+    of_token[sort] = np.arange(len(sort))
     row = np.repeat(np.arange(len(doc)), length)
     order = np.argsort(doc, kind="stable")  # places ascend within a token
     place = np.empty(len(doc), np.int64)
     place[order] = np.arange(len(doc))
-    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(doc) + place[row], return_counts=True)
+    key, tf = np.unique(of_token[words.indices.to_numpy()] * len(doc) + place[row], return_counts=True)
     code, row = key // max(1, len(doc)), order[key % max(1, len(doc))]
     first = np.flatnonzero(np.diff(code, prepend=-1))
     impact = tf_norm(tf.astype(np.float64), length[row])
     ends = np.append(first, len(key)).astype(np.int32)
     n = np.diff(ends).astype(np.int64)
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((doc[row] % stripe).astype(np.int32), impact)]
+    at = (doc[row] % stripe).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at, impact)]
     best = np.maximum.reduceat(impact, first) if len(key) else impact
     return pa.RecordBatch.from_arrays(
-        [words.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), doc[0] // stripe)), pa.array(n), pa.array(best), pa.array(doc[row[first]]), pa.array(doc[row[ends[1:] - 1]]), *lists],
-        ["token", "stripe", "n", "best", "lo", "hi", "at", "impact"],
+        [words.dictionary.take(pa.array(sort[code[first]])), pa.array(np.full(len(first), doc[0] // stripe)), pa.array(n), pa.array(best), pa.array(at[first]), pa.array(at[ends[1:] - 1]), *lists],
+        ["token", "stripe", "n", "best", "first", "last", "at", "impact"],
     )
 
 
@@ -138,7 +135,9 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
 def open_index(spark: SparkSession, root: str, postings: str | None = None) -> LexicalIndex:
     """`postings` is where `write_postings` wrote, if that is another place."""
     postings = postings or root
-    return LexicalIndex(_docs(spark, root), spark.read.parquet(f"{postings}/folders"), open_bucketed(spark, f"{postings}/blocks"))
+    blocks = spark.read.schema(FRAGMENT).parquet(f"{postings}/blocks")
+    numbers = {to: F.col("stripe") * STRIPE + F.col(place) for to, place in (("lo", "first"), ("hi", "last"))}
+    return LexicalIndex(_docs(spark, root), spark.read.parquet(f"{postings}/folders"), blocks.withColumns(numbers))
 
 
 def open_docs(spark: SparkSession, root: str) -> LexicalIndex:
@@ -172,9 +171,12 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
     vocabulary = small_side(q_tokens.select("scope_id", "token").distinct())
     met = index.blocks.select("token", "stripe", "n", "best", "lo", "hi").join(vocabulary, "token").join(ranges.drop("n"), "scope_id").where(_overlap())
     whole = (F.col("lo") >= F.col("from")) & (F.col("hi") <= F.col("to"))
+    # only stripes with an end of an interval have blocks that a border cuts
+    ends = F.explode(F.expr(f"array(`from` div {STRIPE}, `to` div {STRIPE})"))
+    ends = small_side(ranges.select(ends.alias("stripe")).distinct())
     cut = (
-        met.where(~whole).select("scope_id", "token", "stripe", "lo", "best", "from", "to")
-        .join(index.blocks.select("token", "stripe", "lo", "at"), ["token", "stripe", "lo"])
+        met.where(~whole).select("scope_id", "token", "stripe", "lo", "best", "from", "to").join(ends, "stripe", "left_semi")
+        .join(index.blocks.select("token", "stripe", "lo", "at").join(ends, "stripe", "left_semi"), ["token", "stripe", "lo"])
         .withColumn("n", F.size(F.expr(f"filter(at, a -> stripe * {STRIPE} + a between from and to)")).cast("long"))
     )
     cols = ["scope_id", "token", "stripe", "lo", "n", "best"]
@@ -187,6 +189,8 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
     asked = weights.groupBy("query_id", "scope_id").agg(F.collect_list(F.struct("token", "w")).alias("t"))  # of one query's text
     asked = temporary(asked.join(sizes, "scope_id").select("query_id", "scope_id", F.col("t.token").alias("tokens"), F.col("t.w").alias("ws"), "froms", "tos"))
     groups = max(1, -(-asked.count() // QUERY_GROUP))
+    # one group goes to every task; else a query's tokens would move once for each of its stripes
+    texts = asked.where("query_id is not null").toPandas() if groups == 1 else None
     weighed = asked.select("query_id", "scope_id", F.explode(F.arrays_zip("tokens", "ws")).alias("t")).select("query_id", "scope_id", F.col("t.tokens").alias("token"), F.col("t.ws").alias("w"))
     bound = temporary(
         hits.select("scope_id", "token", "stripe", "lo", "best").distinct().join(weighed, ["scope_id", "token"])
@@ -196,6 +200,8 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
 
     def best(blocks: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         """The k best of one stripe for a group of queries."""
+        if texts is not None and len(asking):
+            asking = asking.merge(texts, on="query_id")
         if not len(asking):
             return pd.DataFrame({"query_id": asking["query_id"], "doc": np.zeros(0, np.int64), "score": np.zeros(0)})
         rows_of = blocks.groupby("token").indices  # a few rows where a task ended inside the stripe
@@ -230,14 +236,15 @@ def top_docs(q_tokens: DataFrame, scopes: DataFrame, index: LexicalIndex, k: int
 
     def opened(stripes: DataFrame) -> DataFrame:
         """(query_id, doc, score) of the best chunks in these stripes (query_id, g, stripe, least)."""
+        stripes = temporary(stripes.select("query_id", "g", "stripe", "least").where("query_id is not null"))
         needed = index.blocks.select("token", "stripe", "at", "impact").join(vocabulary.select("token").distinct(), "token", "left_semi")
-        pairs = stripes.select(F.col("stripe").alias("_s"), F.col("g").alias("_g")).distinct()
+        pairs = small_side(stripes.select(F.col("stripe").alias("_s"), F.col("g").alias("_g")).distinct())
         needed = needed.join(pairs, F.col("stripe") == F.col("_s")).drop("stripe")
-        asking = stripes.select("query_id", "g", "stripe", "least").join(asked, "query_id")
+        asking = stripes if texts is not None else stripes.join(asked, "query_id")
         return needed.groupBy("_s", "_g").cogroup(asking.groupBy("stripe", "g")).applyInPandas(best, f"query_id {kind}, doc long, score double")
 
     best_first = [F.round("score", 9).desc(), F.col("doc")]
-    first = top_per_key(bound, ["query_id"], [F.col("bound").desc(), F.col("stripe")], seeds, "_place").drop("_place")
+    first = temporary(top_per_key(bound, ["query_id"], [F.col("bound").desc(), F.col("stripe")], seeds, "_place").drop("_place"))
     seen = temporary(top_per_key(opened(first.withColumn("least", F.lit(None).cast("double"))), ["query_id"], best_first, k))
     least = seen.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = (

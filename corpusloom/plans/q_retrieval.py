@@ -319,8 +319,7 @@ _VRES = (
 
 
 def document_vectors(spark, d):
-    """Embedded once, to a table."""
-    return temporary(embedding.embed_chunks(doc_chunks(spark, d).withColumn("hash", F.md5("content"))).select("path", "idx", "vec"))
+    return embedding.embed_chunks(doc_chunks(spark, d).withColumn("hash", F.md5("content"))).select("path", "idx", "vec")
 
 
 @query("vector_search", "OP-042 OP-038 OP-012", f"WITH {_CHUNKS}, {_VEC_SQL}, {_VRES} SELECT {_OUT} FROM ({_budget_sql('vres', 3000, 12, False)})")
@@ -479,7 +478,7 @@ def _(spark, d):
     """The whole read path on real chunks: notes are cut, their chunks indexed and embedded
     once; searches both ways, reranks, and keeps five short snippets per query."""
     index = doc_index(spark, d, "sections", lambda spark, d: temporary(chunking.chunk_by_heading(D.notes(spark, d))))
-    embedded = lambda *_: temporary(embedding.build_vectors(index.docs.withColumn("hash", F.md5("content"))).select("path", "idx", "vec"))
+    embedded = lambda *_: embedding.build_vectors(index.docs.withColumn("hash", F.md5("content"))).select("path", "idx", "vec")
     vectors = stored_vectors(spark, d, "documents", embedded, "sections")
     res = R.search(bench_queries(spark, d), vectors=vectors, mode="hybrid", rerank_top=10, index=index)
     return agent.kb_lookup(res).select(
